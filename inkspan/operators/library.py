@@ -169,6 +169,13 @@ def glyph_map(picked: DataFrame, mirror_case: bool = True) -> DataFrame:
     return ensure_space(full, picked.select("lib_id").distinct())
 
 
+def glyph_maps(slots: DataFrame, variants: DataFrame, mirror_case=True) -> DataFrame:
+    """Every cycle map of every library: glyph_map columns plus map_no and n_maps."""
+    picked = rotated_sets(slots, variants).withColumn("lib_id", F.struct("lib_id", "map_no", "n_maps"))
+    gm = glyph_map(picked.drop("map_no", "n_maps"), mirror_case)
+    return gm.select("lib_id.*", *[c for c in gm.columns if c != "lib_id"])
+
+
 def mirror_case_completion(gm: DataFrame) -> DataFrame:
     """The other case of each drawn ASCII letter, where nothing is mapped there."""
     other = gm.where(F.col("key").rlike("^[A-Za-z]$")).withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.chars import CAP, UPM, char_class
 from inkspan.functions.numbers import clamp, half_up, number_text
+from inkspan.session import spread
 
 # Spacing and kerning rules.
 SB_BASE, SB_SLOPE, SB_MIN, SB_MAX, DEPTH_CLAMP, SB_STEP = 74.0, 0.44, 6, 165, 175.0, 11.0
@@ -20,61 +21,90 @@ KERN_STEP, KERN_BAND_ROWS, KERN_PULL = 10, 5, 0.7
 
 
 def _hyp(ax, ay, bx, by):
+    ax, ay, bx, by = (F.col(v) if isinstance(v, str) else v for v in (ax, ay, bx, by))
     return F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
 
 
-def _pt(x, y):
-    return F.struct(x.alias("x"), y.alias("y"))
+def _coords(c):
+    return [F.col(f"{c}.{ax}{i}").alias(f"{ax}{i}") for i in range(4) for ax in ("x", "y")]
 
 
-def flatten_contour(cubics: Column, max_seg: float) -> Column:
-    """Closed contour of cubics -> polygon starting at its first anchor."""
+def _bernstein(t: Column, ax: str) -> Column:
+    m = F.lit(1.0) - t
+    p = [F.col(f"{ax}{i}") for i in range(4)]
+    return (m * m * m) * p[0] + (F.lit(3.0) * m * m * t) * p[1] + (F.lit(3.0) * m * t * t) * p[2] + (t * t * t) * p[3]
 
-    def steps(c):
-        length = (
-            _hyp(c["x0"], c["y0"], c["x1"], c["y1"])
-            + _hyp(c["x1"], c["y1"], c["x2"], c["y2"])
-            + _hyp(c["x2"], c["y2"], c["x3"], c["y3"])
-        )
-        return F.greatest(F.lit(2), F.ceil(length / F.lit(float(max_seg))) + 1).cast("int")
-
-    def curve(c):
-        n = steps(c)
-
-        def at(i):
-            t = i.cast("double") / n
-            m = F.lit(1.0) - t
-            b0, b1, b2, b3 = m * m * m, F.lit(3.0) * m * m * t, F.lit(3.0) * m * t * t, t * t * t
-            return _pt(
-                b0 * c["x0"] + b1 * c["x1"] + b2 * c["x2"] + b3 * c["x3"],
-                b0 * c["y0"] + b1 * c["y1"] + b2 * c["y2"] + b3 * c["y3"],
-            )
 
-        return F.transform(F.sequence(F.lit(1), n), at)
+def cubic_samples(glyphs: DataFrame, max_seg: float, keep=("id",)) -> DataFrame:
+    """One row per curve sample: (keep..., contour, seg, k, n, x0..y3), k = 1..n.
 
-    first, last = F.element_at(cubics, 1), F.element_at(cubics, -1)
-    body = F.flatten(F.transform(cubics, curve))
-    closed = _hyp(first["x0"], first["y0"], last["x3"], last["y3"]) < 1e-6
-    body = F.when(closed, F.slice(body, F.lit(1), F.size(body) - 1)).otherwise(body)
-    return F.concat(F.array(_pt(first["x0"], first["y0"])), body)
+    n = max(2, ceil(control length / max_seg) + 1). The compact glyph rows are hash-partitioned
+    by id first, so whatever groups by id afterwards needs no further shuffle. The outer forms
+    of explode keep the optimiser from repeating the array work in an inferred filter.
+    """
+    length = _hyp("x0", "y0", "x1", "y1") + _hyp("x1", "y1", "x2", "y2") + _hyp("x2", "y2", "x3", "y3")
+    return (
+        spread(glyphs.select(*keep, "contours"), "id")
+        .select(*keep, F.posexplode_outer("contours").alias("contour", "_cs"))
+        .select(*keep, "contour", F.posexplode_outer("_cs").alias("seg", "_c"))
+        .where(F.col("_c").isNotNull())
+        .select(*keep, "contour", "seg", *_coords("_c"))
+        .withColumn("n", F.greatest(F.lit(2), F.ceil(length / F.lit(float(max_seg))) + 1).cast("int"))
+        .withColumn("k", F.explode_outer(F.sequence(F.lit(1), F.col("n"))))
+    )
 
 
-def flatten_contours(contours: Column, max_seg: float) -> Column:
-    return F.transform(contours, lambda c: flatten_contour(c, max_seg))
+def flatten_points(glyphs: DataFrame, max_seg: float, keep=("id",)) -> DataFrame:
+    """Polygon points (keep..., contour, seg, k, x, y) in (seg, k) order; the anchor is (-1, 0).
 
+    The last sample of a closed contour repeats the anchor and is left out.
+    """
+    s = cubic_samples(glyphs, max_seg, keep)
+    t = F.col("k").cast("double") / F.col("n")
+    first = F.element_at("_cs", 1)
+    rings = spread(glyphs.select(*keep, "contours"), "id").select(*keep, F.posexplode_outer("contours").alias("contour", "_cs"))
+    anchors = rings.where(F.size("_cs") > 0).select(
+        *keep, "contour", F.lit(-1).alias("seg"), F.lit(0).alias("k"), first["x0"].alias("x"), first["y0"].alias("y"),
+        F.size("_cs").alias("segs"),
+    )
+    body = s.select(*keep, "contour", "seg", "k", "n", _bernstein(t, "x").alias("x"), _bernstein(t, "y").alias("y"))
+    a = anchors.select("id", "contour", F.col("x").alias("fx"), F.col("y").alias("fy"), "segs")
+    open_end = ~((F.col("seg") == F.col("segs") - 1) & (F.col("k") == F.col("n")) & (_hyp("fx", "fy", "x", "y") < 1e-6))
+    out = [*keep, "contour", "seg", "k", "x", "y"]
+    return anchors.select(*out).unionByName(body.join(a, ["id", "contour"]).where(open_end).select(*out))
+
+
+def outline_edges(glyphs: DataFrame, max_seg: float, keep=("id",)) -> DataFrame:
+    """Flattened outline as edges (keep..., contour, ax, ay, bx, by).
+
+    Both ends of a curve step come from the same row, so no neighbour has to be fetched.
+    Every polygon point is the end of exactly one edge. Open contours are closed straight.
+    """
+    def closing(c):
+        a, b = F.element_at(c, -1), F.element_at(c, 1)
+        mid = lambda f: {"x": a["x3"] + (b["x0"] - a["x3"]) * f, "y": a["y3"] + (b["y0"] - a["y3"]) * f}
+        at = [mid(i / 3.0) for i in range(3)] + [{"x": b["x0"], "y": b["y0"]}]
+        return F.struct(*[at[i][ax].alias(f"{ax}{i}") for i in range(4) for ax in ("x", "y")])
 
-def flatten_outlines(glyphs: DataFrame, max_seg: float) -> DataFrame:
-    """Adds ``polys``."""
-    return glyphs.withColumn("polys", flatten_contours(F.col("contours"), max_seg))
+    closed = F.transform(
+        "contours",
+        lambda c: F.when(
+            _hyp(F.element_at(c, -1)["x3"], F.element_at(c, -1)["y3"], F.element_at(c, 1)["x0"], F.element_at(c, 1)["y0"]) < 1e-6, c
+        ).otherwise(F.concat(c, F.array(closing(c)))),
+    )
+    s = cubic_samples(glyphs.withColumn("contours", closed), max_seg, keep)
+    t0, t1 = (F.col("k") - 1).cast("double") / F.col("n"), F.col("k").cast("double") / F.col("n")
+    return s.select(
+        *keep, "contour", _bernstein(t0, "x").alias("ax"), _bernstein(t0, "y").alias("ay"),
+        _bernstein(t1, "x").alias("bx"), _bernstein(t1, "y").alias("by"),
+    )
 
 
-def with_bounds(df: DataFrame, polys="polys", prefix="b") -> DataFrame:
-    """Adds {prefix}x0, y0, x1, y1 of all points of a glyph."""
-    pts = F.flatten(F.col(polys))
-    for ax in ("x", "y"):
-        vals = F.transform(pts, lambda p, ax=ax: p[ax])
-        df = df.withColumn(f"{prefix}{ax}0", F.array_min(vals)).withColumn(f"{prefix}{ax}1", F.array_max(vals))
-    return df
+def bounds(edges: DataFrame, keep=("id",)) -> DataFrame:
+    """(keep..., bx0, by0, bx1, by1) over the polygon points."""
+    return edges.groupBy(*keep).agg(
+        F.min("bx").alias("bx0"), F.min("by").alias("by0"), F.max("bx").alias("bx1"), F.max("by").alias("by1")
+    )
 
 
 def _map_points(contours: Column, fx, fy) -> Column:
@@ -100,71 +130,41 @@ def rotate_contours(contours: Column, degrees: float, cx: Column, cy: Column) ->
     return F.transform(contours, lambda cs: F.transform(cs, one))
 
 
-def _edges(poly: Column) -> Column:
-    """array<struct(ax, ay, bx, by)> of a closed polygon."""
-    turned = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))
-    return F.zip_with(
-        poly, turned,
-        lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")),
-    )
-
-
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def signed_area(poly: Column) -> Column:
-    return _sum(F.transform(_edges(poly), lambda e: e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2.0
-
+def ring_measures(edges: DataFrame) -> DataFrame:
+    """One row per contour: points, signed area (shoelace), perimeter, orientation."""
+    return edges.groupBy("id", "contour").agg(
+        F.count(F.lit(1)).alias("points"),
+        (F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2.0).alias("area"),
+        F.sum(_hyp("ax", "ay", "bx", "by")).alias("perimeter"),
+    ).withColumn("orientation", F.signum(F.round("area", 6)).cast("int"))
 
-def perimeter(poly: Column) -> Column:
-    return _sum(F.transform(_edges(poly), lambda e: _hyp(e["ax"], e["ay"], e["bx"], e["by"])))
 
-
-def ring_measures(glyphs: DataFrame) -> DataFrame:
-    """One row per contour: points, signed area, perimeter, orientation."""
-    return glyphs.select("id", F.posexplode("polys").alias("contour", "poly")).select(
-        "id", "contour", F.size("poly").alias("points"), signed_area(F.col("poly")).alias("area"),
-        perimeter(F.col("poly")).alias("perimeter"),
-    ).withColumn("orientation", F.signum("area").cast("int"))
-
-
-def _contains(poly: Column, pt: Column) -> Column:
-    """Even-odd ray test."""
-    crossings = F.filter(
-        _edges(poly),
-        lambda e: ((e["by"] > pt["y"]) != (e["ay"] > pt["y"]))
-        & (pt["x"] < ((e["ax"] - e["bx"]) * (pt["y"] - e["by"])) / (e["ay"] - e["by"]) + e["bx"]),
-    )
-    return F.size(crossings) % 2 == 1
-
-
-def contour_depth(glyphs: DataFrame) -> DataFrame:
+def contour_depth(glyphs: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, contour, depth): how many other contours of the glyph hold this one's first point.
 
-    Contour pairs meet inside a glyph's own row; only those whose boxes overlap are tested.
+    Even-odd ray test: first points meet only the edges that their ray crosses.
     """
-    rings = glyphs.select("id", F.posexplode("polys").alias("contour", "poly"), "polys")
-
-    def box_holds(p, pt):
-        ys = F.transform(p, lambda q: q["y"])
-        return (pt["y"] >= F.array_min(ys)) & (pt["y"] <= F.array_max(ys))
-
-    first = F.element_at("poly", 1)
-    inside = F.filter(
-        F.transform(
-            F.col("polys"),
-            lambda p, j: (j != F.col("contour")) & box_holds(p, first) & _contains(p, first),
-        ),
-        lambda b: b,
+    firsts = glyphs.select("id", F.posexplode("contours").alias("contour", "_cs")).select(
+        "id", "contour", F.element_at("_cs", 1)["x0"].alias("px"), F.element_at("_cs", 1)["y0"].alias("py")
+    )
+    e = edges.select("id", F.col("contour").alias("other"), "ax", "ay", "bx", "by")
+    crosses = (
+        (F.col("other") != F.col("contour"))
+        & ((F.col("by") > F.col("py")) != (F.col("ay") > F.col("py")))
+        & (F.col("px") < ((F.col("ax") - F.col("bx")) * (F.col("py") - F.col("by"))) / F.nullif(F.col("ay") - F.col("by"), F.lit(0.0)) + F.col("bx"))
     )
-    return rings.select("id", "contour", F.size(inside).cast("bigint").alias("depth"))
+    holds = (
+        firsts.join(e, "id").where(crosses).groupBy("id", "contour", "other")
+        .agg((F.count(F.lit(1)) % 2).alias("odd"))
+        .groupBy("id", "contour").agg(F.sum("odd").alias("depth"))
+    )
+    return firsts.join(holds, ["id", "contour"], "left").select("id", "contour", F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
 
 def weight_of(glyphs: DataFrame) -> DataFrame:
-    """Mean stroke thickness over class height, 3 decimals; glyphs(id, key, polys at 6)."""
-    kept = glyphs.withColumn("polys", F.filter("polys", lambda p: F.size(p) >= 3))
-    rings = ring_measures(kept).join(contour_depth(kept), ["id", "contour"])
+    """Mean stroke thickness over class height, 3 decimals; glyphs(id, key, contours)."""
+    edges = outline_edges(glyphs, 6)
+    rings = ring_measures(edges).where(F.col("points") >= 3).join(contour_depth(glyphs, edges), ["id", "contour"])
     a = F.abs(F.col("area"))
     sums = rings.groupBy("id").agg(
         F.sum(F.when(F.col("depth") % 2 == 1, -a).otherwise(a)).alias("area"), F.sum("perimeter").alias("per")
@@ -177,25 +177,31 @@ def weight_of(glyphs: DataFrame) -> DataFrame:
     )
 
 
-def normalize_winding(glyphs: DataFrame) -> DataFrame:
+def normalize_winding(glyphs: DataFrame, max_seg: float = 6) -> DataFrame:
     """One row per contour with ``reverse``: outer rings clockwise, odd depth counter-clockwise."""
-    r = ring_measures(glyphs).join(contour_depth(glyphs), ["id", "contour"])
+    edges = outline_edges(glyphs, max_seg)
+    r = ring_measures(edges).join(contour_depth(glyphs, edges), ["id", "contour"])
     want_ccw = F.col("depth") % 2 == 1
     return r.select("id", "contour", "depth", "area", (want_ccw != (F.col("area") > 0)).alias("reverse"))
 
 
-def overshoot(glyphs: DataFrame) -> DataFrame:
-    """Adds os_top, os_bot to glyphs(id, key, polys at 4 in y-down pixels, bx0..by1)."""
+def overshoot(raw: DataFrame) -> DataFrame:
+    """(id, bx0..by1, cls, flat_top, flat_bot, os_top, os_bot) of raw(id, key, contours), y down.
+
+    Flatness is the share of the width covered by points in a thin band at an extreme.
+    """
+    edges = outline_edges(raw, 4)
+    box = bounds(edges)
     h, w = F.col("by1") - F.col("by0"), F.col("bx1") - F.col("bx0")
     band = F.greatest(F.lit(1.5), h * 0.035)
-    pts = F.flatten("polys")
-
-    def flat(near):
-        xs = F.transform(F.filter(pts, near), lambda p: p["x"])
-        span = F.array_max(xs) - F.array_min(xs)
-        return F.when((span > 0) & (w > 0), span / w).otherwise(F.lit(0.0))
-
+    near_top, near_bot = F.col("by") - F.col("by0") <= band, F.col("by1") - F.col("by") <= band
+    x = F.col("bx")
+    span = edges.join(box, "id").groupBy("id").agg(
+        (F.max(F.when(near_top, x)) - F.min(F.when(near_top, x))).alias("top_span"),
+        (F.max(F.when(near_bot, x)) - F.min(F.when(near_bot, x))).alias("bot_span"),
+    )
     u = (F.col("cls.top") - F.col("cls.bottom")) / float(CAP)
+    flat = lambda c: F.when((F.col(c) > 0) & (w > 0), F.col(c) / w).otherwise(F.lit(0.0))
 
     def units(f):
         return (
@@ -205,10 +211,10 @@ def overshoot(glyphs: DataFrame) -> DataFrame:
         ).cast("bigint")
 
     return (
-        glyphs.withColumn("cls", char_class(F.col("key")))
-        .withColumn("flat_top", flat(lambda p: p["y"] - F.col("by0") <= band))
-        .withColumn("flat_bot", flat(lambda p: F.col("by1") - p["y"] <= band))
+        raw.select("id", char_class(F.col("key")).alias("cls")).join(box, "id").join(span, "id")
+        .withColumn("flat_top", flat("top_span")).withColumn("flat_bot", flat("bot_span"))
         .withColumn("os_top", units("flat_top")).withColumn("os_bot", units("flat_bot"))
+        .drop("top_span", "bot_span")
     )
 
 
@@ -217,9 +223,8 @@ def fit_glyph(raw: DataFrame) -> DataFrame:
 
     Shapes thinner than 1e-6 either way have no fit and drop out.
     """
-    flat = with_bounds(flatten_outlines(raw, 4))
     h, w = F.col("by1") - F.col("by0"), F.col("bx1") - F.col("bx0")
-    sized = overshoot(flat).where((w >= 1e-6) & (h >= 1e-6))
+    sized = raw.join(overshoot(raw), "id").where((w >= 1e-6) & (h >= 1e-6))
     sized = sized.withColumn("ftop", F.col("cls.top") + F.col("os_top")).withColumn("s", (F.col("ftop") - (F.col("cls.bottom") - F.col("os_bot"))) / h)
     fitted = sized.withColumn(
         "contours",
@@ -229,11 +234,6 @@ def fit_glyph(raw: DataFrame) -> DataFrame:
     return fitted.select(*keep, "contours", "cls", "os_top", "os_bot", "ftop", "s")
 
 
-def exploded_edges(glyphs: DataFrame, keep=("id",), polys="polys") -> DataFrame:
-    """(keep..., ax, ay, bx, by), one row an edge."""
-    return glyphs.select(*keep, F.explode(polys).alias("_poly")).select(*keep, F.inline(_edges(F.col("_poly"))))
-
-
 def scanline_extents(edges: DataFrame, base, step: float, keep=("id",), rows=None) -> DataFrame:
     """(keep..., row, lo, hi): least and greatest crossing on each line y = base + row * step.
 
@@ -248,7 +248,7 @@ def scanline_extents(edges: DataFrame, base, step: float, keep=("id",), rows=Non
     lines = (
         edges.withColumn("_base", base).withColumn("_f", first.cast("int")).withColumn("_l", last.cast("int"))
         .where(F.col("_f") <= F.col("_l"))
-        .withColumn("row", F.explode(F.sequence("_f", "_l")))
+        .withColumn("row", F.explode_outer(F.sequence("_f", "_l")))
         .withColumn("y", F.col("_base") + F.col("row") * F.lit(float(step)))
     )
     x = F.col("ax") + ((F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay"))) * (F.col("bx") - F.col("ax"))
@@ -257,13 +257,14 @@ def scanline_extents(edges: DataFrame, base, step: float, keep=("id",), rows=Non
 
 def spacing(fitted: DataFrame) -> DataFrame:
     """Sidebearings from the average depth of the margins: (id, lsb, rsb, advance, width)."""
-    g = with_bounds(flatten_outlines(fitted, 6))
+    edges = outline_edges(fitted, 6)
+    g = fitted.select("id", "cls").join(bounds(edges), "id")
     inset = F.greatest(F.lit(6.0), (F.col("cls.top") - F.col("cls.bottom")) * 0.06)
     g = g.withColumn("ys", F.greatest(F.col("cls.bottom"), F.lit(0)) + inset).withColumn(
         "ye", F.least(F.col("cls.top"), F.lit(CAP)) - inset
     )
     rows = scanline_extents(
-        exploded_edges(g.where(F.col("ye") > F.col("ys")), keep=("id", "bx0", "bx1", "ys", "ye")),
+        edges.join(g.where(F.col("ye") > F.col("ys")).select("id", "bx0", "bx1", "ys", "ye"), "id"),
         F.col("ys"), SB_STEP, keep=("id", "bx0", "bx1"),
         rows=(F.lit(0), F.floor((F.col("ye") - F.col("ys")) / SB_STEP)),
     )
@@ -293,7 +294,7 @@ def build_records(raw: DataFrame) -> DataFrame:
     fitted = fit_glyph(raw)
     r2 = lambda v: half_up(v, 2)
     rec = fitted.withColumn("contours", _map_points(F.col("contours"), r2, r2))
-    weights = weight_of(flatten_outlines(rec.select("id", "key", "contours"), 6))
+    weights = weight_of(rec.select("id", "key", "contours"))
     return (
         rec.select(*[c for c in raw.columns], F.col("cls.cls_name").alias("cls_name"), "os_top", "os_bot")
         .join(spacing(fitted), "id").join(weights, "id")
@@ -304,14 +305,15 @@ def build_records(raw: DataFrame) -> DataFrame:
 
 
 def side_profiles(glyphs: DataFrame) -> DataFrame:
-    """Banded side profiles, one row a glyph, from glyphs(id, polys, advance, lsb).
+    """Banded side profiles, one row a glyph, from glyphs(id, contours, advance, lsb).
 
     (id, plsb, prsb, first_row, last_row, band_l, band_r): ``band_l[k]`` is the least left
     margin within 5 rows of row first_row + k, NULL where there is no ink that near.
     """
-    g = with_bounds(glyphs.where(F.size("polys") > 0))
-    keep = ("id", "advance", "lsb", "bx0", "bx1")
-    ext = scanline_extents(exploded_edges(g, keep=keep), 0.5, KERN_STEP, keep=keep)
+    keep = ("id", "advance", "lsb")
+    edges = outline_edges(glyphs.where(F.size("contours") > 0), 6, keep)
+    g = bounds(edges, keep)
+    ext = scanline_extents(edges, 0.5, KERN_STEP, keep=keep).join(g.select("id", "bx0", "bx1"), "id")
     f32 = lambda c: c.cast("float").cast("double")
     rows = ext.select(
         "id", "row",

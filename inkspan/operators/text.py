@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import half_up
+from inkspan.session import broadcast_checked, cut_lineage, spread
 
 # Specimen defaults (em fractions of the size).
 DEFAULTS = {"size": 112.0, "tracking": 0.02, "leading": 1.05, "ascent": 0.76, "gap": 0.38, "tall": 1.05, "pad": 0.35}
@@ -26,31 +27,38 @@ def token_pattern(ligs: DataFrame) -> DataFrame:
     )
 
 
-def tokenize(docs: DataFrame, ligs: DataFrame) -> DataFrame:
+def tokenize(docs: DataFrame, ligs: DataFrame, keep=()) -> DataFrame:
     """(doc_id, lib_id, line, pos, key): lines split at newlines, longest ligature first.
 
-    An empty line keeps one row with NULL key.
+    An empty line keeps one row with NULL key. ``keep`` names further document columns to carry.
     """
     plain = F.lit("(?s)(.)")
+    patterns = broadcast_checked(token_pattern(ligs), 50_000)
+    keyed = docs.join(patterns, "lib_id", "left").select(
+        "doc_id", "lib_id", *keep, "text", F.coalesce("pattern", plain).alias("pattern")
+    )
     return (
-        docs.join(token_pattern(ligs), "lib_id", "left")
-        .select("doc_id", "lib_id", "text", F.coalesce("pattern", plain).alias("pattern"))
-        .repartition("doc_id")
-        .select("doc_id", "lib_id", "pattern", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
+        spread(keyed, "doc_id")
+        .select("doc_id", "lib_id", *keep, "pattern", F.posexplode_outer(F.split("text", "\n")).alias("line", "line_text"))
         .select(
-            "doc_id", "lib_id", "line",
+            "doc_id", "lib_id", *keep, "line",
             F.posexplode_outer(F.regexp_extract_all("line_text", F.col("pattern"), F.lit(1))).alias("pos", "key"),
         )
     )
 
 
-def variant_slots(tokens: DataFrame, n_maps: DataFrame) -> DataFrame:
-    """Adds occ (0-based, per key over the whole text) and map_no = occ mod the library's maps."""
+def with_maps(docs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Documents with the number of cycle maps of their library (n_maps), 1 where it has none."""
+    n = broadcast_checked(maps.groupBy("lib_id").agg(F.max("n_maps").cast("int").alias("n_maps")))
+    return docs.join(n, "lib_id", "left").withColumn("n_maps", F.coalesce("n_maps", F.lit(1)))
+
+
+def variant_slots(tokens: DataFrame) -> DataFrame:
+    """Adds occ (0-based, per key over the whole text) and map_no = occ mod n_maps."""
     w = Window.partitionBy("doc_id", "key").orderBy("line", "pos")
     return (
-        tokens.join(n_maps, "lib_id", "left")
-        .withColumn("occ", F.row_number().over(w) - 1)
-        .withColumn("map_no", F.pmod("occ", F.coalesce("n_maps", F.lit(1))))
+        tokens.withColumn("occ", F.row_number().over(w) - 1)
+        .withColumn("map_no", F.pmod(F.col("occ"), F.col("n_maps")))
     )
 
 
@@ -78,16 +86,17 @@ def adjacent_pairs(placed: DataFrame) -> DataFrame:
 def place_glyphs(tokens: DataFrame, maps: DataFrame, cycle=True) -> DataFrame:
     """Tokens with their glyph and the drawing before on the line.
 
-    maps(lib_id, map_no, n_maps, key, id, advance, lsb). A drawing that has no outline (the
-    space) has NULL id; ``known`` says whether the key is mapped.
+    Tokens carry n_maps when cycling. maps(lib_id, map_no, key, id, advance, lsb). A drawing
+    that has no outline (the space) has NULL id; ``known`` says whether the key is mapped.
     """
     if cycle:
-        n_maps = maps.groupBy("lib_id").agg(F.max("n_maps").alias("n_maps"))
-        slotted = variant_slots(tokens, n_maps)
+        slotted = variant_slots(tokens)
     else:
         slotted = tokens.withColumn("map_no", F.lit(0))
         maps = maps.where(F.col("map_no") == 0)
-    m = maps.select("lib_id", "map_no", "key", "id", "advance", "lsb", F.lit(True).alias("known"))
+    m = broadcast_checked(
+        maps.select("lib_id", F.col("map_no").cast("int").alias("map_no"), "key", "id", "advance", "lsb", F.lit(True).alias("known"))
+    )
     w = Window.partitionBy("doc_id", "line").orderBy("pos")
     return (
         slotted.join(m, ["lib_id", "map_no", "key"], "left")
@@ -112,7 +121,8 @@ def apply_kerns(placed: DataFrame, kerns: DataFrame) -> DataFrame:
 def _add_kern(placed: DataFrame, kern: DataFrame | None) -> DataFrame:
     if kern is None:
         return placed.withColumn("kern", F.lit(0).cast("bigint"))
-    k = kern.select(F.col("lft").alias("prev_id"), F.col("rgt").alias("id"), "kern")
+    k = kern.where(F.col("kern") != 0).select(F.col("lft").alias("prev_id"), F.col("rgt").alias("id"), "kern")
+    k = broadcast_checked(cut_lineage(k))
     return placed.join(k, ["prev_id", "id"], "left").withColumn("kern", F.coalesce("kern", F.lit(0)))
 
 

@@ -77,6 +77,44 @@ _input("pushed", """
  select lib_id, id, case when n % 6 = 0 then 'stale' else concat('h', cast(n as varchar(20))) end as hash from {drawn} d where n % 5 <> 0""")
 
 
+def _template():
+    """Unit shapes as cubics: a rectangle, an ellipse, a frame with a counter."""
+    rows = []
+
+    def ring(shape, contour, pts):
+        for i, (ax, ay) in enumerate(pts):
+            bx, by = pts[(i + 1) % len(pts)]
+            rows.append((shape, contour, i, ax, ay, ax + (bx - ax) / 3, ay + (by - ay) / 3, ax + 2 * (bx - ax) / 3, ay + 2 * (by - ay) / 3, bx, by))
+
+    k = 0.27614235
+    ring(0, 0, [(0, 0), (1, 0), (1, 1), (0, 1)])
+    ring(2, 0, [(0, 0), (1, 0), (1, 1), (0, 1)])
+    ring(2, 1, [(0.2, 0.2), (0.2, 0.8), (0.8, 0.8), (0.8, 0.2)])
+    for i, c in enumerate([
+        (1, 0.5, 1, 0.5 + k, 0.5 + k, 1, 0.5, 1), (0.5, 1, 0.5 - k, 1, 0, 0.5 + k, 0, 0.5),
+        (0, 0.5, 0, 0.5 - k, 0.5 - k, 0, 0.5, 0), (0.5, 0, 0.5 + k, 0, 1, 0.5 - k, 1, 0.5),
+    ]):
+        rows.append((1, 0, i, *c))
+    return ", ".join("(" + ", ".join([str(v) for v in r[:3]] + [f"{float(v)!r}e0" for v in r[3:]]) + ")" for r in rows)
+
+
+_AT = ", ".join(f"ox + u{i} * bw as x{i}, oy + v{i} * bh as y{i}" for i in range(4))
+_TEMPLATE = f"(select * from (values {_template()}) t(shape, contour, seg, u0, v0, u1, v1, u2, v2, u3, v3))"
+
+# traced shapes in pixels, y down
+_input("traced", f"""select id, key, contour, seg, {_AT} from (select id, key, n % 3 as shape_no, cast(0 as double) as ox, cast(0 as double) as oy,
+ cast(40 + 2 * sz as double) as bw, cast(50 + n % 60 as double) as bh from {{drawn}} d) b join {_TEMPLATE} t on t.shape = b.shape_no""")
+
+# the library's own outlines in font units, y up, nudges applied
+_input("finals", """select lib_id, key, vidx, id, n, x0, x1, y0, y1, lsb, rsb, moved, sc, cx, nudge_dy, greatest(cast(-120 as double), lsb + nudge_dl) as flsb,
+ greatest(cast(-120 as double), rsb + nudge_dr) as frsb from (select *, 1 + nudge_scale / 100 as sc, (x0 + x1) / 2 as cx, (nudge_scale <> 0 or nudge_dy <> 0) as moved from {variants} v) f""")
+_FIN = ", ".join(
+    f"case when moved then cx + (x{i} - cx) * sc else x{i} end as x{i}, case when moved then y{i} * sc + nudge_dy else y{i} end as y{i}" for i in range(4)
+)
+_input("outlines", f"""select id, lib_id, key, vidx, contour, seg, {_FIN} from (select b.id, b.lib_id, b.key, b.vidx, b.moved, b.cx, b.sc, b.nudge_dy, t.contour, t.seg, {_AT}
+ from (select *, n % 3 as shape_no, x0 as ox, y0 as oy, x1 - x0 as bw, y1 - y0 as bh from {{finals}} f) b join {_TEMPLATE} t on t.shape = b.shape_no) q""")
+
+
 def sql_of(name: str) -> str:
     """The input as one parenthesised subquery over the given tables (DuckDB side)."""
     text, _ = INPUTS[name]
@@ -104,6 +142,16 @@ def load(spark, sf_dir, name):
     return spark.sql("select * from " + text + " q0")
 
 
+def load_outlines(spark, sf_dir, name, keep):
+    """Cubic rows folded into one row a glyph: (keep..., contours)."""
+    from pyspark.sql import functions as F
+
+    pts = F.struct(*[f"{ax}{i}" for i in range(4) for ax in ("x", "y")]).alias("c")
+    rows = load(spark, sf_dir, name).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("contour", "seg", pts))).alias("cs"))
+    nth = lambda k: F.transform(F.filter("cs", lambda e: e["contour"] == k), lambda e: e["c"])
+    return rows.select(*keep, F.filter(F.array(nth(0), nth(1)), lambda c: F.size(c) > 0).alias("contours"))
+
+
 def _swap(text, t):
     import re
 

@@ -142,10 +142,10 @@ def case_variants(spark, sf):
     return c.groupBy("c").agg(F.count(F.lit(1)).alias("n")).select("c", F.explode(chars.case_variants(F.col("c"))).alias("v"), "n")
 
 
-@query("lookalike_class", """select pool, count(*) as n, count(distinct c) as members from (select c, case c when '0' then 'O' when '1' then 'I' when 'l' then 'I' when '|' then 'I' else upper(c) end as pool from
- (select unnest(regexp_extract_all(text, '(?s).')) as c from documents) a where c <> 'ß') b group by pool""")
+@query("lookalike_class", """select pool, count(*) as n, count(distinct c) as members from (select c, case c when 'ß' then 'SS' when '0' then 'O' when '1' then 'I' when 'l' then 'I' when '|' then 'I' else upper(c) end as pool from
+ (select unnest(regexp_extract_all(text, '(?s).')) as c from documents) a) b group by pool""")
 def lookalike_class(spark, sf):
-    c = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")).where(F.col("c") != "ß")
+    c = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c"))
     by = c.groupBy("c").agg(F.count(F.lit(1)).alias("k"))
     return by.groupBy(chars.lookalike_class(F.col("c")).alias("pool")).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("members"))
 

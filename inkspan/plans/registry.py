@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inkspan.session import tune
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -10,7 +12,7 @@ def query(name, sql=None):
     """Register ``fn(spark, sf_dir)``; ``sql`` is the DuckDB statement that must agree."""
 
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn

@@ -6,9 +6,10 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def build_session(app="inkspan", master=None, cores=None, memory="20g"):
+def build_session(app="inkspan", master=None, cores=None, memory="12g"):
     """A session with the settings the operators expect.
 
     On a cluster the master and sizes come from spark-submit; ``master`` is only
@@ -31,7 +32,19 @@ def build_session(app="inkspan", master=None, cores=None, memory="20g"):
             .config("spark.driver.memory", memory)
             .config("spark.sql.shuffle.partitions", str(n))
         )
-    return b.getOrCreate()
+    return tune(b.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """SQL settings for jobs whose compact inputs expand a hundredfold inside a stage.
+
+    Adaptive execution sizes partitions by what was shuffled, not by what a generator makes of
+    it; a low floor keeps small shuffled inputs spread over all cores. Large inputs are still
+    cut at the advisory size.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -50,3 +63,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition compact rows by ``keys`` before they are expanded.
+
+    The partition count is given outright so that adaptive execution does not merge
+    partitions that are small now and large after the expansion; aggregates, windows and
+    joins on the keys downstream reuse this partitioning.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *keys)
+
+
+def broadcast_checked(df: DataFrame, limit: int = 400_000) -> DataFrame:
+    """Broadcast hint for a table counted to hold at most ``limit`` rows, else the table as is.
+
+    The count stops at limit + 1 rows. Beyond the limit the join shuffles and adaptive
+    execution splits skewed partitions.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
