@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.chars import CAP, UPM, char_class
 from inkspan.functions.numbers import clamp, half_up, number_text
-from inkspan.session import spread
+from inkspan.session import cut_lineage, spread
 
 # Spacing and kerning rules.
 SB_BASE, SB_SLOPE, SB_MIN, SB_MAX, DEPTH_CLAMP, SB_STEP = 74.0, 0.44, 6, 165, 175.0, 11.0
@@ -173,7 +173,7 @@ def weight_of(glyphs: DataFrame) -> DataFrame:
     thick = F.when(F.col("per") > 0, F.lit(2.0) * F.greatest(F.lit(0.0), F.col("area")) / F.col("per")).otherwise(F.lit(0.0))
     return (
         glyphs.select("id", cls.alias("c")).join(sums, "id", "left")
-        .select("id", half_up(F.coalesce(thick, F.lit(0.0)) / F.greatest(F.lit(1), F.col("c.top") - F.col("c.bottom")), 3).alias("weight"))
+        .select("id", half_up(F.round(F.coalesce(thick, F.lit(0.0)) / F.greatest(F.lit(1), F.col("c.top") - F.col("c.bottom")), 9), 3).alias("weight"))
     )
 
 
@@ -345,6 +345,7 @@ def side_profiles(glyphs: DataFrame) -> DataFrame:
 
 def kern_pairs(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Kerning of the asked pairs(lft, rgt): (lft, rgt, kern). Pairs without profiles are 0."""
+    profiles = cut_lineage(profiles)  # read on both sides
     cols = ["plsb", "prsb", "first_row", "last_row", "band_l", "band_r"]
     side = lambda p: profiles.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
     j = pairs.join(side("lft"), "lft", "left").join(side("rgt"), "rgt", "left")

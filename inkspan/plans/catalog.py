@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkspan.plans import library_plans, text_plans  # noqa: F401
+from inkspan.plans import library_plans, outline_plans, pixel_plans, text_plans  # noqa: F401
 from inkspan.plans.registry import ORACLES, QUERIES
 
 

@@ -15,7 +15,7 @@ from inkspan.session import cut_lineage
 _TOK = """pat as (select lib_id, '(?s)(' || string_agg(key, '|' order by length(key) desc, key) || '|.)' as p from slots where length(key) > 1 group by lib_id),
  lns as (select doc_id, lib_id, unnest(string_split(text, chr(10))) as lt, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from docs),
  tk0 as (select doc_id, l.lib_id, line, case when lt = '' then [null] else regexp_extract_all(lt, coalesce(p, '(?s)(.)'), 1) end as ks from lns l left join pat using (lib_id)),
- tok as (select doc_id, lib_id, line, unnest(ks) as key, generate_subscripts(ks, 1) - 1 as pos from tk0)"""
+ tok as materialized (select doc_id, lib_id, line, unnest(ks) as key, generate_subscripts(ks, 1) - 1 as pos from tk0)"""
 
 _MAPS = f"""{_SIZES}, nm as (select lib_id, least(max(n), 4) as n_maps from sizes group by lib_id),
  pk as (select s.lib_id, s.key, m.map_no, nm.n_maps, (least(coalesce(s.active, 0), z.n - 1) + m.map_no) % z.n as vidx from slots s join sizes z using (lib_id, key)
@@ -23,10 +23,10 @@ _MAPS = f"""{_SIZES}, nm as (select lib_id, least(max(n), 4) as n_maps from size
  mb as (select p.lib_id, p.map_no, p.n_maps, p.key, f.id, f.fadvance as advance, f.flsb as lsb from pk p join {SQL_FINAL} f using (lib_id, key, vidx)),
  mo as (select lib_id, map_no, n_maps, case when key = lower(key) then upper(key) else lower(key) end as key, id, advance, lsb from mb where regexp_full_match(key, '[A-Za-z]')),
  mm as (select * from mb union all select o.* from mo o where not exists (select 1 from mb b where b.lib_id = o.lib_id and b.map_no = o.map_no and b.key = o.key)),
- maps as (select * from mm union all select distinct lib_id, map_no, n_maps, ' ', null, 340, 0.0::double from mb)"""
+ maps as materialized (select * from mm union all select distinct lib_id, map_no, n_maps, ' ', null, 340, 0.0::double from mb)"""
 
-_PLACE = """occ as (select t.*, row_number() over (partition by doc_id, key order by line, pos) - 1 as occ, coalesce(n_maps, 1) as nmp from tok t left join nm using (lib_id)),
- plc as (select o.doc_id, o.lib_id, o.line, o.pos, o.key, m.id, m.advance, m.key is not null as known, lag(m.id) over (partition by o.doc_id, o.line order by o.pos) as prev_id
+_PLACE = """occ as materialized (select t.*, row_number() over (partition by doc_id, key order by line, pos) - 1 as occ, coalesce(n_maps, 1) as nmp from tok t left join nm using (lib_id)),
+ plc as materialized (select o.doc_id, o.lib_id, o.line, o.pos, o.key, m.id, m.advance, m.key is not null as known, lag(m.id) over (partition by o.doc_id, o.line order by o.pos) as prev_id
   from occ o left join maps m on m.lib_id = o.lib_id and m.map_no = o.occ % o.nmp and m.key = o.key)"""
 
 
@@ -52,13 +52,13 @@ _PROF = sql_flat("outlines", 6, "fl") + ", " + sql_edges("fl", "ed") + """,
  ext as (select id, row, min(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)) as lo, max(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)) as hi from ln group by id, row),
  adv as (select id, fadvance as advance, flsb as lsb from """ + SQL_FINAL + """ f),
  mg as (select e.id, row, cast(cast(lsb + (lo - bx0) as float) as double) as ml, cast(cast(advance - (lsb + (hi - bx0)) as float) as double) as mr from ext e join bb using (id) join adv using (id)),
- band as (select id, row + o.o as row, min(ml) as ml, min(mr) as mr from mg cross join (values (-5),(-4),(-3),(-2),(-1),(0),(1),(2),(3),(4),(5)) o(o) group by 1, 2),
+ band as materialized (select id, row + o.o as row, min(ml) as ml, min(mr) as mr from mg cross join (values (-5),(-4),(-3),(-2),(-1),(0),(1),(2),(3),(4),(5)) o(o) group by 1, 2),
  sd as (select id, lsb as plsb, advance - (lsb + bx1 - bx0) as prsb from bb join adv using (id)),
  prs as (select distinct prev_id as lft, id as rgt from plc where prev_id is not null and id is not null),
  gap as (select p.lft, p.rgt, min(a.mr + b.ml) as gap from prs p join band a on a.id = p.lft join band b on b.id = p.rgt and b.row = a.row group by 1, 2),
  kk as (select p.lft, p.rgt, gap, a.prsb + b.plsb as facing from prs p join sd a on a.id = p.lft join sd b on b.id = p.rgt left join gap using (lft, rgt)),
  k2 as (select lft, rgt, floor(greatest(case when gap > facing then -0.7::double * (gap - facing) when gap < greatest(20.0::double, 0.3::double * facing) then greatest(20.0::double, 0.3::double * facing) - gap else 0.0::double end, -400.0::double) + 0.5::double) as k, gap from kk),
- kern as (select lft, rgt, cast(case when gap is null or abs(k) < 8 then 0 else k end as bigint) as kern from k2)"""
+ kern as materialized (select lft, rgt, cast(case when gap is null or abs(k) < 8 then 0 else k end as bigint) as kern from k2)"""
 
 _LINES = """mv as (select p.*, coalesce(k.kern, 0) as kern from plc p left join kern k on k.lft = p.prev_id and k.rgt = p.id),
  lw as (select doc_id, line, count(key) as tokens, cast(sum(case when key is not null and not known then 1 else 0 end) as bigint) as missing,
