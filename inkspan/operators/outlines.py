@@ -434,7 +434,7 @@ def glyph_order(gm: DataFrame) -> DataFrame:
     owner = F.coalesce("drawn_key", F.lit(" "))
     single = gm.where(F.col("codepoint").isNotNull() & (F.col("codepoint") <= 0xFFFD)).withColumn("owner", owner)
     firsts = single.groupBy("lib_id", "owner").agg(F.min("codepoint").alias("first_cp"))
-    ranked = running_number(firsts, ["lib_id"], "first_cp", "gid")
+    ranked = cut_lineage(running_number(firsts, ["lib_id"], "first_cp", "gid"))
     singles = single.join(ranked.select("lib_id", "owner", "gid"), ["lib_id", "owner"]).select(
         "lib_id", "key", "codepoint", "owner", "gid", F.lit("char").alias("kind")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.color import axis_position, color_dist, luma
 from inkspan.functions.numbers import half_up
+from inkspan.session import cut_lineage
 
 PHOTO = "photo_id"
 
@@ -53,9 +54,10 @@ def guess_invert(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def dominant_color(pixels: DataFrame) -> DataFrame:
     """(photo_id, r, g, b, frac): mean of the most voted 3x3x3 neighbourhood of 16^3 bins."""
-    bins = pixels.groupBy(
-        PHOTO, *[F.shiftright(c, 4).alias(f"b{c}") for c in "rgb"]
-    ).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "rgb"])
+    bins = cut_lineage(  # at most 4096 rows a photo, read four times below
+        pixels.groupBy(PHOTO, *[F.shiftright(c, 4).alias(f"b{c}") for c in "rgb"])
+        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "rgb"])
+    )
     steps = F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for c, v in zip("rgb", (a, b, c))]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
     # each bin votes for its neighbours that hold pixels themselves
     votes = bins.select(PHOTO, "n", *[f"s{c}" for c in "rgb"], *[F.col(f"b{c}").alias(f"o{c}") for c in "rgb"], F.inline(steps)).select(
@@ -84,7 +86,7 @@ def background_color(pixels: DataFrame) -> DataFrame:
 def _ranked(values: DataFrame) -> DataFrame:
     """values(photo_id, v) -> distinct values with how many come up to and including each."""
     w = Window.partitionBy(PHOTO).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return values.groupBy(PHOTO, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))
+    return cut_lineage(values.groupBy(PHOTO, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w)))
 
 
 def _pick(index: Column) -> Column:
@@ -232,7 +234,7 @@ def tophat(field: DataFrame, r: int) -> DataFrame:
 def _shift(name, n, axis):
     other = "y" if axis == "x" else "x"
     w = Window.partitionBy(PHOTO, other).orderBy(axis)
-    return F.lag(name, -n).over(w) if n < 0 else F.lag(name, n).over(w)
+    return F.lead(name, -n).over(w) if n < 0 else F.lag(name, n).over(w)
 
 
 def gradient(field: DataFrame) -> DataFrame:

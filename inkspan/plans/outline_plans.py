@@ -10,6 +10,7 @@ from inkspan.operators import text as tx
 from inkspan.plans.inputs import ctes, load, load_outlines, sql_of
 from inkspan.plans.library_plans import SQL_FINAL, sql_classes, sql_glyph_map, sql_label
 from inkspan.plans.registry import query
+from inkspan.session import cut_lineage
 from inkspan.plans.text_plans import _BASE, _PROF, kerned, sql_edges, sql_flat
 
 
@@ -175,9 +176,13 @@ _ORDER = """sg as (select *, coalesce(drawn_key, ' ') as owner from gm where cod
 _GM = ctes("slots", "variants") + f", {sql_glyph_map()}"
 
 
+def active_map(spark, sf):
+    """The glyph map is written once: every font table reads it several times."""
+    return cut_lineage(lib.glyph_map(lib.active_variant(load(spark, sf, "slots"), load(spark, sf, "variants"))))
+
+
 def order(spark, sf):
-    gm = lib.glyph_map(lib.active_variant(load(spark, sf, "slots"), load(spark, sf, "variants")))
-    return ol.glyph_order(gm)
+    return ol.glyph_order(active_map(spark, sf))
 
 
 @query("glyph_order", f"{_GM}, {_ORDER} select * from ord")
@@ -190,13 +195,13 @@ def glyph_order(spark, sf):
  gr as (select *, sum(b) over (partition by lib_id order by cp) as g from br)
  select lib_id, min(cp) as start_cp, min(gid) as start_gid, max(cp) as end_cp, max(gid) as end_gid from gr group by lib_id, g union all select distinct lib_id, 65535, 0, 65535, 0 from cp""")
 def cmap_segments(spark, sf):
-    return ol.cmap_segments(order(spark, sf))
+    return ol.cmap_segments(cut_lineage(order(spark, sf)))
 
 
 @query("ligature_sets", f"""{_GM}, {_ORDER}, lc as (select m.lib_id, m.lig, string_agg(o.gid::varchar, ' ' order by m.i) as comps, min(case when m.i = 0 then o.gid end) as first_gid, count(*) as len from mem m join ord o on o.lib_id = m.lib_id and o.key = m.key and o.codepoint is not null group by 1, 2)
  select l.lib_id, first_gid, len, comps, o.gid from lc l join ord o on o.lib_id = l.lib_id and o.key = l.lig and o.kind = 'liga'""")
 def ligature_sets(spark, sf):
-    return ol.ligature_sets(order(spark, sf))
+    return ol.ligature_sets(cut_lineage(order(spark, sf)))
 
 
 # Advance and box of the empty glyph (number 0 and undrawn members).
@@ -204,8 +209,8 @@ NOTDEF = {"advance": 745, "xmin": 55, "ymin": 0, "xmax": 690, "ymax": 700}
 
 
 def metric_rows(spark, sf):
-    gm = lib.glyph_map(lib.active_variant(load(spark, sf, "slots"), load(spark, sf, "variants")))
-    o = ol.glyph_order(gm)
+    gm = active_map(spark, sf)
+    o = cut_lineage(ol.glyph_order(gm))
     fin = lib.finalize_variant(load(spark, sf, "variants")).select(
         "id", F.floor(F.col("flsb") + 0.5).alias("xmin"), F.floor(F.col("fy0") + 0.5).alias("ymin"),
         F.floor(F.col("flsb") + F.col("fx1") - F.col("fx0") + 0.5).alias("xmax"), F.floor(F.col("fy1") + 0.5).alias("ymax"),
@@ -240,7 +245,7 @@ def font_metrics(spark, sf):
  kr as (select a.lib_id, a.gid as l, b.gid as r, k.kern, row_number() over (partition by a.lib_id order by a.gid, b.gid) as rn from kern k join ids a on a.id = k.lft join ids b on b.lib_id = a.lib_id and b.id = k.rgt where kern <> 0)
  select lib_id, l, r, kern from kr where rn <= 10000""")
 def kern_table(spark, sf):
-    gm = lib.glyph_map(lib.active_variant(load(spark, sf, "slots"), load(spark, sf, "variants")))
+    gm = active_map(spark, sf)
     ids = ol.glyph_order(gm).join(gm.select("lib_id", "key", "id"), ["lib_id", "key"]).where(F.col("id").isNotNull())
     ids = ids.groupBy("lib_id", "id").agg(F.min("gid").alias("gid"))
     _, k = kerned(spark, sf)

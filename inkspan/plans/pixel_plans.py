@@ -16,7 +16,9 @@ _GP = """gp as (select photo_id, 8 as w, 8 as h, i % 8 as x, i // 8 as y, cast(v
 
 def page_pixels(spark, sf):
     p = table(spark, sf, "pages").select(F.col("page_id").alias("photo_id"), F.regexp_extract_all("html", F.lit("(?s)."), F.lit(0)).alias("ks"))
-    p = p.select("photo_id", F.lit(64).alias("w"), F.ceil(F.size("ks") / 64).cast("int").alias("h"), F.posexplode_outer("ks").alias("i", "ch"))
+    # the height is taken before the explode, so pixel rows do not carry the page along
+    p = p.select("photo_id", F.lit(64).alias("w"), F.ceil(F.size("ks") / 64).cast("int").alias("h"), "ks")
+    p = p.select("photo_id", "w", "h", F.posexplode_outer("ks").alias("i", "ch"))
     c, band = F.ascii("ch"), F.floor(F.col("i") / 640)
     return p.select(
         "photo_id", "w", "h", (F.col("i") % 64).alias("x"), F.floor(F.col("i") / 64).cast("int").alias("y"),
