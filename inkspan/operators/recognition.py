@@ -179,7 +179,7 @@ def rank_inks(scored: DataFrame) -> DataFrame:
     """scored(photo_id, ink, s): s1 + .35 s2 + .15 s3; at least max(.2, .3 best), three at most."""
     w = Window.partitionBy("photo_id", "ink").orderBy(F.col("s").desc())
     k = scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 3)
-    tot = k.groupBy("photo_id", "ink").agg(F.sum(F.col("s") * F.element_at(F.array(F.lit(1.0), F.lit(0.35), F.lit(0.15)), F.col("k"))).alias("total"))
+    tot = k.groupBy("photo_id", "ink").agg(F.round(F.sum(F.col("s") * F.element_at(F.array(F.lit(1.0), F.lit(0.35), F.lit(0.15)), F.col("k"))), 9).alias("total"))
     r = Window.partitionBy("photo_id").orderBy(F.col("total").desc(), "ink")
     best = F.max("total").over(Window.partitionBy("photo_id"))
     return tot.withColumn("rank", F.row_number().over(r)).withColumn("best", best).where(

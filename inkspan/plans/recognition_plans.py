@@ -147,8 +147,8 @@ def stroke_score(spark, sf):
 
 
 @query("rank_inks", """with s as (select l_orderkey as photo_id, l_suppkey % 4 as ink, l_discount * 8 as s from lineitem), k as (select *, row_number() over (partition by photo_id, ink order by s desc) as k from s),
- t as (select photo_id, ink, round(sum(s * [1, .35, .15][k]::double), 6) as total from k where k <= 3 group by 1, 2), r as (select *, row_number() over (partition by photo_id order by total desc, ink) as rank, max(total) over (partition by photo_id) as b from t)
- select photo_id, ink, total, rank from r where total >= greatest(.2, .3 * b) and rank <= 3""")
+ t as (select photo_id, ink, round(sum(s * [1, .35, .15][k]::double), 9) as total from k where k <= 3 group by 1, 2), r as (select *, row_number() over (partition by photo_id order by total desc, ink) as rank, max(total) over (partition by photo_id) as b from t)
+ select photo_id, ink, round(total, 6) as total, rank from r where total >= greatest(.2, .3 * b) and rank <= 3""")
 def rank_inks(spark, sf):
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo_id"), (F.col("l_suppkey") % 4).alias("ink"), (F.col("l_discount") * 8).alias("s"))
     return rc.rank_inks(s).withColumn("total", F.round("total", 6))
