@@ -78,7 +78,7 @@ _input("pushed", """
 
 
 def _template():
-    """Unit shapes as cubics: a rectangle, an ellipse, a frame with a counter."""
+    """Unit shapes as cubics: a wedge on its base, an ellipse, a frame with a counter, a wedge on its tip."""
     rows = []
 
     def ring(shape, contour, pts):
@@ -87,7 +87,8 @@ def _template():
             rows.append((shape, contour, i, ax, ay, ax + (bx - ax) / 3, ay + (by - ay) / 3, ax + 2 * (bx - ax) / 3, ay + 2 * (by - ay) / 3, bx, by))
 
     k = 0.27614235
-    ring(0, 0, [(0, 0), (1, 0), (1, 1), (0, 1)])
+    ring(0, 0, [(0, 0), (1, 0), (0.5, 1)])
+    ring(3, 0, [(0, 1), (0.5, 0), (1, 1)])
     ring(2, 0, [(0, 0), (1, 0), (1, 1), (0, 1)])
     ring(2, 1, [(0.2, 0.2), (0.2, 0.8), (0.8, 0.8), (0.8, 0.2)])
     for i, c in enumerate([
@@ -102,7 +103,7 @@ _AT = ", ".join(f"ox + u{i} * bw as x{i}, oy + v{i} * bh as y{i}" for i in range
 _TEMPLATE = f"(select * from (values {_template()}) t(shape, contour, seg, u0, v0, u1, v1, u2, v2, u3, v3))"
 
 # traced shapes in pixels, y down
-_input("traced", f"""select id, key, contour, seg, {_AT} from (select id, key, n % 3 as shape_no, cast(0 as double) as ox, cast(0 as double) as oy,
+_input("traced", f"""select id, key, contour, seg, {_AT} from (select id, key, n % 4 as shape_no, cast(0 as double) as ox, cast(0 as double) as oy,
  cast(40 + 2 * sz as double) as bw, cast(50 + n % 60 as double) as bh from {{drawn}} d) b join {_TEMPLATE} t on t.shape = b.shape_no""")
 
 # the library's own outlines in font units, y up, nudges applied
@@ -112,7 +113,7 @@ _FIN = ", ".join(
     f"case when moved then cx + (x{i} - cx) * sc else x{i} end as x{i}, case when moved then y{i} * sc + nudge_dy else y{i} end as y{i}" for i in range(4)
 )
 _input("outlines", f"""select id, lib_id, key, vidx, contour, seg, {_FIN} from (select b.id, b.lib_id, b.key, b.vidx, b.moved, b.cx, b.sc, b.nudge_dy, t.contour, t.seg, {_AT}
- from (select *, n % 3 as shape_no, x0 as ox, y0 as oy, x1 - x0 as bw, y1 - y0 as bh from {{finals}} f) b join {_TEMPLATE} t on t.shape = b.shape_no) q""")
+ from (select *, n % 4 as shape_no, x0 as ox, y0 as oy, x1 - x0 as bw, y1 - y0 as bh from {{finals}} f) b join {_TEMPLATE} t on t.shape = b.shape_no) q""")
 
 
 def sql_of(name: str) -> str:

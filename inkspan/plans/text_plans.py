@@ -60,9 +60,13 @@ _PROF = sql_flat("outlines", 6, "fl") + ", " + sql_edges("fl", "ed") + """,
  k2 as (select lft, rgt, floor(greatest(case when gap > facing then -0.7::double * (gap - facing) when gap < greatest(20.0::double, 0.3::double * facing) then greatest(20.0::double, 0.3::double * facing) - gap else 0.0::double end, -400.0::double) + 0.5::double) as k, gap from kk),
  kern as materialized (select lft, rgt, cast(case when gap is null or abs(k) < 8 then 0 else k end as bigint) as kern from k2)"""
 
-_LINES = """mv as (select p.*, coalesce(k.kern, 0) as kern from plc p left join kern k on k.lft = p.prev_id and k.rgt = p.id),
- lw as (select doc_id, line, count(key) as tokens, cast(sum(case when key is not null and not known then 1 else 0 end) as bigint) as missing,
-  cast(sum(case when key is null then 0 else kern + case when known then advance else 380 end end) as bigint) as units from mv group by 1, 2),
+_LINES = """kz as materialized (select lft || '>' || rgt as pr, kern from kern where kern <> 0),
+ mv as (select p.*, coalesce(k.kern, 0) as kern from plc p left join kz k on k.pr = p.prev_id || '>' || p.id),
+ pz as materialized (select doc_id, line, prev_id || '>' || id as pr, count(*) as n from plc where prev_id is not null and id is not null group by 1, 2, 3),
+ ks as (select doc_id, line, sum(n * kern) as k from pz join kz using (pr) group by 1, 2),
+ l0 as (select doc_id, line, count(key) as tokens, cast(sum(case when key is not null and not known then 1 else 0 end) as bigint) as missing,
+  sum(case when key is null then 0 when known then advance else 380 end) as u from plc group by 1, 2),
+ lw as (select doc_id, line, tokens, missing, cast(u + coalesce(k, 0) as bigint) as units from l0 left join ks using (doc_id, line)),
  lnw as (select *, units * 0.112::double + tokens * (0.02::double * 112) as width from lw)"""
 
 _BASE = ctes("docs", "slots", "variants", "outlines") + f", {_TOK}, {_MAPS}, {_PLACE}"
