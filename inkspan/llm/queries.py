@@ -54,3 +54,19 @@ def op3(spark, sf):
     items = table(spark, sf, "benchmark")
     found = positional.search(positional.build_index(table(spark, sf, "documents"), items), items)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name=TOKENIZER):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_bpe")
+def op9(spark, sf):
+    from inkspan.llm import bpe
+
+    return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
