@@ -70,3 +70,27 @@ def op9(spark, sf):
     from inkspan.llm import bpe
 
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query("op6_toxicity")
+def op6(spark, sf):
+    from inkspan.llm import toxicity
+
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op7_quality")
+def op7(spark, sf):
+    from inkspan.llm import quality
+
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
+@query("op8_language")
+def op8(spark, sf):
+    from inkspan.llm import langid
+
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.fit(docs))
