@@ -37,8 +37,8 @@ with d as (select row_number() over () as rid, doc_id, {_WORDS.format('text')} a
  b as (select cast(item_id as varchar) as item, {_WORDS.format('text')} as w from benchmark),
  bw as (select item, least(10, len(w)) as m, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i, w from b where len(w) > 0),
  win as (select distinct item, m, list_slice(w, i, i + m - 1) as k from bw),
- at as (select rid, m, w, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from win) where len(w) >= m),
- dw as (select rid, m, i, list_slice(w, i, i + m - 1) as k from at),
+ spots as (select rid, m, w, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from win) where len(w) >= m),
+ dw as (select rid, m, i, list_slice(w, i, i + m - 1) as k from spots),
  h as (select rid, i, m, item from dw join win using (m, k)),
  p as (select rid, count(distinct x) as n_hit from (select rid, unnest(range(i, i + m)) as x from h) group by 1),
  s as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rid, item from h) group by 1)
@@ -94,3 +94,42 @@ def op8(spark, sf):
 
     docs = table(spark, sf, "documents")
     return langid.identify(docs, langid.fit(docs))
+
+
+@query("op4_pii")
+def op4(spark, sf):
+    from inkspan.llm import pii
+
+    return pii.report(table(spark, sf, "documents"))
+
+
+@query("op5_url_filter")
+def op5(spark, sf):
+    from inkspan.llm import url_filter
+
+    return url_filter.judge(table(spark, sf, "pages"), url_filter.fit(url_filter.labelled(spark)))
+
+
+_TURN = "'<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10)"
+_SPAN = "(began + length('<|im_start|>' || role) + 1)::varchar || ':' || (began + length('<|im_start|>' || role) + 1 + length(body) + 10)::varchar"
+
+OP10_SQL = f"""
+with t as (select distinct conv_id, turn, coalesce(role, '') as role, replace(replace(coalesce(text, ''), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>') as body from conversations where conv_id is not null),
+ n as (select conv_id, cast(floor(conv_id / 2) as bigint) as pair_id, conv_id % 2 = 0 as is_chosen, role, body, row_number() over (partition by conv_id order by turn nulls first, role, body) as i from t),
+ pair as (select c.pair_id, c.i, c.role = r.role and c.body = r.body as same from n c join n r on c.pair_id = r.pair_id and c.i = r.i and c.is_chosen and not r.is_chosen),
+ pre as (select pair_id, coalesce(min(i) filter (not same) - 1, max(i)) as n_prefix from pair group by 1),
+ m as (select n.*, coalesce(n_prefix, 0) as n_prefix from n left join pre using (pair_id)),
+ k as (select *, coalesce(sum(length({_TURN})) over (partition by conv_id order by i rows between unbounded preceding and 1 preceding), 0) as began from m where i > n_prefix),
+ s as (select pair_id, is_chosen, count(*) as n, string_agg({_TURN}, '' order by i) as said, coalesce(string_agg({_SPAN}, ',' order by i) filter (role = 'assistant'), '') as mask from k group by 1, 2),
+ h as (select pair_id, bool_or(is_chosen) as has_c, bool_or(not is_chosen) as has_r, max(n_prefix) as n_prefix, coalesce(string_agg({_TURN}, '' order by i) filter (is_chosen and i <= n_prefix), '') as prompt from m group by 1)
+select h.pair_id, n_prefix, prompt, case when has_c then coalesce(c.n, 0) end as n_chosen, case when has_c then coalesce(c.said, '') end as chosen, case when has_c then coalesce(c.mask, '') end as chosen_mask,
+ case when has_r then coalesce(r.n, 0) end as n_rejected, case when has_r then coalesce(r.said, '') end as rejected, case when has_r then coalesce(r.mask, '') end as rejected_mask
+from h left join s c on c.pair_id = h.pair_id and c.is_chosen left join s r on r.pair_id = h.pair_id and not r.is_chosen
+"""
+
+
+@query("op10_preference", OP10_SQL)
+def op10(spark, sf):
+    from inkspan.llm import preference
+
+    return preference.format_pairs(table(spark, sf, "conversations"))

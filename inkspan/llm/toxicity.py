@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence has the logit ``BIAS + sum of its words' weights``; a document's score is the noisy-or of
+A sentence has the logit ``BIAS + sum of its words' weights``, no weight below 0; a document's score is the noisy-or of
 its sentences with a leak for labels that no sentence explains: 1 - (1 - leak) * prod(1 - p). The
 weights are fitted to document labels alone; afterwards the sentences that carry a document's score
 are the offending ones.
@@ -18,8 +18,9 @@ from inkspan.llm.words import U, column, slices, small_batches, words
 
 TRAIN_DOCS = 8000  # documents in the training sample, about
 TRAIN_CHARS = 20_000  # longer documents are not learned from
-MIN_DOCS = 5  # training documents a word must stand in
+MIN_DOCS = 8  # training documents a word must stand in
 BIAS = -10.0  # logit of a sentence of unknown words: ten thousand of them make a score of 0.37 at most
+RIDGE = 1e-2  # pull of the weights to 0
 MOD, HELD = 4, 2
 THRESHOLD = 0.3
 
@@ -83,9 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame, most=TRAIN_DOCS, steps=200) -> tuple
         score = 1 - (1 - leak) * clear
         leak = float(np.clip((y * leak / np.maximum(score, 1e-9)).sum() / len(y), 1e-4, 0.5))  # an expectation step
         g = np.where(y[owner] > 0, -((1 - score) / np.maximum(score, 1e-9))[owner] * p, p)
-        grad = np.bincount(col, g[inst], len(keep)) + 1e-3 * weight
+        grad = np.bincount(col, g[inst], len(keep)) + RIDGE * weight
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        weight -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        weight = np.maximum(weight - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8), 0)
     order = np.argsort(vocabulary[keep])
     return vocabulary[keep][order], weight[order], leak
 
