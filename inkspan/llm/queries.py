@@ -133,3 +133,10 @@ def op10(spark, sf):
     from inkspan.llm import preference
 
     return preference.format_pairs(table(spark, sf, "conversations"))
+
+
+@query("op2_near_copies")
+def op2(spark, sf):
+    from inkspan.llm import bagminhash
+
+    return bagminhash.groups(table(spark, sf, "documents"))

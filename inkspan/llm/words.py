@@ -89,23 +89,22 @@ class Words:
         """How many words the text still holds from each word on, itself included."""
         return np.repeat(self.first[1:], self.count()) - np.arange(len(self.start))
 
+    def _run(self, at, k):
+        acc = self.hash[at]
+        for j in range(1, k):
+            acc = acc * _BASE + self.hash[at + j]
+        return acc
+
     def shingles(self, k):
         """(text, hash) of every run of k words; a text of fewer words, but not none, is one run."""
-        h, n, owner = self.hash, self.count(), self.owner()
-        left = self.left()
-        at = np.flatnonzero(left >= k)
-        acc = np.zeros(len(at), U)
-        for j in range(k):
-            acc = mix(acc + U(j + 1)) + h[at + j] if j else h[at].copy()
-        docs, out = [owner[at]], [mix(acc)]
+        n, owner = self.count(), self.owner()
+        at = np.flatnonzero(self.left() >= k)
+        docs, out = [owner[at]], [mix(self._run(at, k))]
         for size in range(1, k):
             short = np.flatnonzero(n == size)
             if len(short):
-                acc = h[self.first[short]].copy()
-                for j in range(1, size):
-                    acc = mix(acc + U(j + 1)) + h[self.first[short] + j]
                 docs.append(short)
-                out.append(mix(acc + U(size)))
+                out.append(mix(self._run(self.first[short], size) + U(size)))
         return np.concatenate(docs), np.concatenate(out)
 
 
