@@ -140,3 +140,10 @@ def op2(spark, sf):
     from inkspan.llm import bagminhash
 
     return bagminhash.groups(table(spark, sf, "documents"))
+
+
+@query("op1_embedding_links")
+def op1(spark, sf):
+    from inkspan.llm import multi_index
+
+    return multi_index.links(table(spark, sf, "embeddings"))
