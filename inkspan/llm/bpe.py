@@ -183,6 +183,16 @@ def decode(encoded: DataFrame, path) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id bigint, text string")
 
 
+def tokenise(docs: DataFrame, path, text_leaf=TEXT_LEAF, piece_leaf=PIECE_LEAF) -> DataFrame:
+    """``encode`` and ``round_trip`` in one pass: the ids beside their number and digests."""
+    def both(codec, doc_ids, all_ids):
+        ids = list(all_ids)
+        d = _digest(codec, doc_ids, ids)
+        return pa.RecordBatch.from_arrays([*d.columns, pa.array(ids, pa.list_(pa.int32()))], [*d.schema.names, "ids"])
+
+    return _encoded(docs, path, DIGEST + ", ids array<int>", both, text_leaf, piece_leaf)
+
+
 def round_trip(docs: DataFrame, path, text_leaf=TEXT_LEAF, piece_leaf=PIECE_LEAF) -> DataFrame:
     """Per row the number of tokens, a digest of the ids and one of the text decoded from them."""
     return _encoded(docs, path, DIGEST, _digest, text_leaf, piece_leaf)

@@ -147,3 +147,10 @@ def op1(spark, sf):
     from inkspan.llm import multi_index
 
     return multi_index.links(table(spark, sf, "embeddings"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
