@@ -137,8 +137,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Other columns stay; ``n_chars``, where present, follows the text; a null text stays null.
     """
-    keep = [c for c in docs.columns if c != "text"]
-    df = find(docs.withColumn("_was_null", F.col("text").isNull()), (*keep, "_was_null"))
+    quoted = [F.col(f"`{c}`") for c in docs.columns]
+    df = find(docs.select(F.struct(*quoted).alias("_row"), F.col("text")), ("_row",))
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"_{k.name}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def merge(done, s):
@@ -154,7 +154,8 @@ def redact(docs: DataFrame) -> DataFrame:
     pieces = F.transform("_all", lambda s, i: F.concat(cut(end_before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     text = F.when(F.size("_all") == 0, F.col("_text")).otherwise(F.concat(F.array_join(pieces, ""), cut(F.element_at("_all", -1)["end"], F.length("_text"))))
     df = df.withColumn("_wide", F.when(F.size("_all") > 0, wide)).withColumn("_new", text)
-    new = {"text": F.when(~F.col("_was_null"), F.col("_new"))}
+    was = F.col("_row")
+    new = {"text": F.when(was["text"].isNotNull(), F.col("_new"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size("_all") > 0, F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.size("_all") > 0, F.length("_new")).otherwise(was["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, was[c]).alias(c) for c in docs.columns])
