@@ -29,32 +29,26 @@ def _coords(c):
     return [F.col(f"{c}.{ax}{i}").alias(f"{ax}{i}") for i in range(4) for ax in ("x", "y")]
 
 
-def _coords_power():
-    out = []
-    for ax in ("x", "y"):
-        p = [F.col(f"{ax}{i}") for i in range(4)]
-        out += [p[0], p[3], (p[3] - p[2] * 3 + p[1] * 3 - p[0]).alias(f"{ax}a"), ((p[2] - p[1] * 2 + p[0]) * 3).alias(f"{ax}b"), ((p[1] - p[0]) * 3).alias(f"{ax}c")]
-    return out
+def _weights(t: Column) -> list[Column]:
+    m = F.lit(1.0) - t
+    return [w.alias(f"b{i}") for i, w in enumerate((m * m * m, F.lit(3.0) * m * m * t, F.lit(3.0) * m * t * t, t * t * t))]
 
 
 def _bernstein(t: Column, ax: str) -> Column:
-    m = F.lit(1.0) - t
+    w = _weights(t)
     p = [F.col(f"{ax}{i}") for i in range(4)]
-    return (m * m * m) * p[0] + (F.lit(3.0) * m * m * t) * p[1] + (F.lit(3.0) * m * t * t) * p[2] + (t * t * t) * p[3]
+    return w[0] * p[0] + w[1] * p[1] + w[2] * p[2] + w[3] * p[3]
 
 
-def cubic_samples(glyphs: DataFrame, max_seg: float, keep=("id",), power=False) -> DataFrame:
+def cubic_samples(glyphs: DataFrame, max_seg: float, keep=("id",)) -> DataFrame:
     """One row per curve sample: (keep..., contour, seg, k, n, x0..y3), k = 1..n.
 
     n = max(2, ceil(control length / max_seg) + 1). The compact glyph rows are hash-partitioned
     by id first, so whatever groups by id afterwards needs no further shuffle. The outer forms
     of explode keep the optimiser from repeating the array work in an inferred filter.
-    ``power`` gives the polynomial coefficients (x0, xa, xb, xc, x3 and the same for y) in place
-    of the control points: computed once a curve, they keep the code generated per sample small
-    enough for the JVM to compile.
     """
     length = _hyp("x0", "y0", "x1", "y1") + _hyp("x1", "y1", "x2", "y2") + _hyp("x2", "y2", "x3", "y3")
-    shape = _coords_power() if power else [f"{ax}{i}" for i in range(4) for ax in ("x", "y")]
+    shape = [f"{ax}{i}" for i in range(4) for ax in ("x", "y")]
     return (
         spread(glyphs.select(*keep, "contours"), "id")
         .select(*keep, F.posexplode_outer("contours").alias("contour", "_cs"))
@@ -104,17 +98,15 @@ def outline_edges(glyphs: DataFrame, max_seg: float, keep=("id",)) -> DataFrame:
             _hyp(F.element_at(c, -1)["x3"], F.element_at(c, -1)["y3"], F.element_at(c, 1)["x0"], F.element_at(c, 1)["y0"]) < 1e-6, c
         ).otherwise(F.concat(c, F.array(closing(c)))),
     )
-    s = cubic_samples(glyphs.withColumn("contours", closed), max_seg, keep, power=True)
-    t0, t1 = (F.col("k") - 1) / F.col("n"), F.col("k") / F.col("n")
+    s = cubic_samples(glyphs.withColumn("contours", closed), max_seg, keep)
+    # the weights of both ends are computed in the row, which keeps the code generated per sample small
+    weights = F.array(*[F.struct(*_weights(t)) for t in ((F.col("k") - 1) / F.col("n"), F.col("k") / F.col("n"))])
+    s = s.withColumn("_w", weights).select("*", F.expr("inline(array(named_struct('_u', _w[0], '_v', _w[1])))"))
 
-    def at(t, ax):
-        return ((F.col(f"{ax}a") * t + F.col(f"{ax}b")) * t + F.col(f"{ax}c")) * t + F.col(f"{ax}0")
+    def at(w, ax):
+        return F.col(f"{w}.b0") * F.col(f"{ax}0") + F.col(f"{w}.b1") * F.col(f"{ax}1") + F.col(f"{w}.b2") * F.col(f"{ax}2") + F.col(f"{w}.b3") * F.col(f"{ax}3")
 
-    end = F.col("k") == F.col("n")
-    return s.select(
-        *keep, "contour", at(t0, "x").alias("ax"), at(t0, "y").alias("ay"),
-        F.when(end, F.col("x3")).otherwise(at(t1, "x")).alias("bx"), F.when(end, F.col("y3")).otherwise(at(t1, "y")).alias("by"),
-    )
+    return s.select(*keep, "contour", at("_u", "x").alias("ax"), at("_u", "y").alias("ay"), at("_v", "x").alias("bx"), at("_v", "y").alias("by"))
 
 
 def bounds(edges: DataFrame, keep=("id",)) -> DataFrame:

@@ -148,9 +148,9 @@ def load_outlines(spark, sf_dir, name, keep):
     from pyspark.sql import functions as F
 
     pts = F.struct(*[f"{ax}{i}" for i in range(4) for ax in ("x", "y")]).alias("c")
-    rows = load(spark, sf_dir, name).groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("contour", "seg", pts))).alias("cs"))
-    nth = lambda k: F.transform(F.filter("cs", lambda e: e["contour"] == k), lambda e: e["c"])
-    return rows.select(*keep, F.filter(F.array(nth(0), nth(1)), lambda c: F.size(c) > 0).alias("contours"))
+    segs = load(spark, sf_dir, name).groupBy(*keep, "contour").agg(F.array_sort(F.collect_list(F.struct("seg", pts))).alias("cs"))
+    rings = segs.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("contour", F.transform("cs", lambda e: e["c"]).alias("ring")))).alias("rs"))
+    return rings.select(*keep, F.transform("rs", lambda r: r["ring"]).alias("contours"))
 
 
 def _swap(text, t):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkspan.functions.numbers import half_up
 from inkspan.operators import library as lib
 from inkspan.operators import outlines as ol
 from inkspan.operators import text as tx
@@ -132,10 +133,10 @@ def build_records(spark, sf):
 
 
 @query("scanline_extents", ctes("outlines") + f""", {_F6}, ln as (select id, ax, ay, ex, ey, unnest(generate_series(cast(ceil((least(ay, ey) - 0.5::double) / 10) as bigint), cast(ceil((greatest(ay, ey) - 0.5::double) / 10) as bigint) - 1)) as row from e6)
- select id, row, round(min(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)), 4) as lo, round(max(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)), 4) as hi from ln group by 1, 2""")
+ select id, row, floor(min(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)) * 10000 + 0.5::double) / 10000 as lo, floor(max(ax + (row * 10 + 0.5::double - ay) / (ey - ay) * (ex - ax)) * 10000 + 0.5::double) / 10000 as hi from ln group by 1, 2""")
 def scanline_extents(spark, sf):
     e = ol.scanline_extents(ol.outline_edges(own(spark, sf), 6), 0.5, 10)
-    return e.select("id", "row", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return e.select("id", "row", half_up("lo", 4).alias("lo"), half_up("hi", 4).alias("hi"))
 
 
 _ROT = ", ".join(f"round(3 + (x{i} - 3) * cos(radians(12)) - (y{i} - 5) * sin(radians(12)), 5) as x{i}, round(5 + (x{i} - 3) * sin(radians(12)) + (y{i} - 5) * cos(radians(12)), 5) as y{i}" for i in range(4))
