@@ -20,11 +20,22 @@ def _inside():
     return (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("w")) & (F.col("y") < F.col("h"))
 
 
+def gaps(ink: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Background runs (photo_id, w, h, y, x0, x1): what lies between a row's ink runs and its ends."""
+    f = frames if frames is not None else _frame(ink)
+    ends = F.inline(F.array(F.struct(F.lit(-1).alias("x0"), F.lit(-1).alias("x1")), F.struct(F.col("w").alias("x0"), F.col("w").alias("x1"))))
+    rows = f.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).select(PHOTO, "w", "h", "y", ends)
+    runs = to_runs(ink).select(PHOTO, "w", "h", "y", F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    w = Window.partitionBy(PHOTO, "y").orderBy("x0")
+    return (
+        rows.unionByName(runs).withColumn("_n", F.lead("x0").over(w)).where(F.col("_n") > F.col("x1") + 1)
+        .select(PHOTO, "w", "h", "y", (F.col("x1") + 1).alias("x0"), (F.col("_n") - 1).alias("x1"))
+    )
+
+
 def complement(ink: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """Background pixels of each photo."""
-    f = frames if frames is not None else _frame(ink)
-    grid = f.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    return grid.join(ink.select(*PIX), PIX, "left_anti")
+    return from_runs(gaps(ink, frames))
 
 
 # ---- runs and components ----------------------------------------------------
@@ -43,31 +54,25 @@ def from_runs(runs: DataFrame) -> DataFrame:
     return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
 
 
-def connected(edges: DataFrame, max_rounds=40) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(photo_id, node, root): least reachable node, over edges(photo_id, u, v) with u <> v.
 
-    Alternating large-star and small-star steps: every round at least halves what is left of a
-    chain and no node's neighbours are gathered as a list. Each round is written to the shared
-    checkpoint folder.
+    Alternating large-star and small-star steps until no edge changes, compared row by row; no
+    node's neighbours are gathered as a list. Each round is written to the shared checkpoint folder.
     """
-    e = edges.select(PHOTO, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = cut_lineage(e)
-    last = None
-    for _ in range(max_rounds):
+    e = cut_lineage(edges.select(PHOTO, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    while True:
         both = e.unionByName(e.select(PHOTO, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(PHOTO, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, [PHOTO, "u"]).where(F.col("v") > F.col("u")).select(PHOTO, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy(PHOTO, "u").agg(F.min("v").alias("m"))
         small = large.join(down, [PHOTO, "u"])
-        e = small.select(PHOTO, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        new = cut_lineage(small.select(PHOTO, F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select(PHOTO, "u", F.col("m").alias("v"))
-        ).where("u <> v").distinct()
-        e = cut_lineage(e)
-        sign = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v") % 1000003).alias("s"), F.sum(F.xxhash64(PHOTO, "u", "v") % 1000003).alias("k")).first()
-        if sign == last:
-            return e.select(PHOTO, F.col("u").alias("node"), F.col("v").alias("root"))
-        last = sign
-    raise RuntimeError("components did not settle")
+        ).where("u <> v").distinct())
+        if new.join(e, [PHOTO, "u", "v"], "left_anti").isEmpty() and e.join(new, [PHOTO, "u", "v"], "left_anti").isEmpty():
+            return new.select(PHOTO, F.col("u").alias("node"), F.col("v").alias("root"))
+        e = new
 
 
 def run_components(runs: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def _touches():
 
 def holes(ink: DataFrame, frames=None) -> DataFrame:
     """Enclosed background pieces as runs: (photo_id, w, h, y, x0, x1, comp, area)."""
-    runs = run_components(to_runs(complement(ink, frames)))
+    runs = run_components(gaps(ink, frames))
     s = runs.groupBy(PHOTO, "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.max(_touches()).alias("open"))
     return runs.join(s.where(~F.col("open")).drop("open"), [PHOTO, "comp"])
 
@@ -129,7 +134,7 @@ def count_holes(ink: DataFrame, more_than=8) -> DataFrame:
         PHOTO, F.coalesce("holes", F.lit(0)).alias("holes"))
 
 
-def fill_holes(ink: DataFrame, max_frac: float, max_area=None, max_thick=None, reach=16) -> DataFrame:
+def fill_holes(ink: DataFrame, max_frac: float, max_area=None, max_thick=None) -> DataFrame:
     """Holes small against ink + hole fill; so do those never thicker than ``max_thick``."""
     if max_frac <= 0:
         return ink
@@ -141,7 +146,7 @@ def fill_holes(ink: DataFrame, max_frac: float, max_area=None, max_thick=None, r
     j = h.join(total, PHOTO)
     if max_thick:
         px = from_runs(h.select(PHOTO, "w", "h", "y", "x0", "x1", "comp"))
-        d = distance_within(complement(ink), max(reach, int(max_thick) + 1), border_ink=True)
+        d = distance(complement(ink), border_ink=True)
         thick = px.join(d, PIX).groupBy(PHOTO, "comp").agg(F.max("d").alias("thick"))
         j = j.join(thick, [PHOTO, "comp"], "left")
         ok = ok | (F.coalesce("thick", F.lit(1e9)) <= max_thick)
@@ -149,10 +154,10 @@ def fill_holes(ink: DataFrame, max_frac: float, max_area=None, max_thick=None, r
     return ink.select(PHOTO, "w", "h", "x", "y").unionByName(add.select(PHOTO, "w", "h", "x", "y"))
 
 
-def component_stats(ink: DataFrame, reach=64) -> DataFrame:
+def component_stats(ink: DataFrame) -> DataFrame:
     """Per component: area, box, fill, frame edges touched, stroke width, length, elongation, size."""
     c = components(ink)
-    d = distance_within(ink, reach)
+    d = distance(ink)
     t = lambda cond: F.max(cond.cast("int"))
     s = c.join(d, PIX).groupBy(PHOTO, "comp", "w", "h").agg(
         F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
@@ -183,35 +188,52 @@ def mask_measures(ink: DataFrame) -> DataFrame:
     return box.join(per, PHOTO).withColumn("stroke_width", F.col("area") * 2 / F.col("perimeter"))
 
 
-def distance_within(ink: DataFrame, reach: int, border_ink=False) -> DataFrame:
-    """(photo_id, x, y, d): octile distance of each ink pixel to the nearest off pixel.
+STRIP = 64  # columns of a photo that one task's array holds
 
-    Exact up to ``reach``, which is also the value beyond it. Per row the nearest off column
-    is a window; the rows within reach then meet on (photo, column). The frame counts as off
-    at distance 1 unless ``border_ink``.
+
+def distance(ink: DataFrame, border_ink=False) -> DataFrame:
+    """(photo_id, x, y, d): exact octile distance of each ink pixel to the nearest off pixel.
+
+    Distances along the row come from the runs; strips of columns, each bounded by the photo's
+    height, then take the least over the rows above and below, going outwards until no row could
+    improve any pixel. The frame counts as off at distance 1 unless ``border_ink``; without any
+    off pixel the distance is infinite.
     """
     runs = to_runs(ink)
     # distance along the row to the run's ends; past the frame only when it counts as off
     left = F.when((F.col("x0") == 0) & F.lit(border_ink), F.lit(None)).otherwise(F.col("x") - F.col("x0") + 1)
     right = F.when((F.col("x1") == F.col("w") - 1) & F.lit(border_ink), F.lit(None)).otherwise(F.col("x1") - F.col("x") + 1)
-    rows = runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(PHOTO, "w", "h", "x", "y", F.least(left, right).alias("hd"))
-    dy = F.sequence(F.greatest(F.lit(-reach), -F.col("y")), F.least(F.lit(reach), F.col("h") - 1 - F.col("y")))
-    ask = rows.select(PHOTO, "w", "h", "x", "y", F.explode(dy).alias("dy")).withColumn("ry", F.col("y") + F.col("dy"))
-    look = rows.select(PHOTO, "x", F.col("y").alias("ry"), "hd", F.lit(True).alias("ink"))
-    adx, ady = F.coalesce("hd", F.lit(1 << 20)), F.abs("dy")
-    flat = F.when(F.col("ink").isNull(), F.lit(0)).otherwise(adx)
-    # an off pixel straight above or below, or the nearest one to the side on that row
-    oct_ = F.greatest(flat, ady) + F.least(flat, ady) * (SQRT2 - 1)
-    edge = F.lit(float(1 << 20)) if border_ink else F.least(F.col("y") + 1, F.col("h") - F.col("y"), F.col("x") + 1, F.col("w") - F.col("x")).cast("double")
-    return (
-        ask.join(look, [PHOTO, "x", "ry"], "left")
-        .groupBy(*PIX).agg(F.least(F.min(oct_), F.min(edge), F.lit(float(reach))).alias("d"))
-    )
-
-
-def thin_radius(ink: DataFrame, pct=0.2, reach=32) -> DataFrame:
+    rows = runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).select(
+        PHOTO, F.col("w").cast("int"), F.col("h").cast("int"), F.col("x").cast("int"), F.col("y").cast("int"), F.least(left, right).cast("double").alias("hd"))
+    kind = ink.schema[PHOTO].dataType.simpleString()
+
+    def strip(table):
+        import numpy as np
+        import pyarrow as pa
+
+        get = lambda name: table.column(name).to_numpy()
+        x, y, w, h = get("x"), get("y"), int(get("w")[0]), int(get("h")[0])
+        base = int(x.min())
+        side = np.zeros((h, int(x.max()) - base + 1))
+        side[y, x - base] = np.nan_to_num(table.column("hd").to_numpy(zero_copy_only=False), nan=np.inf)
+        best = side.copy()
+        for k in range(1, h):
+            if best[y, x - base].max() <= k:
+                break
+            reach = np.maximum(side, k) + np.minimum(side, k) * (SQRT2 - 1)
+            best[k:] = np.minimum(best[k:], reach[:-k])
+            best[:-k] = np.minimum(best[:-k], reach[k:])
+        d = best[y, x - base]
+        if not border_ink:
+            d = np.minimum.reduce([d, x + 1.0, w - x + 0.0, y + 1.0, h - y + 0.0])
+        return pa.table({PHOTO: table.column(PHOTO), "x": pa.array(x), "y": pa.array(y), "d": pa.array(d)})
+
+    return rows.withColumn("_s", F.floor(F.col("x") / STRIP)).groupBy(PHOTO, "_s").applyInArrow(strip, f"{PHOTO} {kind}, x int, y int, d double")
+
+
+def thin_radius(ink: DataFrame, pct=0.2) -> DataFrame:
     """Low percentile of the distance along its ridge; 0 without a ridge."""
-    d = cut_lineage(distance_within(ink, reach))
+    d = cut_lineage(distance(ink))
     steps = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     around = d.select(PHOTO, "d", F.inline(steps)).groupBy(*PIX).agg(F.max("d").alias("m"))
     ridge = d.join(around, PIX, "left").where((F.col("d") >= 1.5) & (F.col("d") >= F.coalesce("m", F.lit(0.0))))
@@ -222,9 +244,9 @@ def thin_radius(ink: DataFrame, pct=0.2, reach=32) -> DataFrame:
     return ink.select(PHOTO).distinct().join(got, PHOTO, "left").select(PHOTO, F.coalesce("radius", F.lit(0.0)).alias("radius"))
 
 
-def solid_width(ink: DataFrame, reach=64) -> DataFrame:
+def solid_width(ink: DataFrame) -> DataFrame:
     """Four times the mean distance to the edge once pocks (2 % of ink at most) are filled."""
-    return distance_within(fill_holes(ink, 0.02), reach).groupBy(PHOTO).agg((F.avg("d") * 4).alias("width"))
+    return distance(fill_holes(ink, 0.02)).groupBy(PHOTO).agg((F.avg("d") * 4).alias("width"))
 
 
 # ---- morphology -------------------------------------------------------------
@@ -243,7 +265,7 @@ def dilate(ink: DataFrame, r: int) -> DataFrame:
         steps = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in _disk(r)])
         return ink.select(PHOTO, "w", "h", F.inline(steps)).where(_inside()).distinct()
     off = complement(ink)
-    near = distance_within(off, r + 1, border_ink=True).where(F.col("d") <= r)
+    near = distance(off, border_ink=True).where(F.col("d") <= r)
     return ink.select(*cols).unionByName(near.join(_frame(ink), PHOTO).select(*cols))
 
 
@@ -255,7 +277,7 @@ def erode(ink: DataFrame, r: int) -> DataFrame:
     if r <= 3:
         eaten = dilate(complement(ink), r)
         return ink.select(*cols).join(eaten.select(*PIX), PIX, "left_anti").select(*cols)
-    return ink.select(*cols).join(distance_within(ink, r + 1, border_ink=True).where(F.col("d") > r), PIX).select(*cols)
+    return ink.select(*cols).join(distance(ink, border_ink=True).where(F.col("d") > r), PIX).select(*cols)
 
 
 def close(ink, r):

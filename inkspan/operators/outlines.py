@@ -378,10 +378,10 @@ def kern_pairs(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def kern_table(kerns: DataFrame, ids: DataFrame, limit: int = 10000) -> DataFrame:
-    """Non-zero pairs as (lib_id, l, r, kern) by glyph number, the first ``limit`` a library.
+def kern_table(kerns: DataFrame, ids: DataFrame) -> DataFrame:
+    """Non-zero pairs as (lib_id, l, r, kern, rn), numbered by glyph numbers within a library.
 
-    kerns(lib_id, lft, rgt, kern); ids(lib_id, id, gid). The cut is the file format's: how many
+    kerns(lib_id, lft, rgt, kern); ids(lib_id, id, gid). A writer of a bounded file format cuts at its ``rn``; how many
     pairs come before a left glyph is summed first, so no library is numbered in one task.
     """
     gid = lambda k, name: ids.select("lib_id", F.col("id").alias(k), F.col("gid").alias(name))
@@ -391,7 +391,7 @@ def kern_table(kerns: DataFrame, ids: DataFrame, limit: int = 10000) -> DataFram
     )
     from inkspan.operators.ordering import running_number
 
-    return running_number(t, ["lib_id"], "r", "rn", lead=["l"]).where(F.col("rn") <= limit).select("lib_id", "l", "r", "kern")
+    return running_number(t, ["lib_id"], "r", "rn", lead=["l"]).select("lib_id", "l", "r", "kern", "rn")
 
 
 # ---- SVG --------------------------------------------------------------------

@@ -16,12 +16,6 @@ from inkspan.session import cut_lineage
 PHOTO = "photo_id"
 
 
-def sampled(pixels: DataFrame, budget: int) -> DataFrame:
-    """Every step-th row and column, step = max(1, round(sqrt(w*h / budget)))."""
-    step = F.greatest(F.lit(1), half_up(F.sqrt(F.col("w") * F.col("h") / float(budget))))
-    return pixels.where((F.col("x") % step == 0) & (F.col("y") % step == 0))
-
-
 def border_ring(pixels: DataFrame, share=0.08, least=3) -> DataFrame:
     m = F.greatest(F.lit(least), half_up(F.least("w", "h") * share))
     return pixels.where((F.col("x") < m) | (F.col("y") < m) | (F.col("x") >= F.col("w") - m) | (F.col("y") >= F.col("h") - m))
@@ -32,7 +26,7 @@ def luma_histogram(pixels: DataFrame) -> DataFrame:
 
 
 def otsu(hist: DataFrame) -> DataFrame:
-    """(photo_id, threshold): first maximum of between-class variance, plus one; 128 if one-valued."""
+    """(photo_id, threshold): first maximum of between-class variance, plus one; 129 if one-valued."""
     w = Window.partitionBy(PHOTO).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = Window.partitionBy(PHOTO)
     c = (
@@ -75,8 +69,7 @@ def dominant_color(pixels: DataFrame) -> DataFrame:
 
 def background_color(pixels: DataFrame) -> DataFrame:
     """Dominant colour of the border ring where it holds a quarter, else of the whole photo."""
-    s = sampled(pixels, 200000)
-    ring, whole = dominant_color(border_ring(s)), dominant_color(s)
+    ring, whole = dominant_color(border_ring(pixels)), dominant_color(pixels)
     i = ring.where(F.col("frac") >= 0.25).select(PHOTO, F.struct("r", "g", "b", "frac").alias("ring"))
     return whole.select(PHOTO, F.struct("r", "g", "b", "frac").alias("whole")).join(i, PHOTO, "left").select(
         PHOTO, F.inline(F.array(F.coalesce("ring", "whole")))
@@ -98,7 +91,7 @@ def wall_tolerance(pixels: DataFrame, background: DataFrame) -> DataFrame:
     """How far the wall's own colour wanders: capped 90th percentile of the border ring."""
     bg = background.select(PHOTO, *[F.col(c).alias(f"w{c}") for c in "rgb"], "frac")
     d = (
-        border_ring(sampled(pixels, 60000)).join(bg, PHOTO)
+        border_ring(pixels).join(bg, PHOTO)
         .select(PHOTO, "frac", F.round(color_dist(F.col("r"), F.col("g"), F.col("b"), F.col("wr"), F.col("wg"), F.col("wb")), 6).alias("v"))
     )
     ranked = _ranked(d.select(PHOTO, "v"))
@@ -118,10 +111,10 @@ def wall_tolerance(pixels: DataFrame, background: DataFrame) -> DataFrame:
     )
 
 
-def surface_tolerance(pixels: DataFrame, background: DataFrame, every=7) -> DataFrame:
-    """90th percentile of every 7th pixel's distance to the surface colour x1.3, at least 25."""
+def surface_tolerance(pixels: DataFrame, background: DataFrame) -> DataFrame:
+    """90th percentile of the pixels' distance to the surface colour x1.3, at least 25."""
     bg = background.select(PHOTO, *[F.col(c).alias(f"w{c}") for c in "rgb"])
-    d = pixels.where((F.col("y") * F.col("w") + F.col("x")) % every == 0).join(bg, PHOTO).select(
+    d = pixels.join(bg, PHOTO).select(
         PHOTO, F.round(color_dist(F.col("r"), F.col("g"), F.col("b"), F.col("wr"), F.col("wg"), F.col("wb")), 6).alias("v")
     )
     ranked = _ranked(d)
@@ -139,14 +132,14 @@ def dominant_along_axis(pixels: DataFrame, sample, wall) -> DataFrame:
     res = F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
     keep = pixels.where(F.lit(len2 >= 400) & (u >= 0.3) & (u <= 1.6) & (res <= max(30.0, len2**0.5 * 0.25)))
     enough = keep.groupBy(PHOTO).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 60)
-    return dominant_color(sampled(keep, 200000)).join(enough.select(PHOTO), PHOTO, "left_semi")
+    return dominant_color(keep).join(enough.select(PHOTO), PHOTO, "left_semi")
 
 
 def body_tone(pixels: DataFrame, seed, wall) -> DataFrame:
     """(photo_id, r, g, b): the paint reference moved halfway to the median tone of its body."""
     u, off2, len2 = axis_position(F.col("r"), F.col("g"), F.col("b"), seed, wall)
     u1 = F.least(u, F.lit(1.0))
-    own = sampled(pixels, 250000).where((u1 >= 0.45) & (F.sqrt(off2) <= F.greatest(F.lit(30.0), F.sqrt(len2) * 0.25)))
+    own = pixels.where((u1 >= 0.45) & (F.sqrt(off2) <= F.greatest(F.lit(30.0), F.sqrt(len2) * 0.25)))
     ranked = _ranked(own.select(PHOTO, F.round(u1, 9).alias("v")))
     n = ranked.groupBy(PHOTO).agg(F.max("upto").alias("cnt"))
     med = ranked.join(n, PHOTO).groupBy(PHOTO, "cnt").agg(_pick(F.floor(F.col("cnt") / 2)).alias("med"))
@@ -172,11 +165,10 @@ def color_groups(labelled: DataFrame) -> DataFrame:
     )
 
 
-def label_borders(labelled: DataFrame, stride=2) -> DataFrame:
-    """(photo_id, a, b, n): unlike neighbours right and below, looked at every ``stride`` pixels."""
+def label_borders(labelled: DataFrame) -> DataFrame:
+    """(photo_id, a, b, n): unlike neighbours right and below."""
     at = labelled.select(PHOTO, "x", "y", "label")
-    base = at.where((F.col("x") % stride == 0) & (F.col("y") % stride == 0))
-    to = base.select(PHOTO, F.col("label").alias("p"), F.inline(F.array(
+    to = at.select(PHOTO, F.col("label").alias("p"), F.inline(F.array(
         F.struct((F.col("x") + 1).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + 1).alias("y")))))
     pair = to.join(at, [PHOTO, "x", "y"]).where(F.col("p") != F.col("label"))
     return pair.groupBy(PHOTO, F.least("p", "label").alias("a"), F.greatest("p", "label").alias("b")).agg(F.count(F.lit(1)).alias("n"))

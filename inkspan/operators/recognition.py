@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from inkspan.functions.chars import lookalike_class
 from inkspan.functions.numbers import half_up
-from inkspan.operators.masks import complement, distance_within
-from inkspan.session import broadcast_checked
+from inkspan.operators.masks import complement, distance
 
 # Prior of rare symbols, and the symbols about as common as letters.
 RARE_PRIOR, COMMON_SYMBOLS = 0.15, "!?#*"
@@ -44,11 +43,11 @@ def template_scores(probes: DataFrame, templates: DataFrame, probe_info: DataFra
 
     *_info(id | tpl, [ch], aspect, holes); templates(tpl, cell, v), dense over cells.
     """
-    t = broadcast_checked(templates.select("tpl", "cell", F.col("v").alias("tv")))
+    t = templates.select("tpl", "cell", F.col("v").alias("tv"))
     iou = probes.join(t, "cell").groupBy("id", "tpl").agg(
         F.sum(F.least("v", "tv")).alias("i"), F.sum(F.greatest("v", "tv")).alias("u")
     )
-    info = broadcast_checked(template_info.select("tpl", "ch", F.col("aspect").alias("ta"), F.col("holes").alias("th")))
+    info = template_info.select("tpl", "ch", F.col("aspect").alias("ta"), F.col("holes").alias("th"))
     j = iou.join(probe_info, "id").join(info, "tpl")
     dh = F.abs(F.col("holes") - F.col("th"))
     hole = F.when(dh == 0, 1.06).when(dh == 1, 0.9).otherwise(0.72)
@@ -78,7 +77,7 @@ def _to_ink(cells: DataFrame, key, n, level):
 def _distance(cells, key, n, level):
     """Distance of every cell to the nearest inked cell."""
     ink = _to_ink(cells, key, n, level)
-    off = distance_within(complement(ink), n, border_ink=True)
+    off = distance(complement(ink), border_ink=True)
     cell = (F.col("y") * n + F.col("x")).alias("cell")
     return ink.select(F.col("photo_id").alias(key), cell, F.lit(0.0).alias("d")).unionByName(off.select(F.col("photo_id").alias(key), cell, "d"))
 
@@ -87,8 +86,8 @@ def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame
     """(id, tpl, score): weight-agnostic match, harmonic mean of precision and recall of ink."""
     sigma2 = 2 * 1.6 * 1.6
     near = lambda d: F.exp(-(F.col(d) * F.col(d)) / sigma2)
-    t_d = broadcast_checked(_distance(templates, "tpl", n, 0.3))
-    t_ink = broadcast_checked(templates.where(F.col("v") > 0.3).select("tpl", "cell"))
+    t_d = _distance(templates, "tpl", n, 0.3)
+    t_ink = templates.where(F.col("v") > 0.3).select("tpl", "cell")
     prec = probes.where(F.col("v") > 0.2).select("id", "cell").join(t_d, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("p"))
     rec = _distance(probes, "id", n, 0.2).join(t_ink, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("r"))
     j = prec.join(rec, ["id", "tpl"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
@@ -97,8 +96,8 @@ def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame
 
 def score(probes: DataFrame, weights: DataFrame, biases: DataFrame) -> DataFrame:
     """Dense layer and softmax: probes(id, cell, v), weights(ch, cell, wt), biases(ch, bias) -> (id, ch, p)."""
-    w = broadcast_checked(weights.select("ch", "cell", "wt"))
-    logit = probes.join(w, "cell").groupBy("id", "ch").agg(F.sum(F.col("v") * F.col("wt")).alias("z")).join(broadcast_checked(biases), "ch").withColumn("z", F.col("z") + F.col("bias"))
+    w = weights.select("ch", "cell", "wt")
+    logit = probes.join(w, "cell").groupBy("id", "ch").agg(F.sum(F.col("v") * F.col("wt")).alias("z")).join(biases, "ch").withColumn("z", F.col("z") + F.col("bias"))
     one = Window.partitionBy("id")
     e = logit.withColumn("e", F.exp(F.col("z") - F.max("z").over(one)))
     return e.select("id", "ch", (F.col("e") / F.sum("e").over(one)).alias("p"))
@@ -125,9 +124,9 @@ def clarity(readings: DataFrame) -> DataFrame:
 
 
 def top_guesses(readings: DataFrame) -> DataFrame:
-    """(cand_id, rank, ch, p, auto): up to three guesses of at least 0.04; auto-fill where sure."""
+    """(cand_id, rank, ch, p, auto): guesses of at least 0.04 by rank; auto-fill where sure."""
     w = Window.partitionBy("cand_id").orderBy(F.col("p").desc(), "ch")
-    r = readings.where(F.col("ch") != "junk").withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= 3) & (F.col("p") >= 0.04))
+    r = readings.where(F.col("ch") != "junk").withColumn("rank", F.row_number().over(w)).where(F.col("p") >= 0.04)
     return r.join(letterness(readings), "cand_id").where(F.col("letterness") >= 0.3).select(
         "cand_id", "rank", "ch", "p", ((F.col("rank") == 1) & (F.col("letterness") >= 0.5) & (F.col("p") >= 0.35)).alias("auto"))
 
@@ -176,14 +175,14 @@ def stroke_score(elong: Column, size: Column, fill: Column, touch: Column, densi
 
 
 def rank_inks(scored: DataFrame) -> DataFrame:
-    """scored(photo_id, ink, s): s1 + .35 s2 + .15 s3; at least max(.2, .3 best), three at most."""
+    """scored(photo_id, ink, s): s1 + .35 s2 + .15 s3; at least max(.2, .3 best), by rank."""
     w = Window.partitionBy("photo_id", "ink").orderBy(F.col("s").desc())
     k = scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= 3)
     tot = k.groupBy("photo_id", "ink").agg(F.round(F.sum(F.col("s") * F.element_at(F.array(F.lit(1.0), F.lit(0.35), F.lit(0.15)), F.col("k"))), 9).alias("total"))
     r = Window.partitionBy("photo_id").orderBy(F.col("total").desc(), "ink")
     best = F.max("total").over(Window.partitionBy("photo_id"))
     return tot.withColumn("rank", F.row_number().over(r)).withColumn("best", best).where(
-        (F.col("total") >= F.greatest(F.lit(0.2), F.col("best") * 0.3)) & (F.col("rank") <= 3)).drop("best")
+        F.col("total") >= F.greatest(F.lit(0.2), F.col("best") * 0.3)).drop("best")
 
 
 def lean(stems: DataFrame) -> DataFrame:
@@ -200,8 +199,8 @@ def lean(stems: DataFrame) -> DataFrame:
     return best.select("cand_id", F.when(ok, v).otherwise(0.0).alias("lean"))
 
 
-def pick_disjoint(groupings: DataFrame, most: int = 4) -> DataFrame:
-    """Best first, each of members no better one took: (shape, gid).
+def pick_disjoint(groupings: DataFrame) -> DataFrame:
+    """Best first, each of members no better one took: (shape, rank, gid).
 
     groupings(shape, gid, score, letterness, members array). The letters of one shape are at most a
     few dozen, folded inside their own row.
@@ -212,10 +211,10 @@ def pick_disjoint(groupings: DataFrame, most: int = 4) -> DataFrame:
     start = F.struct(F.array().cast(f"array<{kinds['gid']}>").alias("ids"), F.array().cast(kinds["members"]).alias("used"))
 
     def step(acc, e):
-        free = (F.size(acc["ids"]) < most) & ~F.arrays_overlap(acc["used"], e["members"])
+        free = ~F.arrays_overlap(acc["used"], e["members"])
         return F.when(free, F.struct(F.concat(acc["ids"], F.array(e["gid"])).alias("ids"), F.concat(acc["used"], e["members"]).alias("used"))).otherwise(acc)
 
-    return g.select("shape", F.explode(F.aggregate("gs", start, step)["ids"]).alias("gid"))
+    return g.select("shape", F.posexplode(F.aggregate("gs", start, step)["ids"]).alias("rank", "gid")).withColumn("rank", F.col("rank") + 1)
 
 
 def accuracy(scored: DataFrame, truth: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import half_up
-from inkspan.session import broadcast_checked, cut_lineage, spread
+from inkspan.session import cut_lineage, spread
 
 # Specimen defaults (em fractions of the size).
 DEFAULTS = {"size": 112.0, "tracking": 0.02, "leading": 1.05, "ascent": 0.76, "gap": 0.38, "tall": 1.05, "pad": 0.35}
@@ -33,7 +33,7 @@ def tokenize(docs: DataFrame, ligs: DataFrame, keep=()) -> DataFrame:
     An empty line keeps one row with NULL key. ``keep`` names further document columns to carry.
     """
     plain = F.lit("(?s)(.)")
-    patterns = broadcast_checked(token_pattern(ligs), 50_000)
+    patterns = token_pattern(ligs)
     keyed = docs.join(patterns, "lib_id", "left").select(
         "doc_id", "lib_id", *keep, "text", F.coalesce("pattern", plain).alias("pattern")
     )
@@ -49,7 +49,7 @@ def tokenize(docs: DataFrame, ligs: DataFrame, keep=()) -> DataFrame:
 
 def with_maps(docs: DataFrame, maps: DataFrame) -> DataFrame:
     """Documents with the number of cycle maps of their library (n_maps), 1 where it has none."""
-    n = broadcast_checked(maps.groupBy("lib_id").agg(F.max("n_maps").cast("int").alias("n_maps")))
+    n = maps.groupBy("lib_id").agg(F.max("n_maps").cast("int").alias("n_maps"))
     return docs.join(n, "lib_id", "left").withColumn("n_maps", F.coalesce("n_maps", F.lit(1)))
 
 
@@ -62,8 +62,8 @@ def variant_slots(tokens: DataFrame) -> DataFrame:
     )
 
 
-def missing_glyphs(tokens: DataFrame, gm: DataFrame, shown: int = 24) -> DataFrame:
-    """Characters of each text with no glyph, first seen first: (doc_id, ord, key); 24 shown.
+def missing_glyphs(tokens: DataFrame, gm: DataFrame) -> DataFrame:
+    """Characters of each text with no glyph, first seen first: (doc_id, ord, key); a caller shows as many as it likes.
 
     Reduced to one row per distinct key map-side before the anti join.
     """
@@ -73,7 +73,7 @@ def missing_glyphs(tokens: DataFrame, gm: DataFrame, shown: int = 24) -> DataFra
     )
     absent = seen.join(gm.select("lib_id", "key"), ["lib_id", "key"], "left_anti")
     w = Window.partitionBy("doc_id").orderBy("first")
-    return absent.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= shown).select("doc_id", "ord", "key")
+    return absent.withColumn("ord", F.row_number().over(w)).select("doc_id", "ord", "key")
 
 
 def adjacent_pairs(placed: DataFrame) -> DataFrame:
@@ -94,9 +94,7 @@ def place_glyphs(tokens: DataFrame, maps: DataFrame, cycle=True) -> DataFrame:
     else:
         slotted = tokens.withColumn("map_no", F.lit(0))
         maps = maps.where(F.col("map_no") == 0)
-    m = broadcast_checked(
-        maps.select("lib_id", F.col("map_no").cast("int").alias("map_no"), "key", "id", "advance", "lsb", F.lit(True).alias("known"))
-    )
+    m = maps.select("lib_id", F.col("map_no").cast("int").alias("map_no"), "key", "id", "advance", "lsb", F.lit(True).alias("known"))
     w = Window.partitionBy("doc_id", "line").orderBy("pos")
     return (
         slotted.join(m, ["lib_id", "map_no", "key"], "left")
@@ -122,7 +120,7 @@ def _add_kern(placed: DataFrame, kern: DataFrame | None) -> DataFrame:
     if kern is None:
         return placed.withColumn("kern", F.lit(0).cast("bigint"))
     k = kern.where(F.col("kern") != 0).select(F.col("lft").alias("prev_id"), F.col("rgt").alias("id"), "kern")
-    k = broadcast_checked(cut_lineage(k))
+    k = cut_lineage(k)
     return placed.join(k, ["prev_id", "id"], "left").withColumn("kern", F.coalesce("kern", F.lit(0)))
 
 

@@ -54,7 +54,7 @@ _input("photos", """
   page_id % 5 <> 0 as in_inbox, page_id % 6 = 0 as trashed from pages""", "pages")
 
 _input("processed", """
- select distinct concat('ph', cast((o_orderkey * 3) % 1009 as varchar(20))) as photo_id from orders where o_orderstatus = 'P'""", "orders")
+ select distinct concat('ph', cast((o_orderkey * 3) % 1009 as varchar(20))) as photo_id from orders where o_orderstatus = 'P' and (o_orderkey * 3) % 1009 % 2 = 1""", "orders")
 
 # a second library revision: other parts of the same slots, some ids shared
 _input("incoming", """

@@ -57,14 +57,14 @@ def hysteresis(spark, sf):
 
 @query("distance_within", f"with {_INK}, {_DIST} select photo_id, x, y, round(d, 6) as d from dst")
 def distance_within(spark, sf):
-    return mk.distance_within(ink(spark, sf), 8).select("photo_id", "x", "y", F.round("d", 6).alias("d"))
+    return mk.distance(ink(spark, sf)).select("photo_id", "x", "y", F.round("d", 6).alias("d"))
 
 
 @query("component_stats", f"""with recursive {_INK}, {_comp('ink', 'cc')}, {_DIST}, s as (select photo_id, comp, count(*) as area, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, avg(d) * 4 as stroke,
  max((x = 0)::int) + max((y = 0)::int) + max((x = 7)::int) + max((y = 7)::int) as touch from cc join dst using (photo_id, x, y) group by 1, 2)
  select photo_id, comp, area, x0, y0, x1, y1, round(stroke, 5) as stroke, touch, round(area / ((x1 - x0 + 1) * (y1 - y0 + 1)), 5) as fill, round(area / stroke / stroke, 4) as elong, greatest(x1 - x0 + 1, y1 - y0 + 1) / 8 as size from s""")
 def component_stats(spark, sf):
-    s = mk.component_stats(ink(spark, sf), 8)
+    s = mk.component_stats(ink(spark, sf))
     return s.select("photo_id", "comp", "area", "x0", "y0", "x1", "y1", F.round("stroke", 5).alias("stroke"), "touch", F.round("fill", 5).alias("fill"), F.round("elong", 4).alias("elong"), "size")
 
 
@@ -77,7 +77,7 @@ def mask_measures(spark, sf):
 @query("thin_radius", f"""with {_INK}, {_DIST}, rd as (select a.photo_id, a.x, a.y, max(a.d) as d from dst a left join dst b on b.photo_id = a.photo_id and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1 where a.d >= 1.5 group by 1, 2, 3 having max(a.d) >= max(b.d)),
  l as (select photo_id, list(d order by d) as l, count(*) as n from rd group by 1) select i.photo_id, round(coalesce(l[cast(floor(n * .2::double) as bigint) + 1], 0), 6) as radius from (select distinct photo_id from ink) i left join l using (photo_id)""")
 def thin_radius(spark, sf):
-    return mk.thin_radius(ink(spark, sf), 0.2, 8).withColumn("radius", F.round("radius", 6))
+    return mk.thin_radius(ink(spark, sf), 0.2).withColumn("radius", F.round("radius", 6))
 
 
 _D1 = "(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) <= {r})"
@@ -138,6 +138,10 @@ def smooth_mask(spark, sf):
     return mk.smooth_mask(ink(spark, sf), 5).select("photo_id", "x", "y")
 
 
-@query("solid_width")
+@query("solid_width", f"""with recursive {_INK}, {_HOLE}, tot as (select photo_id, count(*) as k from ink group by 1),
+ full_ as materialized (select photo_id, x, y from ink union all select h.photo_id, h.x, h.y from hc h join hs using (photo_id, comp) join tot using (photo_id) where n <= .02::double * (k + n)),
+ off_ as (select g.photo_id, g.x, g.y from gp g where not exists (select 1 from full_ f where f.photo_id = g.photo_id and f.x = g.x and f.y = g.y)),
+ ds as (select i.photo_id, i.x, i.y, least(min(greatest(abs(b.x - i.x), abs(b.y - i.y)) + least(abs(b.x - i.x), abs(b.y - i.y)) * (sqrt(2.0::double) - 1)), i.x + 1, 8 - i.x, i.y + 1, 8 - i.y) as d
+ from full_ i left join off_ b on b.photo_id = i.photo_id group by 1, 2, 3) select photo_id, round(avg(d) * 4, 6) as width from ds group by 1""")
 def solid_width(spark, sf):
-    return mk.solid_width(ink(spark, sf), 8)
+    return mk.solid_width(ink(spark, sf)).withColumn("width", F.round("width", 6))

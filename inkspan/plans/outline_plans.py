@@ -244,7 +244,7 @@ def font_metrics(spark, sf):
 @query("kern_table", f"""{_BASE}, {_PROF}, {sql_glyph_map().replace('sizes as', 'sizes2 as').replace('join sizes z', 'join sizes2 z')}, {_ORDER},
  ids as (select o.lib_id, g.id, min(o.gid) as gid from ord o join gm g using (lib_id, key) where g.id is not null group by 1, 2),
  kr as (select a.lib_id, a.gid as l, b.gid as r, k.kern, row_number() over (partition by a.lib_id order by a.gid, b.gid) as rn from kern k join ids a on a.id = k.lft join ids b on b.lib_id = a.lib_id and b.id = k.rgt where kern <> 0)
- select lib_id, l, r, kern from kr where rn <= 10000""")
+ select lib_id, l, r, kern, rn from kr""")
 def kern_table(spark, sf):
     gm = active_map(spark, sf)
     ids = ol.glyph_order(gm).join(gm.select("lib_id", "key", "id"), ["lib_id", "key"]).where(F.col("id").isNotNull())

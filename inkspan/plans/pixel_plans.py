@@ -108,7 +108,7 @@ def _round_rgb(df):
 
 @query("dominant_color", f"with {_PX}, {_dom('px', 'dm')} select {_RGB} from dm")
 def dominant_color(spark, sf):
-    return _round_rgb(px.dominant_color(px.sampled(page_pixels(spark, sf), 200000)))
+    return _round_rgb(px.dominant_color(page_pixels(spark, sf)))
 
 
 _BG = f"""rg as (select * from px where x < greatest(3, floor(least(w, h) * .08::double + .5::double)) or y < greatest(3, floor(least(w, h) * .08::double + .5::double)) or x >= w - greatest(3, floor(least(w, h) * .08::double + .5::double)) or y >= h - greatest(3, floor(least(w, h) * .08::double + .5::double))),
@@ -131,7 +131,7 @@ def wall_tolerance(spark, sf):
     return px.wall_tolerance(p, px.background_color(p)).withColumn("tolerance", F.round("tolerance", 4))
 
 
-@query("surface_tolerance", f"""with {_PX}, {_BG}, ds as (select photo_id, round({_d('px.r', 'px.g', 'px.b', 'bg.r', 'bg.g', 'bg.b')}, 6) as d from px join bg using (photo_id) where (px.y * px.w + px.x) % 7 = 0),
+@query("surface_tolerance", f"""with {_PX}, {_BG}, ds as (select photo_id, round({_d('px.r', 'px.g', 'px.b', 'bg.r', 'bg.g', 'bg.b')}, 6) as d from px join bg using (photo_id)),
  ls as (select photo_id, list(d order by d) as l, count(*) as n from ds group by 1) select photo_id, round(greatest(25, l[cast(floor(n * .9::double) as bigint) + 1] * 1.3::double), 4) as tolerance from ls""")
 def surface_tolerance(spark, sf):
     p = page_pixels(spark, sf)
@@ -167,10 +167,10 @@ def color_groups(spark, sf):
     return g.select("photo_id", "label", *[F.round(c, 5).alias(c) for c in "rgb"], F.round("share", 6).alias("share"), F.round("ring_share", 6).alias("ring_share"))
 
 
-@query("label_borders", f"""with {_PX}, {_LB}, nb as (select a.photo_id, least(a.label, c.label) as a, greatest(a.label, c.label) as b from lb a join lb c on c.photo_id = a.photo_id and ((c.x = a.x + 1 and c.y = a.y)) where a.x % 2 = 0 and a.y % 2 = 0 and a.label <> c.label
- union all select a.photo_id, least(a.label, c.label), greatest(a.label, c.label) from lb a join lb c on c.photo_id = a.photo_id and c.x = a.x and c.y = a.y + 1 where a.x % 2 = 0 and a.y % 2 = 0 and a.label <> c.label) select photo_id, a, b, count(*) as n from nb group by 1, 2, 3""")
+@query("label_borders", f"""with {_PX}, {_LB}, nb as (select a.photo_id, least(a.label, c.label) as a, greatest(a.label, c.label) as b from lb a join lb c on c.photo_id = a.photo_id and ((c.x = a.x + 1 and c.y = a.y)) where a.label <> c.label
+ union all select a.photo_id, least(a.label, c.label), greatest(a.label, c.label) from lb a join lb c on c.photo_id = a.photo_id and c.x = a.x and c.y = a.y + 1 where a.label <> c.label) select photo_id, a, b, count(*) as n from nb group by 1, 2, 3""")
 def label_borders(spark, sf):
-    return px.label_borders(labelled(spark, sf), 2)
+    return px.label_borders(labelled(spark, sf))
 
 
 def _nbr(r):

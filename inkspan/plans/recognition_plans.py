@@ -62,7 +62,7 @@ _OCT = "(greatest(abs(a.cell % 8 - b.cell % 8), abs(a.cell // 8 - b.cell // 8))
 
 
 @query("chamfer_scores", f"""with {_GR}, pi as materialized (select id, cell from pb where v > .75), pk as (select id, cell from pb where v > .2), ti as materialized (select tpl, cell from tp where v > .3), cl as (select unnest(generate_series(0, 63)) as cell),
- td as materialized (select b.tpl, a.cell, least(8, min({_OCT})) as d from cl a, ti b group by 1, 2), pd as materialized (select b.id, a.cell, least(8, min({_OCT})) as d from cl a, pk b group by 1, 2),
+ td as materialized (select b.tpl, a.cell, min({_OCT}) as d from cl a, ti b group by 1, 2), pd as materialized (select b.id, a.cell, min({_OCT}) as d from cl a, pk b group by 1, 2),
  pr as (select k.id, t.tpl, avg(exp(-(d * d) / 5.12)) as p from pk k join td t using (cell) group by 1, 2), re as (select p.id, t.tpl, avg(exp(-(d * d) / 5.12)) as r from pd p join ti t using (cell) group by 1, 2)
  select id, tpl, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 5) as score from pr join re using (id, tpl)""")
 def chamfer_scores(spark, sf):
@@ -102,7 +102,7 @@ def clarity(spark, sf):
 
 
 @query("top_guesses", f"""with {_RW}, r as (select *, row_number() over (partition by cand_id order by p desc, ch) as rank from rq where ch <> 'junk')
- select cand_id, rank, ch, round(p, 5) as p, rank = 1 and letterness >= .5 and p >= .35 as auto from r join lt using (cand_id) where rank <= 3 and p >= .04 and letterness >= .3""")
+ select cand_id, rank, ch, round(p, 5) as p, rank = 1 and letterness >= .5 and p >= .35 as auto from r join lt using (cand_id) where p >= .04 and letterness >= .3""")
 def top_guesses(spark, sf):
     return rc.top_guesses(rc.reweight(readings(spark, sf))).withColumn("p", F.round("p", 5))
 
@@ -148,7 +148,7 @@ def stroke_score(spark, sf):
 
 @query("rank_inks", """with s as (select l_orderkey as photo_id, l_suppkey % 4 as ink, l_discount * 8 as s from lineitem), k as (select *, row_number() over (partition by photo_id, ink order by s desc) as k from s),
  t as (select photo_id, ink, round(sum(s * [1, .35, .15][k]::double), 9) as total from k where k <= 3 group by 1, 2), r as (select *, row_number() over (partition by photo_id order by total desc, ink) as rank, max(total) over (partition by photo_id) as b from t)
- select photo_id, ink, round(total, 6) as total, rank from r where total >= greatest(.2, .3 * b) and rank <= 3""")
+ select photo_id, ink, round(total, 6) as total, rank from r where total >= greatest(.2, .3 * b)""")
 def rank_inks(spark, sf):
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo_id"), (F.col("l_suppkey") % 4).alias("ink"), (F.col("l_discount") * 8).alias("s"))
     return rc.rank_inks(s).withColumn("total", F.round("total", 6))
@@ -199,12 +199,16 @@ def grid_features(spark, sf):
     return rc.grid_features(ink(spark, sf), 32, 28).withColumn("v", F.round("v", 5))
 
 
-@query("pick_disjoint", """with g as (select l_orderkey as shape, l_partkey * 100000 + l_suppkey * 10 + l_linenumber as gid, l_quantity as score, l_discount * 10 as letterness, l_suppkey % 3 as m from lineitem),
- f as (select shape, m, arg_min(gid, (-score, gid)) as gid from g where letterness >= .5 group by 1, 2) select shape, gid from f""")
+@query("pick_disjoint", """with recursive g as (select l_orderkey as shape, l_partkey * 100000 + l_suppkey * 10 + l_linenumber as gid, l_quantity as score, l_discount * 10 as letterness, [l_suppkey % 7, l_partkey % 5] as m from lineitem),
+ o as materialized (select *, row_number() over (partition by shape order by score desc, gid) as k from g where letterness >= .5),
+ r as (select shape, cast(0 as bigint) as k, cast([] as bigint[]) as used, cast([] as bigint[]) as ids from (select distinct shape from o) union all
+  select r.shape, o.k, case when list_has_any(used, m) then used else list_concat(used, m) end, case when list_has_any(used, m) then ids else list_append(ids, o.gid) end from r join o on o.shape = r.shape and o.k = r.k + 1),
+ e as (select shape, ids from r qualify row_number() over (partition by shape order by k desc) = 1)
+ select shape, unnest(generate_series(1, len(ids))) as rank, unnest(ids) as gid from e""")
 def pick_disjoint(spark, sf):
     li = table(spark, sf, "lineitem")
     g = li.select(F.col("l_orderkey").alias("shape"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("gid"), F.col("l_quantity").alias("score"),
-                  (F.col("l_discount") * 10).alias("letterness"), F.array(F.col("l_suppkey") % 3).alias("members"))
+                  (F.col("l_discount") * 10).alias("letterness"), F.array(F.col("l_suppkey") % 7, F.col("l_partkey") % 5).alias("members"))
     return rc.pick_disjoint(g)
 
 

@@ -48,7 +48,7 @@ def review_queue(spark, sf):
     e = table(spark, sf, "events")
     op = F.when(F.col("event_type") == "click", "open_now").when(F.col("event_type") == "error", "skip").when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "view", "next_candidate").otherwise("enqueue")
     photo = F.concat(F.lit("ph"), (F.col("event_id") % 40).cast("string"))
-    return folds.review_queue(e.select(F.col("user_id").cast("string").alias("reviewer"), "ts", F.col("event_id").alias("seq"), op.alias("op"), photo.alias("photo_id"), F.array(photo).alias("copies")))
+    return folds.review_queue(e.select(F.col("user_id").cast("string").alias("reviewer"), "ts", F.col("event_id").alias("seq"), op.alias("op"), photo.alias("photo_id"), F.array(photo).alias("copies"), (F.col("event_id") % 4 + 1).alias("candidates")))
 
 
 @query("library_documents", ctes("variants", "slots") + "select v.lib_id, v.key, v.vidx, v.id, v.advance, s.active, v.photo_id, v.nudge_dy from variants v join slots s using (lib_id, key)")

@@ -108,7 +108,7 @@ def tokenize(spark, sf):
 
 @query("missing_glyphs", ctes("docs", "slots", "variants") + f""", {_TOK}, {_MAPS}, seen as (select doc_id, lib_id, key, min(line * 1000000 + pos) as f from tok where key is not null and key <> ' ' group by 1, 2, 3),
  ab as (select s.* from seen s where not exists (select 1 from maps m where m.map_no = 0 and m.lib_id = s.lib_id and m.key = s.key)),
- r as (select doc_id, key, row_number() over (partition by doc_id order by f) as ord from ab) select doc_id, ord, key from r where ord <= 24""")
+ r as (select doc_id, key, row_number() over (partition by doc_id order by f) as ord from ab) select doc_id, ord, key from r""")
 def missing_glyphs(spark, sf):
     m = maps(spark, sf).where(F.col("map_no") == 0)
     return tx.missing_glyphs(tokens(spark, sf), m)

@@ -6,7 +6,6 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app="inkspan", master=None, cores=None, memory="12g"):
@@ -79,12 +78,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *keys)
-
-
-def broadcast_checked(df: DataFrame, limit: int = 400_000) -> DataFrame:
-    """Broadcast hint for a table counted to hold at most ``limit`` rows, else the table as is.
-
-    The count stops at limit + 1 rows. Beyond the limit the join shuffles and adaptive
-    execution splits skewed partitions.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

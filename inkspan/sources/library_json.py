@@ -39,21 +39,38 @@ def parse_documents(docs: DataFrame, app_tag: str = APP_TAG):
 
 
 def read_library(spark, path: str, app_tag: str = APP_TAG):
-    """Every JSON file under ``path``; the library id is the file's stem."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1).alias("lib_id"), F.col("value").alias("doc"))
+    """Every JSON file under ``path``; the library id is the folder ``lib_id=...`` or else the file's stem."""
+    at = F.col("_metadata.file_path")
+    folder = F.regexp_extract(at, r"/lib_id=([^/]+)/[^/]*$", 1)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    stem = plain(F.regexp_extract(at, r"([^/]+?)(\.json)?$", 1))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
+        F.when(folder != "", plain(plain(folder))).otherwise(stem).alias("lib_id"), F.col("value").alias("doc"))
     return parse_documents(files, app_tag)
 
 
+def outlines_of(variants: DataFrame) -> DataFrame:
+    """Variants with stored contours as the outline operators take them: array<array<struct(x0, y0 .. x3, y3)>>."""
+    cubic = lambda c: F.struct(*[F.get(c, i)[ax].alias(f"{ax}{i}") for i in range(4) for ax in ("x", "y")])
+    return variants.where("has_contours").withColumn("contours", F.transform("contours", lambda r: F.transform(r["cubics"], cubic)))
+
+
+def stored_contours(contours):
+    """The way back: outline structs as ``{cubics: [[p0, c1, c2, p3]]}``."""
+    points = lambda c: F.array(*[F.struct(c[f"x{i}"].alias("x"), c[f"y{i}"].alias("y")) for i in range(4)])
+    return F.transform(contours, lambda r: F.struct(F.transform(r, points).alias("cubics")))
+
+
 def to_documents(slots: DataFrame, variants: DataFrame, settings: DataFrame, processed: DataFrame, app_tag: str = APP_TAG) -> DataFrame:
     """(lib_id, doc): slots in key order, variants in position order.
 
     One library is one document by format, so its size is bounded by what a row may hold.
     """
     nudge = F.struct(*[F.col(f"nudge_{n}").alias(n) for n in ("scale", "dy", "dl", "dr")])
-    photo = F.when(F.col("photo_id").isNotNull() | F.col("photo_name").isNotNull(), F.struct(F.col("photo_id").alias("id"), F.col("photo_name").alias("name")))
-    contours = [F.col("contours")] if "contours" in variants.columns else []
-    rec = F.struct("id", F.col("key").alias("char"), *contours, "lsb", "rsb", "advance", nudge.alias("nudge"), "weight", photo.alias("photo"))
+    quad = [F.col("quad")] if "quad" in variants.columns else []
+    photo = F.when(F.col("photo_id").isNotNull() | F.col("photo_name").isNotNull(), F.struct(F.col("photo_id").alias("id"), F.col("photo_name").alias("name"), *quad))
+    more = [F.col(c).alias(name) for c, name in (("contours", "contours"), ("osTop", "osTop"), ("osBot", "osBot"), ("clsName", "clsName"), ("created_ms", "created")) if c in variants.columns]
+    rec = F.struct("id", F.col("key").alias("char"), *more, "lsb", "rsb", "advance", nudge.alias("nudge"), "weight", photo.alias("photo"))
     per_slot = variants.groupBy("lib_id", "key").agg(F.array_sort(F.collect_list(F.struct("vidx", rec.alias("v")))).alias("vs"))
     s = slots.join(per_slot, ["lib_id", "key"], "left").select(
         "lib_id", F.struct("key", F.struct(F.transform(F.coalesce("vs", F.array()), lambda e: e["v"]).alias("variants"), "active").alias("slot")).alias("e"))
@@ -63,7 +80,8 @@ def to_documents(slots: DataFrame, variants: DataFrame, settings: DataFrame, pro
     doc = F.to_json(F.struct(
         F.lit(app_tag).alias("app"), F.lit(1).alias("version"), F.col("font_name").alias("fontName"), F.col("mirror_case").alias("mirrorCase"),
         F.coalesce("glyphs", F.from_json(F.lit("{}"), dict(j.dtypes)["glyphs"])).alias("glyphs"),
-        F.coalesce("processedPhotos", F.array().cast("array<string>")).alias("processedPhotos"), "tester", "design"))
+        F.coalesce("processedPhotos", F.array().cast("array<string>")).alias("processedPhotos"),
+        *[F.try_parse_json(c).alias(c) for c in ("tester", "design")]))  # objects, not quoted text
     return j.select("lib_id", doc.alias("doc"))
 
 

@@ -23,8 +23,8 @@ def read_photos(spark, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
 
 
-def pixels(images: DataFrame, max_edge: int = 800) -> DataFrame:
-    """Decoded images to pixel rows at the working size (nearest sample, longer side max_edge).
+def pixels(images: DataFrame, max_edge: int | None = None) -> DataFrame:
+    """Decoded images to pixel rows: every pixel, or a working size (nearest sample, longer side max_edge).
 
     One photo is expanded at a time, in slices of rows, so a batch never holds all its pixels.
     """
@@ -33,7 +33,7 @@ def pixels(images: DataFrame, max_edge: int = 800) -> DataFrame:
         for pdf in batches:
             for rec in pdf.itertuples(index=False):
                 a = np.frombuffer(rec.data, dtype=np.uint8).reshape(rec.height, rec.width, rec.nChannels)
-                s = max(1.0, max(rec.height, rec.width) / max_edge)
+                s = max(1.0, max(rec.height, rec.width) / max_edge) if max_edge else 1.0
                 h, w = max(1, int(rec.height / s + 0.5)), max(1, int(rec.width / s + 0.5))
                 ys = np.minimum((np.arange(h) * s).astype(int), rec.height - 1)
                 xs = np.minimum((np.arange(w) * s).astype(int), rec.width - 1)
@@ -46,6 +46,7 @@ def pixels(images: DataFrame, max_edge: int = 800) -> DataFrame:
                         "r": c[:, :, 2].ravel().astype(int), "g": c[:, :, 1].ravel().astype(int), "b": c[:, :, 0].ravel().astype(int),
                     })
 
+    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # images are large rows
     return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(expand, PIXELS)
 
 

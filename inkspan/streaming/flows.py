@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.operators.library import mirror_plan, push_batches
-from inkspan.session import broadcast_checked
 
 # Quiet gaps before a burst of changes is acted on.
 GAPS = {"push": "2 seconds", "persist": "500 milliseconds", "rebuild": "250 milliseconds"}
@@ -25,10 +24,13 @@ def bursts(changes: DataFrame, gap: str = GAPS["push"], key: str = "lib_id") ->
     )
 
 
-def stream_inbox(photos: DataFrame, processed: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Each new photo once; copies (same name and size) within ``lateness`` collapse; processed ones skipped."""
-    fresh = photos.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["name", "size"])
-    return fresh.join(broadcast_checked(processed.select(F.col("photo_id").alias("id")).distinct()), "id", "left_anti")
+def stream_inbox(photos: DataFrame, processed: DataFrame) -> DataFrame:
+    """Each new photo once for good: later copies (same name and size) are dropped, processed ones skipped.
+
+    The state holds one small key a distinct photo, which offering a photo only once needs.
+    """
+    fresh = photos.dropDuplicates(["name", "size"])
+    return fresh.join(processed.select(F.col("photo_id").alias("id")).distinct(), "id", "left_anti")
 
 
 def mirror_sink(stream: DataFrame, read_mirror, read_pushed, send, record, checkpoint: str):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.session import broadcast_checked, spread
+from inkspan.session import spread
 
 BLANK_NUDGE = {"scale": 0.0, "dy": 0.0, "dl": 0.0, "dr": 0.0}
 
@@ -90,7 +90,7 @@ def library_state(commands: DataFrame) -> DataFrame:
     clears = commands.where("op = 'clear_all'").groupBy("lib_id").agg(F.max(F.struct("ts", "seq")).alias("cleared"))
     live = (
         commands.where(F.col("op").isin("add_variant", "set_active", "delete_variant", "update_nudge", "reset_nudge"))
-        .join(broadcast_checked(clears), "lib_id", "left")
+        .join(clears, "lib_id", "left")
         .where(F.col("cleared").isNull() | (F.struct("ts", "seq") > F.col("cleared")))
         .select("lib_id", "key", "ts", "seq", "op", "idx", "payload")
     )
@@ -131,39 +131,48 @@ def stream_library_state(commands: DataFrame) -> DataFrame:
 # ---- review queue -----------------------------------------------------------
 
 
-def queue_step(q, op, photo, copies):
-    """One event on a reviewer's queue: {"items": [[id...]], "idx": int, "cand": int}."""
-    items = q["items"]
+def new_queue():
+    return {"items": [], "idx": 0}
+
+
+def queue_step(q, op, photo, copies, candidates=0):
+    """One event on a reviewer's queue: {"items": [{"ids", "n", "cand"}], "idx": the one on stage}.
+
+    Accept and skip move on to the next photo. A photo opened now that still waits is brought to the
+    stage as it is, one on the stage is left alone, any other comes in ahead of the rest. Every
+    photo keeps its own candidate, and the next one after its last is its first.
+    """
+    items, at = q["items"], q["idx"]
     ids = [photo, *[c for c in copies if c != photo]] if photo else []
-    at = next((i for i, it in enumerate(items) if set(it) & set(ids)), None)
-    if op == "enqueue" and at is None:
-        items.append(ids)
-    elif op == "open_now":
-        if at is not None:
-            ids = items.pop(at)
-            if at < q["idx"]:
-                q["idx"] -= 1
-        items.insert(q["idx"], ids)
-        q["cand"] = 0
-    elif op in ("accept", "skip") and items:
-        items.pop(min(q["idx"], len(items) - 1))
-        q["idx"], q["cand"] = min(q["idx"], max(len(items) - 1, 0)), 0
-    elif op == "next_candidate":
-        q["cand"] += 1
+    item = {"ids": ids, "n": int(candidates or 0), "cand": 0}
+    if op == "enqueue" and ids:
+        if not any(set(it["ids"]) & set(ids) for it in items):
+            items.append(item)
+    elif op == "open_now" and ids:
+        k = next((i for i in range(at, len(items)) if set(items[i]["ids"]) & set(ids)), None)
+        items.insert(at, item if k is None else items.pop(k))
+    elif op in ("accept", "skip") and at < len(items):
+        q["idx"] += 1
+    elif op == "next_candidate" and at < len(items) and items[at]["n"]:
+        items[at]["cand"] = (items[at]["cand"] + 1) % items[at]["n"]
     return q
 
 
 def review_queue(events: DataFrame) -> DataFrame:
-    """review events(reviewer, ts, seq, op, photo_id, copies) -> (reviewer, waiting, idx, cand, head)."""
+    """review events(reviewer, ts, seq, op, photo_id, copies, candidates) -> (reviewer, waiting, idx, cand, head).
+
+    ``candidates`` is how many shapes the photo gave; ``waiting`` counts the photo on stage, too.
+    """
     def row(k, q):
-        return (*k, len(q["items"]), q["idx"], q["cand"], q["items"][q["idx"]][0] if q["items"] else None)
+        now = q["items"][q["idx"]] if q["idx"] < len(q["items"]) else None
+        return (*k, len(q["items"]) - q["idx"], q["idx"], now["cand"] if now else 0, now["ids"][0] if now else None)
 
     def copies(v):
         return [] if v is None else list(v)
 
-    fold = _fold_sorted(("reviewer",), lambda: {"items": [], "idx": 0, "cand": 0}, lambda q, r: queue_step(q, r.op, r.photo_id, copies(r.copies)), row,
+    fold = _fold_sorted(("reviewer",), new_queue, lambda q, r: queue_step(q, r.op, r.photo_id, copies(r.copies), _idx(r.candidates)), row,
                         ["reviewer", "waiting", "idx", "cand", "head"])
     return (
-        spread(events.select("reviewer", "ts", "seq", "op", "photo_id", "copies"), "reviewer").sortWithinPartitions("reviewer", "ts", "seq")
+        spread(events.select("reviewer", "ts", "seq", "op", "photo_id", "copies", "candidates"), "reviewer").sortWithinPartitions("reviewer", "ts", "seq")
         .mapInPandas(fold, "reviewer string, waiting int, idx int, cand int, head string")
     )

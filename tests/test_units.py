@@ -140,10 +140,38 @@ def test_slot_fold_clamps_and_review_queue():
     for op, i, p in [("add_variant", None, "a"), ("add_variant", None, "b"), ("add_variant", None, "c"), ("delete_variant", 0, None), ("set_active", 9, None)]:
         s = folds.slot_step(s, op, i, p)
     assert s["ids"] == ["b", "c"] and s["active"] == 1
-    q = {"items": [], "idx": 0, "cand": 0}
-    for op, p in [("enqueue", "p1"), ("enqueue", "p2"), ("enqueue", "p1"), ("open_now", "p3"), ("open_now", "p2"), ("skip", None)]:
-        q = folds.queue_step(q, op, p, [])
-    assert q["items"] == [["p3"], ["p1"]] and q["idx"] == 0
+    q = folds.new_queue()
+    for op, p in [("enqueue", "p1"), ("enqueue", "p2"), ("enqueue", "p1"), ("next_candidate", None), ("open_now", "p1"), ("next_candidate", None)]:
+        q = folds.queue_step(q, op, p, [], 3)
+    assert q == {"items": [{"ids": ["p1"], "n": 3, "cand": 2}, {"ids": ["p2"], "n": 3, "cand": 0}], "idx": 0}  # opened on stage: left alone
+    for op, p in [("next_candidate", None), ("open_now", "p2"), ("accept", None), ("open_now", "p9"), ("open_now", "p2"), ("skip", None), ("skip", None)]:
+        q = folds.queue_step(q, op, p, ["p8"] if p == "p9" else [], 3)
+    # p2 came forward, was accepted, and is opened again ahead of p9 and p1
+    assert [x["ids"][0] for x in q["items"]] == ["p2", "p2", "p9", "p1"] and q["idx"] == 3 and q["items"][3]["cand"] == 0
+    assert folds.queue_step(q, "skip", None, [])["idx"] == 4 and folds.queue_step(q, "accept", None, [])["idx"] == 4
+
+
+def test_library_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from inkspan.sources import library_json as lj
+
+    doc = {"app": lj.APP_TAG, "fontName": "Wall", "mirrorCase": True, "tester": {"kerns": [1], "size": 90}, "design": {"a": "b"}, "processedPhotos": ["p1", "p2"], "glyphs": {"A": {"active": 1, "variants": [
+        {"id": "v0", "char": "A", "lsb": 1.5, "rsb": 2.0, "advance": 500, "osTop": 15, "osBot": 0, "clsName": "cap", "created": 17, "weight": 0.2, "nudge": {"scale": 1.0, "dy": 2.0, "dl": 0.0, "dr": 0.0},
+         "photo": {"id": "p1", "name": "n", "quad": [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]}, "contours": [{"cubics": [[{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 2.0, "y": 1.0}, {"x": 3.0, "y": 3.0}]]}]},
+        {"id": "v1", "char": "A", "lsb": 0.0, "rsb": 0.0, "advance": 400}]}}}
+    import json
+
+    first = lj.parse_documents(spark.createDataFrame([("lib a/1", json.dumps(doc)), ("007", json.dumps(doc))], "lib_id string, doc string"))
+    lj.write_library(lj.to_documents(*first), str(tmp_path / "lib"))
+    again = lj.read_library(spark, str(tmp_path / "lib"))
+    for a, b in zip(first, again):
+        plain = lambda df: sorted(str(r.asDict(True)) for r in df.select(sorted(df.columns)).collect())
+        assert plain(a) == plain(b)
+    assert json.loads(again[2].where("lib_id = '007'").first().tester) == doc["tester"]
+    o = lj.outlines_of(again[1]).where("lib_id = '007'")
+    assert o.first().contours[0][0].asDict() == {"x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 0.0, "x2": 2.0, "y2": 1.0, "x3": 3.0, "y3": 3.0}
+    assert o.select(lj.stored_contours(F.col("contours")).alias("c")).first().c[0].cubics[0][3].x == 3.0
 
 
 def test_stream_replay_equals_batch(spark, tmp_path):
@@ -184,3 +212,23 @@ def test_quantised_vectors_come_back(spark):
     assert q.where("id = 1").first().q == [127, -64, 32] and q.where("id = 2").first().scale == 1.0
     back = recognition.dequantize(q.select("id", "q", "scale")).where("id = 1").first().vector
     assert back == pytest.approx([1.0, -0.5, 0.25], abs=0.005)
+
+
+def test_inbox_stream_offers_a_photo_once(spark, tmp_path):
+    from inkspan.streaming import flows
+
+    src, ck = tmp_path / "in", tmp_path / "ck"
+    schema = "id string, name string, size string, ts timestamp"
+    put = lambda rows: spark.createDataFrame(rows, "id string, name string, size string").selectExpr("*", "current_timestamp() as ts").coalesce(1).write.mode("append").parquet(str(src))
+    put([("a", "n", "1"), ("b", "n", "1"), ("c", "m", "2")])
+    done = spark.createDataFrame([("c",)], "photo_id string")
+    out = flows.stream_inbox(spark.readStream.schema(schema).parquet(str(src)), done)
+    q = out.writeStream.format("memory").queryName("offered").option("checkpointLocation", str(ck)).start()
+    try:
+        q.processAllAvailable()
+        put([("d", "n", "1"), ("e", "k", "3")])
+        q.processAllAvailable()
+        assert {r.id for r in spark.table("offered").collect()} in ({"a", "e"}, {"b", "e"})
+    finally:
+        q.stop()
+
