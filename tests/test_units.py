@@ -232,3 +232,17 @@ def test_inbox_stream_offers_a_photo_once(spark, tmp_path):
     finally:
         q.stop()
 
+
+
+def test_palette_finds_separate_colours(spark):
+    from inkspan.operators import surfaces
+
+    rows = [(p, i % 40, i // 40, *[min(255, max(0, c + (i * 7 % 5) - 2)) for c in ((200, 30, 40) if (i // (3 + p)) % 3 == 0 else (20, 200, 60) if (i // (3 + p)) % 3 == 1 else (90, 90, 220))]) for p in (1, 2) for i in range(1200)]
+    df = spark.createDataFrame(rows, "photo_id long, x int, y int, r int, g int, b int")
+    got = surfaces.palette(df, 3).collect()
+    assert len(got) == 6 and all(sum(r.n for r in got if r.photo_id == p) == 1200 for p in (1, 2))
+    for want in ((200, 30, 40), (20, 200, 60), (90, 90, 220)):
+        scaled = [c * w for c, w in zip(want, surfaces.WEIGHTS)]
+        assert sum(all(abs(a - b) < 6 for a, b in zip((r.c1, r.c2, r.c3), scaled)) for r in got) == 2
+    few = surfaces.palette(df.where("r = 200 and g = 30").select("photo_id", "x", "y", "r", "g", "b"), 8).collect()
+    assert {r.label for r in few} <= set(range(8)) and len(few) <= 8
