@@ -38,6 +38,7 @@ MARK_BOXES = {
     "$": (760, -60, False),
     "@": (700, -40, False),
 }
+# Names of marks in file names.
 MARK_NAMES = {
     ".": "period", ",": "comma", ":": "colon", ";": "semicolon", "!": "exclaim",
     "?": "question", "'": "apostrophe", '"': "quote", "-": "hyphen",
@@ -104,22 +105,17 @@ def char_class(key: Column) -> Column:
 
 
 def char_label(key: Column) -> Column:
-    return (
-        F.when(key.rlike("^[A-Za-z0-9]{2,4}$"), F.concat(key, F.lit("-liga")))
-        .when(key.rlike("^[A-Z]$"), F.concat(key, F.lit("-caps")))
-        .when(key.rlike("^[a-z]$"), F.concat(key, F.lit("-lower")))
-        .when(key.rlike("^[0-9]$"), key)
-        .otherwise(
-            F.coalesce(
-                F.try_element_at(_lit_map(MARK_NAMES), key),
-                F.concat(F.lit("u"), F.lower(F.hex(F.ascii(key)))),
-            )
-        )
-    )
+    # the names are one constant array, looked up by place: little generated code, however often it is inlined
+    at = F.when(F.length(key) == 1, F.position(key, F.lit("".join(MARK_NAMES))))
+    mark = F.get(F.split(F.lit(" ".join(MARK_NAMES.values())), " "), at - 1)
+    tail = F.when(key.rlike("^[A-Za-z0-9]{2,4}$"), "-liga").when(key.rlike("^[A-Z]$"), "-caps").when(key.rlike("^[a-z]$"), "-lower").when(key.rlike("^[0-9]$"), "")
+    return F.coalesce(F.concat(key, tail), mark, F.concat(F.lit("u"), F.lower(F.hex(F.ascii(key)))))
 
 
 def svg_file_name(key: Column, vid: Column) -> Column:
-    return F.concat(char_label(key), F.lit("__"), vid, F.lit(".svg"))
+    # inside a lambda the label is evaluated once from its key, not written out wherever the name is used
+    label = F.element_at(F.transform(F.array(key), char_label), 1)
+    return F.concat(label, F.lit("__"), vid, F.lit(".svg"))
 
 
 def svg_id_from_name(name: Column) -> Column:
@@ -143,23 +139,3 @@ def case_variants(ch: Column) -> Column:
     return F.when(
         lower.isin(*SAME_IN_BOTH_CASES), F.array_distinct(F.array(ch, lower, F.upper(ch)))
     ).otherwise(F.array(ch))
-
-
-def register_sql(spark) -> None:
-    """Temporary SQL functions with plain SQL bodies, inlined by the optimiser."""
-    spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION char_key(value STRING) RETURNS STRING RETURN
-        CASE WHEN regexp_replace(coalesce(value, ''), '^\\s+|\\s+$', '') RLIKE '^[A-Za-z0-9]{2,4}$'
-             THEN regexp_replace(value, '^\\s+|\\s+$', '')
-             ELSE right(regexp_replace(coalesce(value, ''), '^\\s+|\\s+$', ''), 1) END"""
-    )
-    spark.sql(
-        r"""CREATE OR REPLACE TEMPORARY FUNCTION svg_id_from_name(name STRING) RETURNS STRING RETURN
-        nullif(regexp_extract(name, '(?i)__([a-z0-9]+)[.]svg$', 1), '')"""
-    )
-    spark.sql(
-        """CREATE OR REPLACE TEMPORARY FUNCTION color_dist(
-          r1 DOUBLE, g1 DOUBLE, b1 DOUBLE, r2 DOUBLE, g2 DOUBLE, b2 DOUBLE) RETURNS DOUBLE RETURN
-        sqrt((2 + (r1 + r2) / 512D) * (r1 - r2) * (r1 - r2) + 4 * (g1 - g2) * (g1 - g2)
-           + (2 + (255 - (r1 + r2) / 2D) / 256D) * (b1 - b2) * (b1 - b2))"""
-    )
