@@ -82,3 +82,40 @@ _FONT = "'abdeghnqrtABDEGHNQRTxyz5'"
 def font_coverage(spark, sf):
     e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 24).alias("font"), F.substring(F.lit(_FONT.strip("'")), (F.col("vec_id") % 24 + 1).cast("int"), F.lit(1)).alias("ch"), (F.col("vec_id") % 13 + 4).cast("int").alias("tall"), F.posexplode("embedding").alias("cell", "v"))
     return sf_.font_coverage(e.where((F.col("v") > 0) | ((F.col("font") % 3 == 0) & ((F.col("cell") * (F.ascii(F.lower("ch")) % 7 + 1)) % 11 < 9))))
+
+
+@query("skew_angle")
+def skew_angle(spark, sf):
+    p = page_pixels(spark, sf)
+    return sf_.skew_angle(p.select("photo_id", "w", "h", "x", "y", ((F.col("r") * 54 + F.col("g") * 183 + F.col("b") * 19) / 256).alias("v")))
+
+
+@query("keep_best_boxes", """with recursive b as materialized (select l_orderkey as photo_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as seq, l_partkey % 3 * 2 as x, l_suppkey % 3 * 2 as y, 3 + l_linenumber % 2 as w, 4 as h, l_extendedprice as score from lineitem),
+ r as (select photo_id, cast(0 as bigint) as k, cast([] as struct(x bigint, y bigint, w bigint, h bigint, score double)[]) as kept from (select distinct photo_id from b) union all
+  select photo_id, seq, case when hit is null then list_append(kept, box) when box.score > kept[hit].score then list_concat(kept[1:hit - 1], [box], kept[hit + 1:]) else kept end
+  from (select r.photo_id, b.seq, kept, {'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 'score': b.score} as box, list_position(list_transform(kept, lambda a: greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))
+   >= .5 * (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)))), true) as hit from r join b on b.photo_id = r.photo_id and b.seq = r.k + 1) n),
+ e as (select photo_id, unnest(kept) as q from r qualify row_number() over (partition by photo_id order by k desc) = 1)
+ select photo_id, q.x::double as x, q.y::double as y, q.w::double as w, q.h::double as h, q.score as score from e""")
+def keep_best_boxes(spark, sf):
+    from pyspark.sql import Window
+
+    li = table(spark, sf, "lineitem")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return sf_.keep_best_boxes(li.select(F.col("l_orderkey").alias("photo_id"), seq.alias("seq"), (F.col("l_partkey") % 3 * 2).alias("x"), (F.col("l_suppkey") % 3 * 2).alias("y"), (F.col("l_linenumber") % 2 + 3).alias("w"), F.lit(4).alias("h"), F.col("l_extendedprice").cast("double").alias("score")))
+
+
+_PC = f"""pt as materialized (select photo_id, x, y from gp where raw > .1), wl as materialized (select photo_id, x, y from gp where raw < -.1), tn as (select photo_id, 40 + 3 * (photo_id % 20) as wr, 60 as wg, 200 as wb, 190 as pr, 40 + photo_id % 50 as pg, 80 as pb, 4.0::double as sw from (select distinct photo_id from gp)),
+ cg as (select gp.*, (x * 37 + photo_id) % 256 as r, (y * 53 + 3 * photo_id) % 256 as g, (x * y * 11) % 256 as b from gp),
+ ax as (select c.*, tn.*exclude(photo_id), (r - wr) * (pr - wr) + (g - wg) * (pg - wg) + (b - wb) * (pb - wb) as dt, greatest(1, (pr - wr) * (pr - wr) + (pg - wg) * (pg - wg) + (pb - wb) * (pb - wb)) as l2 from cg c join tn using (photo_id)),
+ fr as (select g.photo_id, g.x, g.y, min(greatest(abs(p.x - g.x), abs(p.y - g.y)) + least(abs(p.x - g.x), abs(p.y - g.y)) * (sqrt(2.0::double) - 1)) as far from gp g join pt p using (photo_id) group by 1, 2, 3),
+ kn as (select a.photo_id, a.x, a.y, f.far, case when p.x is not null then 'paint' when w.x is not null then 'wall' when dt / l2 > -.05 and dt / l2 < 1.8 and f.far <= 14 and sqrt(power(r - wr - dt / l2 * (pr - wr), 2) + power(g - wg - dt / l2 * (pg - wg), 2) + power(b - wb - dt / l2 * (pb - wb), 2)) <= greatest(26, .3 * sqrt(l2)) then 'family' else 'hidden' end as cls
+  from ax a left join pt p using (photo_id, x, y) left join wl w using (photo_id, x, y) left join fr f using (photo_id, x, y))"""
+
+
+@query("pixel_classes", f"with {_GP}, {_PC} select photo_id, x, y, case when cls = 'hidden' then case when far <= 2.5 then 'family' else 'wall' end else cls end as cls from kn")
+def pixel_classes(spark, sf):
+    g = grid_pixels(spark, sf)
+    colours = g.select("photo_id", "w", "h", "x", "y", ((F.col("x") * 37 + F.col("photo_id")) % 256).alias("r"), ((F.col("y") * 53 + F.col("photo_id") * 3) % 256).alias("g"), ((F.col("x") * F.col("y") * 11) % 256).alias("b"))
+    tones = g.select("photo_id").distinct().select("photo_id", (F.col("photo_id") % 20 * 3 + 40).alias("wr"), F.lit(60).alias("wg"), F.lit(200).alias("wb"), F.lit(190).alias("pr"), (F.col("photo_id") % 50 + 40).alias("pg"), F.lit(80).alias("pb"), F.lit(4.0).alias("sw"))
+    return sf_.pixel_classes(colours, g.where("raw > 0.1").select("photo_id", "x", "y"), g.where("raw < -0.1").select("photo_id", "x", "y"), tones)

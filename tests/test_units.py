@@ -246,3 +246,30 @@ def test_palette_finds_separate_colours(spark):
         assert sum(all(abs(a - b) < 6 for a, b in zip((r.c1, r.c2, r.c3), scaled)) for r in got) == 2
     few = surfaces.palette(df.where("r = 200 and g = 30").select("photo_id", "x", "y", "r", "g", "b"), 8).collect()
     assert {r.label for r in few} <= set(range(8)) and len(few) <= 8
+
+
+def test_skew_of_tilted_bars(spark):
+    import math
+
+    from inkspan.operators import surfaces
+
+    rows = []
+    for photo, tilt in ((1, 7.0), (2, 0.0)):
+        t = math.radians(tilt)
+        for y in range(90):
+            for x in range(120):
+                u = (x - 60) * math.cos(t) + (y - 45) * math.sin(t)
+                rows.append((photo, 120, 90, x, y, 30.0 if int(u // 12) % 2 else 220.0))
+    got = {r.photo_id: r.angle for r in surfaces.skew_angle(spark.createDataFrame(rows, "photo_id long, w int, h int, x int, y int, v double")).collect()}
+    assert abs(abs(got[1]) - 7) <= 2 and abs(got[2]) <= 1
+
+
+def test_hidden_patch_survives_when_solid(spark):
+    from inkspan.operators import surfaces
+
+    rows = [(1, 40, 30, x, y, *((200, 30, 30) if x < 6 else (20, 220, 20) if 14 <= x < 26 and 8 <= y < 20 else (60, 60, 200))) for x in range(40) for y in range(30)]
+    p = spark.createDataFrame(rows, "photo_id long, w int, h int, x int, y int, r int, g int, b int")
+    tones = spark.createDataFrame([(1, 60, 60, 200, 200, 30, 30, 4.0)], "photo_id long, wr int, wg int, wb int, pr int, pg int, pb int, sw double")
+    got = surfaces.pixel_classes(p, p.where("r = 200"), p.where("b = 200"), tones).groupBy("cls").count().collect()
+    n = {r.cls: r["count"] for r in got}
+    assert n["paint"] == 180 and n["hidden"] >= 130 and n["hidden"] + n.get("family", 0) + n["wall"] == 1020
