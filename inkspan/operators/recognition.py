@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkspan.functions.chars import lookalike_class
 from inkspan.functions.numbers import half_up
 from inkspan.operators.masks import complement, distance
+from inkspan.session import small_side
 
 # Prior of rare symbols, and the symbols about as common as letters.
 RARE_PRIOR, COMMON_SYMBOLS = 0.15, "!?#*"
@@ -43,7 +44,7 @@ def template_scores(probes: DataFrame, templates: DataFrame, probe_info: DataFra
 
     *_info(id | tpl, [ch], aspect, holes); templates(tpl, cell, v), dense over cells.
     """
-    t = templates.select("tpl", "cell", F.col("v").alias("tv"))
+    t = small_side(templates.select("tpl", "cell", F.col("v").alias("tv")))
     iou = probes.join(t, "cell").groupBy("id", "tpl").agg(
         F.sum(F.least("v", "tv")).alias("i"), F.sum(F.greatest("v", "tv")).alias("u")
     )
@@ -86,8 +87,8 @@ def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame
     """(id, tpl, score): weight-agnostic match, harmonic mean of precision and recall of ink."""
     sigma2 = 2 * 1.6 * 1.6
     near = lambda d: F.exp(-(F.col(d) * F.col(d)) / sigma2)
-    t_d = _distance(templates, "tpl", n, 0.3)
-    t_ink = templates.where(F.col("v") > 0.3).select("tpl", "cell")
+    t_d = small_side(_distance(templates, "tpl", n, 0.3))
+    t_ink = small_side(templates.where(F.col("v") > 0.3).select("tpl", "cell"))
     prec = probes.where(F.col("v") > 0.2).select("id", "cell").join(t_d, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("p"))
     rec = _distance(probes, "id", n, 0.2).join(t_ink, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("r"))
     j = prec.join(rec, ["id", "tpl"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
@@ -96,7 +97,7 @@ def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame
 
 def score(probes: DataFrame, weights: DataFrame, biases: DataFrame) -> DataFrame:
     """Dense layer and softmax: probes(id, cell, v), weights(ch, cell, wt), biases(ch, bias) -> (id, ch, p)."""
-    w = weights.select("ch", "cell", "wt")
+    w = small_side(weights.select("ch", "cell", "wt"))
     logit = probes.join(w, "cell").groupBy("id", "ch").agg(F.sum(F.col("v") * F.col("wt")).alias("z")).join(biases, "ch").withColumn("z", F.col("z") + F.col("bias"))
     one = Window.partitionBy("id")
     e = logit.withColumn("e", F.exp(F.col("z") - F.max("z").over(one)))

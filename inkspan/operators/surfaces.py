@@ -261,3 +261,37 @@ def pixel_classes(pixels: DataFrame, paint: DataFrame, wall: DataFrame, tones: D
     large = solid.join(sizes, [PHOTO, "comp"]).select(*PIX, "size")
     small = F.col("size").isNull() | (F.col("size") < F.greatest(F.lit(30.0), F.pow(F.col("sw") * 0.25, F.lit(2.0))))
     return known.join(large, PIX, "left").select(PHOTO, "x", "y", F.when((F.col("cls") == "hidden") & small, F.when(F.col("far") <= 2.5, "family").otherwise("wall")).otherwise(F.col("cls")).alias("cls"))
+
+
+def boundary_sharpness(field: DataFrame, thresholds) -> DataFrame:
+    """(photo_id, k, t, share, mean): ink share and mean gradient on the boundary of v <= t, for each threshold.
+
+    field(photo_id, w, h, x, y, v). A pixel is on the boundary of every threshold from its own value
+    to below its largest 4-neighbour (the frame's edge counts as infinitely large), so one pass over
+    the pixels serves all thresholds. A mask without pixels has share 0 and mean 0.
+    """
+    from inkspan.operators.pixels import gradient
+
+    ts = sorted(float(t) for t in thresholds)
+    row, col = Window.partitionBy(PHOTO, "y").orderBy("x"), Window.partitionBy(PHOTO, "x").orderBy("y")
+    inf = F.lit(float("inf"))
+    around = [f("v").over(w) for w in (row, col) for f in (F.lag, F.lead)]
+    p = field.select(PHOTO, "x", "y", F.col("v").cast("double").alias("v")).withColumn("m", F.greatest(*[F.coalesce(a, inf) for a in around]))
+    p = p.join(gradient(field), PIX)
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(ts)])
+    edge = p.select(PHOTO, "grad", F.explode(F.filter(steps, lambda s: (s["t"] >= F.col("v")) & (s["t"] < F.col("m")))).alias("s"))
+    edge = edge.groupBy(PHOTO, F.col("s.k").alias("k")).agg(F.avg("grad").alias("mean"))
+    first = F.size(F.filter(steps, lambda s: s["t"] < F.col("v")))
+    ink = p.groupBy(PHOTO, first.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    every = field.groupBy(PHOTO).agg(F.count(F.lit(1)).alias("total")).select(PHOTO, "total", F.inline(steps))
+    upto = Window.partitionBy(PHOTO).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a threshold
+    j = every.join(ink, [PHOTO, "k"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(upto)).join(edge, [PHOTO, "k"], "left")
+    return j.select(PHOTO, "k", "t", (F.col("n") / F.col("total")).alias("share"), F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
+def edge_threshold(sharp: DataFrame, least=0.0, most=1.0) -> DataFrame:
+    """(photo_id, t, score): the threshold with the sharpest boundary, a later one only if 2 % sharper; ink share within bounds."""
+    rows = sharp.where(F.col("share").between(least, most)).groupBy(PHOTO).agg(F.array_sort(F.collect_list(F.struct("k", "t", "mean"))).alias("ks"))
+    none = F.lit(None).cast("struct<k:int,t:double,mean:double>")
+    best = F.aggregate("ks", none, lambda b, s: F.when(b.isNull() | (s["mean"] > b["mean"] * 1.02), s).otherwise(b))
+    return rows.withColumn("_b", best).select(PHOTO, F.col("_b.t").alias("t"), F.col("_b.mean").alias("score"))

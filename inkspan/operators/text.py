@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import half_up
-from inkspan.session import cut_lineage, spread
+from inkspan.session import small_side, spread
 
 # Specimen defaults (em fractions of the size).
 DEFAULTS = {"size": 112.0, "tracking": 0.02, "leading": 1.05, "ascent": 0.76, "gap": 0.38, "tall": 1.05, "pad": 0.35}
@@ -94,7 +94,7 @@ def place_glyphs(tokens: DataFrame, maps: DataFrame, cycle=True) -> DataFrame:
     else:
         slotted = tokens.withColumn("map_no", F.lit(0))
         maps = maps.where(F.col("map_no") == 0)
-    m = maps.select("lib_id", F.col("map_no").cast("int").alias("map_no"), "key", "id", "advance", "lsb", F.lit(True).alias("known"))
+    m = small_side(maps.select("lib_id", F.col("map_no").cast("int").alias("map_no"), "key", "id", "advance", "lsb", F.lit(True).alias("known")))
     w = Window.partitionBy("doc_id", "line").orderBy("pos")
     return (
         slotted.join(m, ["lib_id", "map_no", "key"], "left")
@@ -120,7 +120,7 @@ def _add_kern(placed: DataFrame, kern: DataFrame | None) -> DataFrame:
     if kern is None:
         return placed.withColumn("kern", F.lit(0).cast("bigint"))
     k = kern.where(F.col("kern") != 0).select(F.col("lft").alias("prev_id"), F.col("rgt").alias("id"), "kern")
-    k = cut_lineage(k)
+    k = small_side(k)
     return placed.join(k, ["prev_id", "id"], "left").withColumn("kern", F.coalesce("kern", F.lit(0)))
 
 

@@ -119,3 +119,26 @@ def pixel_classes(spark, sf):
     colours = g.select("photo_id", "w", "h", "x", "y", ((F.col("x") * 37 + F.col("photo_id")) % 256).alias("r"), ((F.col("y") * 53 + F.col("photo_id") * 3) % 256).alias("g"), ((F.col("x") * F.col("y") * 11) % 256).alias("b"))
     tones = g.select("photo_id").distinct().select("photo_id", (F.col("photo_id") % 20 * 3 + 40).alias("wr"), F.lit(60).alias("wg"), F.lit(200).alias("wb"), F.lit(190).alias("pr"), (F.col("photo_id") % 50 + 40).alias("pg"), F.lit(80).alias("pb"), F.lit(4.0).alias("sw"))
     return sf_.pixel_classes(colours, g.where("raw > 0.1").select("photo_id", "x", "y"), g.where("raw < -0.1").select("photo_id", "x", "y"), tones)
+
+
+_TS = (60, 90, 110, 128, 140, 160, 190)
+_SH = f"""ts as (select unnest({list(_TS)}) as t, unnest(generate_series(0, {len(_TS) - 1})) as k),
+ gm as (select p.photo_id, p.x, p.y, p.v, coalesce(sqrt(power((e.v - w.v) * .5, 2) + power((s.v - n.v) * .5, 2)), 0) as grad, e.v as ev, w.v as wv, s.v as sv, n.v as nv from gp p left join gp e on e.photo_id = p.photo_id and e.x = p.x + 1 and e.y = p.y left join gp w on w.photo_id = p.photo_id and w.x = p.x - 1 and w.y = p.y
+  left join gp s on s.photo_id = p.photo_id and s.x = p.x and s.y = p.y + 1 left join gp n on n.photo_id = p.photo_id and n.x = p.x and n.y = p.y - 1),
+ sh as materialized (select photo_id, k, t::double as t, count(*) filter (v <= t) / count(*) as share, coalesce(avg(grad) filter (v <= t and (ev is null or wv is null or sv is null or nv is null or ev > t or wv > t or sv > t or nv > t)), 0) as mean from gm, ts group by 1, 2, 3)"""
+
+
+def _sharp(spark, sf):
+    return sf_.boundary_sharpness(grid_pixels(spark, sf).select("photo_id", "w", "h", "x", "y", "v"), _TS)
+
+
+@query("boundary_sharpness", f"with {_GP}, {_SH} select photo_id, k, t, round(share, 6) as share, round(mean, 5) as mean from sh")
+def boundary_sharpness(spark, sf):
+    return _sharp(spark, sf).withColumn("share", F.round("share", 6)).withColumn("mean", F.round("mean", 5))
+
+
+@query("edge_threshold", f"""with recursive {_GP}, {_SH}, ok as (select *, row_number() over (partition by photo_id order by k) as i from sh where share between .02 and .9),
+ r as (select photo_id, i, t, mean from ok where i = 1 union all select r.photo_id, o.i, case when o.mean > r.mean * 1.02::double then o.t else r.t end, case when o.mean > r.mean * 1.02::double then o.mean else r.mean end from r join ok o on o.photo_id = r.photo_id and o.i = r.i + 1)
+ select photo_id, t, round(mean, 5) as score from r qualify row_number() over (partition by photo_id order by i desc) = 1""")
+def edge_threshold(spark, sf):
+    return sf_.edge_threshold(_sharp(spark, sf), 0.02, 0.9).withColumn("score", F.round("score", 5))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app="inkspan", master=None, cores=None, memory="12g"):
@@ -78,3 +79,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *keys)
+
+
+def small_side(df: DataFrame, rows: int = 400_000) -> DataFrame:
+    """A lookup table computed once into the shared folder, counted there, and broadcast up to ``rows`` rows.
+
+    Beyond that it is joined by shuffle, with adaptive splitting of skewed partitions.
+    """
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
