@@ -295,3 +295,31 @@ def edge_threshold(sharp: DataFrame, least=0.0, most=1.0) -> DataFrame:
     none = F.lit(None).cast("struct<k:int,t:double,mean:double>")
     best = F.aggregate("ks", none, lambda b, s: F.when(b.isNull() | (s["mean"] > b["mean"] * 1.02), s).otherwise(b))
     return rows.withColumn("_b", best).select(PHOTO, F.col("_b.t").alias("t"), F.col("_b.mean").alias("score"))
+
+
+def dedupe_templates(masks: DataFrame, tolerance=0.08) -> DataFrame:
+    """(ch, id) of the masks kept: one that differs from an earlier kept mask of its character in under 8 % of the cells inked in either is dropped.
+
+    masks(ch, seq, id, cells): cells is the sorted array of inked cell numbers. A character's masks
+    stream through one task in order; only what is kept is held.
+    """
+    from inkspan.session import spread
+
+    def fold(batches):
+        now, kept = None, []
+        for pdf in batches:
+            out = []
+            for ch, id_, cells in zip(pdf["ch"], pdf["id"], pdf["cells"]):
+                if ch != now:
+                    now, kept = ch, []
+                cells = np.asarray(cells)
+                same = [len(np.intersect1d(cells, k, assume_unique=True)) for k in kept]
+                either = [len(cells) + len(k) - s for k, s in zip(kept, same)]
+                if not any(n and n - s < tolerance * n for n, s in zip(either, same)):
+                    kept.append(cells)
+                    out.append((ch, id_))
+            yield pd.DataFrame(out, columns=["ch", "id"])
+
+    types = dict(masks.dtypes)
+    rows = spread(masks.select("ch", "seq", "id", "cells"), "ch").sortWithinPartitions("ch", "seq")
+    return rows.mapInPandas(fold, f"ch {types['ch']}, id {types['id']}")

@@ -142,3 +142,18 @@ def boundary_sharpness(spark, sf):
  select photo_id, t, round(mean, 5) as score from r qualify row_number() over (partition by photo_id order by i desc) = 1""")
 def edge_threshold(spark, sf):
     return sf_.edge_threshold(_sharp(spark, sf), 0.02, 0.9).withColumn("score", F.round("score", 5))
+
+
+@query("dedupe_templates", """with recursive e as (select vec_id, label, generate_subscripts(embedding, 1) - 1 as cell, unnest(embedding) > 0 as ink from embeddings),
+ m as (select v.vec_id as id, v.label as ch, e.cell from (select vec_id, label from embeddings) v join e on e.vec_id = v.vec_id - v.vec_id % 2 where e.ink <> (v.vec_id % 2 = 1 and e.cell = v.vec_id % 64)),
+ t as materialized (select ch, id, list(cell order by cell) as cells, row_number() over (partition by ch order by id) as k from m group by 1, 2),
+ r as (select ch, cast(0 as bigint) as k, cast([] as bigint[]) as ids, cast([] as bigint[][]) as kept from (select distinct ch from t) union all
+  select r.ch, t.k, case when dup then ids else list_append(ids, t.id) end, case when dup then kept else list_append(kept, t.cells) end from (select r.*, t.k as tk, list_bool_or(list_transform(r.kept, lambda a: len(a) + len(t.cells) - 2 * len(list_intersect(a, t.cells)) < .08 * (len(a) + len(t.cells) - len(list_intersect(a, t.cells))))) is true as dup from r join t on t.ch = r.ch and t.k = r.k + 1) r join t on t.ch = r.ch and t.k = r.tk)
+ select ch, unnest(ids) as id from (select ch, ids from r qualify row_number() over (partition by ch order by k desc) = 1) z""")
+def dedupe_templates(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("ch"), "embedding")
+    base = e.select(F.col("vec_id").alias("base"), F.posexplode("embedding").alias("cell", "v"))
+    v = e.select("vec_id", "ch", (F.col("vec_id") - F.col("vec_id") % 2).alias("base")).join(base, "base")
+    flip = (F.col("vec_id") % 2 == 1) & (F.col("cell") == F.col("vec_id") % 64)
+    masks = v.where((F.col("v") > 0) != flip).groupBy("ch", F.col("vec_id").alias("id")).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    return sf_.dedupe_templates(masks.withColumn("seq", F.col("id")))
