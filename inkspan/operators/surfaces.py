@@ -323,3 +323,36 @@ def dedupe_templates(masks: DataFrame, tolerance=0.08) -> DataFrame:
     types = dict(masks.dtypes)
     rows = spread(masks.select("ch", "seq", "id", "cells"), "ch").sortWithinPartitions("ch", "seq")
     return rows.mapInPandas(fold, f"ch {types['ch']}, id {types['id']}")
+
+
+# When a paint inside another's outline is its fill.
+ENCLOSED_SHARE, ENCLOSED_LEAST, ENCLOSED_SOFT, ENCLOSED_STRONG = 0.8, 0.05, (0.15, 0.85), 1.3
+
+
+def enclosed_paints(inks: DataFrame, tones: DataFrame, gap: int = 2) -> DataFrame:
+    """(photo_id, a, b): paint b lies within the closed and filled outline of paint a, so it is a's fill.
+
+    inks(photo_id, ink, w, h, x, y); tones(photo_id, ink, r, g, b, wr, wg, wb) with the wall's colour.
+    ``gap`` is the radius that closes breaks in an outline. Slivers, tones between a's paint and the
+    wall, and paints far stronger than a (whose halo a then is) are no fills.
+    """
+    from inkspan.operators.masks import close, fill_holes
+
+    both = F.concat_ws("|", F.col(PHOTO).cast("string"), F.col("ink").cast("string"))
+    ring = fill_holes(close(inks.select(both.alias(PHOTO), "w", "h", "x", "y"), gap), 1.0)
+    of = inks.select(both.alias("_k"), F.col(PHOTO).alias("_p"), F.col("ink").alias("a")).distinct()
+    ring = ring.select(F.col(PHOTO).alias("_k"), "x", "y").join(of, "_k").select(F.col("_p").alias(PHOTO), "a", "x", "y")
+    own = inks.select(PHOTO, F.col("ink").alias("a"), "x", "y")
+    inside = ring.join(own, [PHOTO, "a", "x", "y"], "left_anti").join(inks.select(PHOTO, F.col("ink").alias("b"), "x", "y"), [PHOTO, "x", "y"])
+    inside = inside.groupBy(PHOTO, "a", "b").agg(F.count(F.lit(1)).alias("inside"))
+    size = lambda name, n: inks.groupBy(PHOTO, F.col("ink").alias(name)).agg(F.count(F.lit(1)).alias(n))
+    tone = lambda name, *more: tones.select(PHOTO, F.col("ink").alias(name), *[F.col(c).alias(f"{name}{c}") for c in ("r", "g", "b", *more)])
+    j = inside.join(size("a", "na"), [PHOTO, "a"]).join(size("b", "nb"), [PHOTO, "b"]).join(tone("a", "wr", "wg", "wb"), [PHOTO, "a"]).join(tone("b"), [PHOTO, "b"])
+    axis = [F.col(f"a{c}") - F.col(f"aw{c}") for c in "rgb"]
+    to = [F.col(f"b{c}") - F.col(f"aw{c}") for c in "rgb"]
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    len2 = dot(axis, axis)
+    u = dot(to, axis) / F.when(len2 == 0, F.lit(1)).otherwise(len2)
+    soft = (u > ENCLOSED_SOFT[0]) & (u < ENCLOSED_SOFT[1])
+    fill = (F.col("nb") >= F.col("na") * ENCLOSED_LEAST) & ~soft & (u <= ENCLOSED_STRONG) & (F.col("inside") >= F.col("nb") * ENCLOSED_SHARE)
+    return j.where(fill).select(PHOTO, "a", "b")

@@ -157,3 +157,25 @@ def dedupe_templates(spark, sf):
     flip = (F.col("vec_id") % 2 == 1) & (F.col("cell") == F.col("vec_id") % 64)
     masks = v.where((F.col("v") > 0) != flip).groupBy("ch", F.col("vec_id").alias("id")).agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return sf_.dedupe_templates(masks.withColumn("seq", F.col("id")))
+
+
+_NEAR1 = "((g.x - i.x) * (g.x - i.x) + (g.y - i.y) * (g.y - i.y) <= 1.5)"
+
+
+@query("enclosed_paints", f"""with recursive {_GP}, pi as materialized (select photo_id as p, 0 as ink, x, y from gp where least(x, y, 7 - x, 7 - y) = 1 and raw > -.25 union all select photo_id, 1, x, y from gp where least(x, y, 7 - x, 7 - y) >= 2 and raw > .1 union all select photo_id, 1, x, y from gp where least(x, y, 7 - x, 7 - y) = 0 and raw > .35),
+ ik as materialized (select p * 2 + ink as photo_id, x, y from pi), gr as materialized (select photo_id * 2 + k as photo_id, x, y from gp, (values (0), (1)) v(k)),
+ dl as materialized (select distinct g.photo_id, g.x, g.y from gr g join ik i on i.photo_id = g.photo_id and {_NEAR1}), nd as (select * from gr except select * from dl),
+ cl as materialized (select g.photo_id, g.x, g.y from dl g where not exists (select 1 from nd i where i.photo_id = g.photo_id and {_NEAR1})), bg as materialized (select * from gr except select * from cl), {_comp('bg', 'bc')},
+ hl as (select photo_id, comp from bc group by 1, 2 having not bool_or(x = 0 or y = 0 or x = 7 or y = 7)), fu as materialized (select * from cl union select photo_id, x, y from bc join hl using (photo_id, comp)),
+ iw as (select f.photo_id // 2 as p, f.photo_id % 2 as a, b.ink as b, count(*) as n from fu f join pi b on b.p = f.photo_id // 2 and b.x = f.x and b.y = f.y where not exists (select 1 from ik i where i.photo_id = f.photo_id and i.x = f.x and i.y = f.y) group by 1, 2, 3),
+ sz as (select p, ink, count(*) as n from pi group by 1, 2)
+ select iw.p as photo_id, iw.a, iw.b from iw join sz x on x.p = iw.p and x.ink = iw.a join sz y on y.p = iw.p and y.ink = iw.b where iw.p % 4 <> 1 and y.n >= .05 * x.n and iw.n >= .8::double * y.n""")
+def enclosed_paints(spark, sf):
+    g = grid_pixels(spark, sf)
+    edge = F.least("x", "y", 7 - F.col("x"), 7 - F.col("y"))
+    ink_ = F.when((edge == 1) & (F.col("raw") > -0.25), 0).when((edge >= 2) & (F.col("raw") > 0.1), 1).when((edge == 0) & (F.col("raw") > 0.35), 1)
+    inks = g.select("photo_id", ink_.alias("ink"), "w", "h", "x", "y").where("ink is not null")
+    # ink 0 is dark on a light wall, ink 1 of another colour; in every fourth photo a tone between wall and ink 0
+    tones = inks.select("photo_id", "ink").distinct().select("photo_id", "ink", F.when(F.col("ink") == 0, 20).when(F.col("photo_id") % 4 == 1, 110).otherwise(230).alias("r"),
+        F.when(F.col("ink") == 0, 20).when(F.col("photo_id") % 4 == 1, 110).otherwise(190).alias("g"), F.when(F.col("ink") == 0, 20).when(F.col("photo_id") % 4 == 1, 110).otherwise(240).alias("b"), F.lit(200).alias("wr"), F.lit(200).alias("wg"), F.lit(200).alias("wb"))
+    return sf_.enclosed_paints(inks, tones, 1)
