@@ -8,9 +8,9 @@ probability equal to their weighted Jaccard similarity. Points are drawn in time
 to the time by which all slots are filled, so a bag costs about one draw a shingle.
 
 Slots are banded into buckets. Equal bags are one class from the start. Inside a bucket every class
-is compared with one centre first; what is still unconnected afterwards is compared with all others
-of other components in the bucket, so no link inside a bucket is lost although few pairs are made.
-Every candidate is verified on the bags themselves.
+is compared with one centre first; what is still unconnected afterwards is compared with the whole
+bucket, block by block, which makes no pair rows and loses no link. Every candidate is verified on
+the bags themselves.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^25 = 0.99995
 SLOTS = 128
 MIN_AGREE = 98  # of 128 one-bit slots; 115 are expected at similarity 0.8, and this is five standard deviations lower
+BLOCK_WORDS, BLOCK_ROWS = 400_000, 1024  # of one side of a block, about; a longer text is a block of its own
 FILTER_BITS = 24  # of the id filter: at most 2^18 rows of 64 bits are broadcast, whatever the input
 
 SIGNATURE = "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, b0 bigint, b1 bigint"
@@ -150,6 +151,48 @@ def bag_similarity(left, right, k=WORDS):
     return both / np.maximum(total, 1)
 
 
+def _block(table):
+    """Links between the two sides of a block, each as an edge to the smallest of what it is linked with there."""
+    table = table.combine_chunks()
+    n = len(table)
+    doc, h = words(table.column("text")).shingles(WORDS)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order].astype(np.int64), h[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    times = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))  # the k-th time that a text says it
+    _, col = np.unique(mix(h + times.astype(U) * _GOLD), return_inverse=True)
+    total = np.bincount(doc, minlength=n)
+    often = np.bincount(col) > 1
+    number = np.cumsum(often) - 1
+    doc, col = doc[often[col]], number[col[often[col]]]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    left = table.column("is_rest").to_numpy(zero_copy_only=False).astype(bool)
+    both = np.zeros((left.sum(), (~left).sum()))
+    for first in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(col, (first, first + 4096))
+        m = np.zeros((n, 4096), np.float32)
+        m[doc[a:b], col[a:b] - first] = 1
+        both += m[left] @ m[~left].T
+    rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
+    near = both >= THRESHOLD * np.maximum(total[left][:, None] + total[~left][None, :] - both, 1) - 1e-9
+    i, j = np.nonzero(near & (own[left][:, None] != own[~left][None, :]))
+    a, b = rep[left][i], rep[~left][j]
+    low = {}
+    for x, y in zip(a, b, strict=True):  # a forest: one edge for each merge
+        x, y = _root(low, x), _root(low, y)
+        if x != y:
+            low[max(x, y)] = min(x, y)
+    return pa.table({"a": pa.array(list(low), pa.int64()), "b": pa.array(list(low.values()), pa.int64())})
+
+
+def _root(low, x):
+    while x in low:
+        x = low[x]
+    return x
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents whose id may be among ``ids``: a one-hash bit filter of fixed size is broadcast."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
@@ -185,8 +228,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     sig = cut_lineage(signatures(docs))
     worded = sig.where("n > 0 and doc_id is not null")
-    classes = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "b0", "b1")).alias("m"))
-    reps = cut_lineage(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.bands", "m.b0", "m.b1"))
+    classes = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "b0", "b1", "n")).alias("m"))
+    reps = cut_lineage(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.bands", "m.b0", "m.b1", "m.n"))
     bits = reps.select("rep", "b0", "b1")
     buckets = reps.select("rep", F.posexplode("bands").alias("p", "h")).select("rep", F.xxhash64("p", "h").alias("bucket"))
     centres = cut_lineage(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1"))
@@ -195,21 +238,21 @@ def groups(docs: DataFrame) -> DataFrame:
     links = cut_lineage(verify(docs, first))
     comp = cut_lineage(components(links))
 
-    # buckets of three and more whose members are not all connected: compare across components
+    # buckets of three and more whose members are not all connected: what is not with the centre meets all
     label = lambda rows, node, name: rows.join(comp.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-    open_ = label(label(members.where("many > 2"), "rep", "own"), "centre", "main")
-    rest = open_.where("own <> main and rep <> centre").select("bucket", F.col("rep").alias("a"), F.col("own").alias("a_own"), "main")
-    other = open_.where("rep <> centre").select("bucket", F.col("rep").alias("b"), F.col("own").alias("b_own"))
-    wanted = rest.join(other, "bucket").where("a_own <> b_own and (b_own = main or a < b)").select("a", "b", "a_own", "b_own").distinct()
-    wanted = cut_lineage(wanted.join(_with_bits(wanted.select("a", "b"), bits), ["a", "b"]))
-    if not wanted.isEmpty():
-        best = wanted.groupBy("a", "b_own").agg(F.max_by("b", F.struct("agree", "b")).alias("b")).select("a", "b").distinct()
-        links = cut_lineage(links.unionByName(verify(docs, best)))
-        comp = cut_lineage(components(links))
-        left = wanted.select("a", "b").join(best, ["a", "b"], "left_anti")
-        left = cut_lineage(label(label(left, "a", "a_own"), "b", "b_own").where("a_own <> b_own").select("a", "b"))
-        if not left.isEmpty():
-            comp = components(links.unionByName(verify(docs, left)))
+    open_ = label(label(members.where("many > 2"), "rep", "own"), "centre", "main").join(reps.select("rep", "n"), "rep")
+    is_rest = F.col("own") != F.col("main")
+    cuts = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_WORDS), F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS), F.lit(1)).cast("int")
+    sizes = open_.groupBy("bucket").agg(cuts(is_rest).alias("pi"), cuts(F.lit(True)).alias("pj"), F.max(is_rest).alias("mixed")).where("mixed").hint("rebalance")
+    open_ = cut_lineage(open_.join(sizes, "bucket").select("bucket", "rep", "own", "pi", "pj", is_rest.alias("is_rest")))
+    if not open_.isEmpty():
+        own = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
+        every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
+        rest = open_.where("is_rest").select("bucket", own("pi").alias("i"), every("pj").alias("j"), "is_rest", "rep", "own")
+        all_ = open_.select("bucket", every("pi").alias("i"), own("pj").alias("j"), F.lit(False).alias("is_rest"), "rep", "own")
+        texts = _only(docs, open_.select(F.col("rep").alias("id"))).select(F.col("doc_id").alias("rep"), "text")
+        met = rest.unionByName(all_).join(texts, "rep").groupBy("bucket", "i", "j").applyInArrow(_block, "a bigint, b bigint")
+        comp = components(links.unionByName(met))
     placed = reps.select("k1", "k2", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("_g"))
     out = sig.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(placed, ["k1", "k2"], "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("_g", "doc_id"))
