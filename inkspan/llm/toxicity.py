@@ -18,9 +18,10 @@ from inkspan.llm.words import U, column, slices, small_batches, words
 
 TRAIN_DOCS = 8000  # documents in the training sample, about
 TRAIN_CHARS = 20_000  # longer documents are not learned from
-MIN_DOCS = 8  # training documents a word must stand in
+MIN_DOCS = 5  # training documents a word must stand in
 BIAS = -10.0  # logit of a sentence of unknown words: ten thousand of them make a score of 0.37 at most
-RIDGE = 1e-2  # pull of the weights to 0
+SURE = 5.0  # standard deviations by which a word must stand in toxic documents oftener than chance
+RIDGE = 3e-3  # pull of the weights to 0
 MOD, HELD = 4, 2
 THRESHOLD = 0.3
 
@@ -68,7 +69,9 @@ def fit(docs: DataFrame, labels: DataFrame, most=TRAIN_DOCS, steps=200) -> tuple
     n1, n0 = y.sum(), (1 - y).sum()
     d1 = np.bincount(pairs[0], y[pairs[1]], len(vocabulary))
     d0 = np.bincount(pairs[0], 1 - y[pairs[1]], len(vocabulary))
-    keep = np.flatnonzero(d1 + d0 >= MIN_DOCS)
+    share = n1 / (n1 + n0)
+    beyond = (d1 - (d1 + d0) * share) / np.sqrt(np.maximum((d1 + d0) * share * (1 - share), 1e-9))
+    keep = np.flatnonzero((d1 + d0 >= MIN_DOCS) & (beyond >= SURE))
     odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((d0 + 0.5) / (n0 + 1))
     number = np.full(len(vocabulary), -1)
     number[keep] = np.arange(len(keep))
