@@ -11,7 +11,7 @@ sys.path[:0] = [os.path.dirname(HERE), HERE]
 def spark():
     from inkspan.session import build_session
 
-    s = build_session("tests", master="local[4]", cores=4, memory="4g")
+    s = build_session("tests", master="local[8]", cores=4, memory="6g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

@@ -273,3 +273,12 @@ def test_hidden_patch_survives_when_solid(spark):
     got = surfaces.pixel_classes(p, p.where("r = 200"), p.where("b = 200"), tones).groupBy("cls").count().collect()
     n = {r.cls: r["count"] for r in got}
     assert n["paint"] == 180 and n["hidden"] >= 130 and n["hidden"] + n.get("family", 0) + n["wall"] == 1020
+
+
+def test_blank_probe_scores_nothing(spark):
+    from inkspan.operators import recognition as rc
+
+    t = spark.createDataFrame([("A", c, 1.0 if c < 8 else 0.0) for c in range(16)] + [("B", c, 1.0 if c >= 8 else 0.0) for c in range(16)], "tpl string, cell int, v double")
+    p = spark.createDataFrame([(1, c, 1.0 if c < 8 else 0.0) for c in range(16)] + [(2, c, 0.0) for c in range(16)], "id int, cell int, v double")
+    got = {(r.id, r.tpl): r.score for r in rc.chamfer_scores(p, t, 4).collect()}
+    assert got[(2, "A")] == got[(2, "B")] == 0.0 and got[(1, "A")] > got[(1, "B")] > 0
