@@ -29,7 +29,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 25, 5  # a pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^25 = 0.99995
 SLOTS = 128
 MIN_AGREE = 98  # of 128 one-bit slots; 115 are expected at similarity 0.8, and this is five standard deviations lower
-BLOCK_WORDS, BLOCK_ROWS = 400_000, 1024  # of one side of a block, about; a longer text is a block of its own
+BLOCK_WORDS, BLOCK_ROWS = 200_000, 1024  # of one side of a block, about; a longer text is a block of its own
 FILTER_BITS = 24  # of the id filter: at most 2^18 rows of 64 bits are broadcast, whatever the input
 
 SIGNATURE = "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, b0 bigint, b1 bigint"
@@ -130,7 +130,7 @@ def _similar(batches):
         total = np.cumsum(size[0] + size[1])
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (4 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (2 << 20), "right")))
             part = batch.slice(at, to - at)
             at = to
             j = bag_similarity(column(part, "ta"), column(part, "tb"))
