@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.graph import components
 from inkspan.llm.words import U, column, mix, slices, small_batches, text_buffer, words
-from inkspan.session import cut_lineage
+from inkspan.session import cut_lineage, small_side
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -32,7 +32,7 @@ MIN_AGREE = 98  # of 128 one-bit slots; 115 are expected at similarity 0.8, and
 BLOCK_WORDS, BLOCK_ROWS = 200_000, 1024  # of one side of a block, about; a longer text is a block of its own
 FILTER_BITS = 24  # of the id filter: at most 2^18 rows of 64 bits are broadcast, whatever the input
 
-SIGNATURE = "doc_id bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, b0 bigint, b1 bigint"
+SIGNATURE = "doc_id bigint, said bigint, k1 bigint, k2 bigint, n bigint, bands array<bigint>, b0 bigint, b1 bigint"
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -114,14 +114,19 @@ def _signed(batches):
             keys = [_per_text(mix(h + w.astype(U) * c), doc, n).view(np.int64) for c in (_GOLD, U(0xC2B2AE3D27D4EB4F))]
             total = np.bincount(doc, w, n).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), pa.array(keys[0]), pa.array(keys[1]), pa.array(total), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2)]],
+                [column(part, "doc_id"), column(part, "said"), pa.array(keys[0]), pa.array(keys[1]), pa.array(total), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(2)]],
                 [f.split()[0] for f in SIGNATURE.split(", ")],
             )
 
 
+def _said(text="text"):
+    """A hash that tells the texts of rows with the same doc_id apart."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_signed, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("bigint"), _said().alias("said"), F.col("text").cast("string")).mapInArrow(_signed, SIGNATURE)
 
 
 def _similar(batches):
@@ -194,19 +199,20 @@ def _root(low, x):
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents whose id may be among ``ids``: a one-hash bit filter of fixed size is broadcast."""
+    """(doc_id, said, text) of the documents whose id may be among ``ids``: a one-hash bit filter of fixed size is broadcast."""
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {1 << FILTER_BITS}) % 64 as int))")
     bits = ids.select(F.col("id").alias("doc_id")).select((h / 64).cast("int").alias("_w"), bit.alias("_bit")).groupBy("_w").agg(F.bit_or("_bit").alias("_bits"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return rows.withColumns({"_w": (h / 64).cast("int"), "_bit": bit}).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _said().alias("said"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return rows.withColumns({"_w": (h / 64).cast("int"), "_bit": bit}).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("doc_id", "said", "text")
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose bags overlap by at least the threshold."""
-    texts = _only(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").mapInArrow(_similar, "a bigint, b bigint, similarity double").select("a", "b").distinct()
+    """(a, b) of the pairs whose bags overlap by at least the threshold; a text is found by its doc_id and ``said``."""
+    texts = _only(docs, pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")))
+    of = lambda side: texts.select(F.col("doc_id").alias(f"{side}_doc"), F.col("said").alias(f"{side}_said"), F.col("text").alias(f"t{side}"))
+    left = pairs.drop("agree").join(of("a"), ["a_doc", "a_said"]).select("a", "b", "ta", "b_doc", "b_said")
+    return left.join(of("b"), ["b_doc", "b_said"]).select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint, similarity double").select("a", "b").distinct()
 
 
 def _agree(p, q):
@@ -215,22 +221,22 @@ def _agree(p, q):
 
 def _with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(bits.select(F.col("rep").alias(side), *[F.col(f"b{k}").alias(f"_{side}{k}") for k in range(2)]), side)
-    return pairs.withColumn("agree", _agree("_a", "_b")).where(F.col("agree") >= MIN_AGREE).select("a", "b", "agree")
+        pairs = pairs.join(bits.select(F.col("rep").alias(side), F.col("doc_id").alias(f"{side}_doc"), F.col("said").alias(f"{side}_said"), *[F.col(f"b{k}").alias(f"_{side}{k}") for k in range(2)]), side)
+    return pairs.withColumn("agree", _agree("_a", "_b")).where(F.col("agree") >= MIN_AGREE).select("a", "b", "a_doc", "a_said", "b_doc", "b_said", "agree")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id, kept): the smallest doc_id reachable over links of similarity 0.8 or more.
+def _grouped(docs: DataFrame) -> DataFrame:
+    """The columns of ``groups``, and said, k1, k2 and n of each row.
 
-    One row per row of ``docs``; exactly the row with doc_id = group_id is kept (repeated ids share
-    the answer). A text of one to four words is one shingle. Texts without words (null, empty, only
-    signs) link with nothing. Rows without doc_id are kept with a null group and link with nothing.
+    What is linked are classes of equal bags, not doc_ids: different texts under one id are apart.
+    ``rep`` numbers the classes in the order of (doc_id, said) of their smallest row.
     """
     sig = cut_lineage(signatures(docs))
     worded = sig.where("n > 0 and doc_id is not null")
-    classes = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "b0", "b1", "n")).alias("m"))
-    reps = cut_lineage(classes.select("k1", "k2", F.col("m.doc_id").alias("rep"), "m.bands", "m.b0", "m.b1", "m.n"))
-    bits = reps.select("rep", "b0", "b1")
+    classes = worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "said", "bands", "b0", "b1", "n")).alias("m"))
+    ordered = classes.select("k1", "k2", "m.*").orderBy("doc_id", "said", "k1", "k2")
+    reps = cut_lineage(ordered.withColumn("rep", F.monotonically_increasing_id()))  # partitions are ranges, so numbers are in order
+    bits = reps.select("rep", "doc_id", "said", "b0", "b1")
     buckets = reps.select("rep", F.posexplode("bands").alias("p", "h")).select("rep", F.xxhash64("p", "h").alias("bucket"))
     centres = cut_lineage(buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("many")).where("many > 1"))
     members = cut_lineage(buckets.join(centres, "bucket"))
@@ -240,32 +246,54 @@ def groups(docs: DataFrame) -> DataFrame:
 
     # buckets of three and more whose members are not all connected: what is not with the centre meets all
     label = lambda rows, node, name: rows.join(comp.select(F.col("node").alias(node), F.col("component").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-    open_ = label(label(members.where("many > 2"), "rep", "own"), "centre", "main").join(reps.select("rep", "n"), "rep")
+    open_ = label(label(members.where("many > 2"), "rep", "own"), "centre", "main").join(reps.select("rep", "n", "doc_id", "said"), "rep")
     is_rest = F.col("own") != F.col("main")
     cuts = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("n"))) / BLOCK_WORDS), F.ceil(F.count(F.when(c, 1)) / BLOCK_ROWS), F.lit(1)).cast("int")
     sizes = open_.groupBy("bucket").agg(cuts(is_rest).alias("pi"), cuts(F.lit(True)).alias("pj"), F.max(is_rest).alias("mixed")).where("mixed").hint("rebalance")
-    open_ = cut_lineage(open_.join(sizes, "bucket").select("bucket", "rep", "own", "pi", "pj", is_rest.alias("is_rest")))
+    open_ = cut_lineage(open_.join(sizes, "bucket").select("bucket", "rep", "doc_id", "said", "own", "pi", "pj", is_rest.alias("is_rest")))
     if not open_.isEmpty():
         own = lambda p: F.pmod(F.xxhash64("rep"), F.col(p)).cast("int")
         every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
-        rest = open_.where("is_rest").select("bucket", own("pi").alias("i"), every("pj").alias("j"), "is_rest", "rep", "own")
-        all_ = open_.select("bucket", every("pi").alias("i"), own("pj").alias("j"), F.lit(False).alias("is_rest"), "rep", "own")
-        texts = _only(docs, open_.select(F.col("rep").alias("id"))).select(F.col("doc_id").alias("rep"), "text")
-        met = rest.unionByName(all_).join(texts, "rep").groupBy("bucket", "i", "j").applyInArrow(_block, "a bigint, b bigint")
-        comp = components(links.unionByName(met))
-    placed = reps.select("k1", "k2", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("_g"))
-    out = sig.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(placed, ["k1", "k2"], "left")
+        rest = open_.where("is_rest").select("bucket", own("pi").alias("i"), every("pj").alias("j"), "is_rest", "rep", "doc_id", "said", "own")
+        all_ = open_.select("bucket", every("pi").alias("i"), own("pj").alias("j"), F.lit(False).alias("is_rest"), "rep", "doc_id", "said", "own")
+        texts = _only(docs, open_.select(F.col("doc_id").alias("id")))
+        met = rest.unionByName(all_).join(texts, ["doc_id", "said"]).drop("doc_id", "said").groupBy("bucket", "i", "j").applyInArrow(_block, "a bigint, b bigint")
+        comp = cut_lineage(components(links.unionByName(met)))
+    first_ids = small_side(comp.where("node = component").select("component").join(reps.select(F.col("rep").alias("component"), F.col("doc_id").alias("_first")), "component"))
+    placed = reps.select("k1", "k2", "rep", F.col("doc_id").alias("_own")).join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(first_ids, "component", "left")
+    placed = placed.select("k1", "k2", F.coalesce("_first", "_own").alias("_g"), F.coalesce(F.col("rep") == F.col("component"), F.lit(True)).alias("_stays"))
+    keys = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("k1", "k2")]
+    out = sig.select("doc_id", "said", *keys, "n").join(placed, ["k1", "k2"], "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("_g", "doc_id"))
-    return out.select("doc_id", group.alias("group_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", group.alias("group_id"), F.coalesce(F.col("_stays") & (group == F.col("doc_id")), F.lit(True)).alias("kept"), "said", "k1", "k2", "n")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, group_id, kept): the smallest doc_id reachable over links of similarity 0.8 or more.
+
+    One row per row of ``docs``, judged by its own text; of each group exactly the text with doc_id =
+    group_id is kept (repeated rows of it share the answer). Groups of unlike texts whose smallest id
+    is the same share the number, and each keeps its own. A text of one to four words is one shingle.
+    Texts without words (null, empty, only signs) link with nothing. Rows without doc_id are kept with
+    a null group and link with nothing.
+    """
+    return _grouped(docs).select("doc_id", "group_id", "kept")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of which one in each group stays; of repeated ids one row stays."""
-    found = cut_lineage(groups(docs))
-    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    """The documents, with all their columns, of which one in each group stays.
+
+    Of rows with the same id one for each text that is kept stays: among equal bags, or equal texts
+    without words, the first row in the order of its JSON form.
+    """
+    found = cut_lineage(_grouped(docs).where("doc_id is not null").withColumnRenamed("doc_id", "_id"))
+    ids = found.groupBy("_id").agg(F.count("*").alias("many"), F.max("kept").alias("any"))
+    out = docs.join(ids.where("not any").select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    twice = cut_lineage(ids.where("any and many > 1").select("_id"))
     if twice.isEmpty():
         return out
-    again = out.join(twice, out["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id"])
+    again = out.join(twice, out["doc_id"] == twice["_id"], "left_semi")
+    again = again.select(F.struct(*[again[c] for c in docs.columns]).alias("_row"), again["doc_id"].cast("bigint").alias("_id"), _said().alias("said"))
+    kept = found.where("kept").join(twice, "_id").select("_id", "said", "k1", "k2", F.when(F.col("n") == 0, F.col("said")).alias("_bare")).distinct()
+    again = again.join(kept, ["_id", "said"]).groupBy("_id", "k1", "k2", "_bare").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
     return out.join(twice, out["doc_id"] == twice["_id"], "left_anti").unionByName(again)

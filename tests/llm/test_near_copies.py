@@ -76,6 +76,41 @@ def test_keep_one_with_repeats_nulls_and_extra_columns(spark):
     assert bagminhash.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def _kept(spark, rows):
+    out = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, k1 string")).collect()
+    return sorted((r.doc_id, r.text, r.k1) for r in out)
+
+
+def test_different_texts_under_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    near = lambda t: t + " more"
+    assert _kept(spark, [(3, b, ""), (5, a, ""), (5, b, "")]) == [(3, b, ""), (5, a, "")]
+    assert _kept(spark, [(5, a, ""), (5, b, ""), (5, b, "")]) == [(5, a, ""), (5, b, "")]
+    rows = [(5, a, ""), (5, b, ""), (7, near(a), ""), (9, near(b), ""), (9, c, "")]
+    assert _kept(spark, rows) == [(5, a, ""), (5, b, ""), (9, c, "")]
+    found = bagminhash.groups(spark.createDataFrame(rows, "doc_id bigint, text string, k1 string"))
+    assert sorted((r.doc_id, r.group_id, r.kept) for r in found.collect()) == [(5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 9, True)]
+    rows = [(1, "One two", "z"), (1, "one TWO!", "y"), (2, "!", "x"), (2, "...", "w"), (2, "...", "v"), (2, None, "u"), (2, None, "u")]
+    assert sorted(r[2] for r in _kept(spark, [(i, t or "", k) for i, t, k in rows])) == ["u", "v", "x", "z"]
+
+
+def test_families_under_shared_ids_equal_brute_force(spark):
+    """Each id stands at two unlike texts, so ids join nothing; mixed buckets are met block by block."""
+    r = random.Random(8)
+    rows = []
+    for f in range(2):
+        base = [f"f{f}w{i}" for i in range(120)]
+        for k in range(40):
+            t = list(base)
+            for _ in range(3 if k % 2 else 2):
+                t[r.randrange(len(t))] = f"z{r.randrange(10**6)}"
+            rows.append((k, " ".join(t), ""))
+    bags = [bag(t) for _, t, _ in rows]
+    root = smallest_reachable(range(80), [(i, j) for i in range(80) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8])
+    want = sorted((rows[i][0], rows[i][1], "") for i in range(80) if root[i] == i)
+    assert _kept(spark, rows) == want
+
+
 def _cosines(x):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T >= 0.9
