@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.sample import remainder, thin
+from inkspan.llm.sample import remainder, thin_each
 from inkspan.llm.words import _FOLD, U, column, mix, slices, small_batches, text_buffer
 
-TRAIN_DOCS = 6000  # documents in the training sample, about
+LANG_DOCS = 1500  # documents of each language in the training sample, about
 TRAIN_CHARS = 20_000  # longer documents are not learned from
 MIN_DOCS = 3  # training documents of a language that an n-gram must stand in
 SHARE = 0.2  # of its highest relative frequency that an n-gram needs in a language to belong to it
@@ -73,11 +73,11 @@ class Filter:
         self.langs, self.table, self.fill = langs, table, fill  # table: words of 64 languages x slots
 
 
-def fit(docs: DataFrame, most=TRAIN_DOCS) -> Filter:
-    """The filter of a bounded sample of the learning rows; null languages are not learned."""
+def fit(docs: DataFrame, most=LANG_DOCS) -> Filter:
+    """The filter of about ``most`` learning rows of each language, all of them where there are fewer; null languages are not learned."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (remainder(MOD) != HELD))
-    rows = thin(rows.select("doc_id", "lang", "text"), most, "doc_id").where(F.length("text") <= TRAIN_CHARS)
+    rows = thin_each(rows.where(F.length("text") <= TRAIN_CHARS), most, "lang", "doc_id", "text").select("lang", "text")
     found = rows.mapInArrow(_counted, "lang string, gram bigint, n bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = found.where(F.col("docs") >= MIN_DOCS).toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])
     lang = found.column("lang").combine_chunks().dictionary_encode()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkspan.session import small_side
+
 
 def remainder(mod: int):
     """crc32 of the doc_id as text, modulo ``mod``; a null id counts as remainder 0."""
@@ -18,6 +20,15 @@ def thin(rows: DataFrame, most: int, *keys) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def thin_each(rows: DataFrame, most: int, group: str, *keys) -> DataFrame:
+    """About ``most`` of the rows of each group, all of a group that has no more; a group's share depends on its own number alone.
+
+    ``group`` has few values, which are counted into one broadcast row each.
+    """
+    share = small_side(rows.groupBy(group).agg(F.least(F.lit(1.0), most / F.count("*")).alias("_share")))
+    return rows.join(share, group).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < (F.col("_share") * (1 << 30)).cast("bigint")).drop("_share")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, chars: int) -> DataFrame:
     """(y, text) of at most about ``most`` labelled documents outside the held-out remainder.
 

@@ -81,6 +81,18 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
 
 
+def test_a_rare_language_is_learned_beside_a_large_one(spark):
+    rare, common = "zorblik vuntra mekosh pilluda", "the quiet harbour lights again"
+    rows = spark.range(40_000).selectExpr("id as doc_id", f"case when id % 2000 = 0 then '{rare}' else '{common}' end as text", "case when id % 2000 = 0 then 'rare' else 'common' end as lang")
+    alone = rows.where("lang = 'rare' or doc_id < 200")
+    for docs in (alone, rows):
+        model = langid.fit(docs)
+        assert model.langs == ["common", "rare"]
+        assert {r.lang_pred for r in langid.identify(rows.where("lang = 'rare'"), model).collect()} == {"rare"}
+    long = rows.selectExpr("doc_id", "case when lang = 'rare' and doc_id % 4000 = 0 then repeat(text, 1000) else text end as text", "lang")
+    assert langid.fit(long, 10).langs == ["common", "rare"]
+
+
 def _parts(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     return (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", "")
