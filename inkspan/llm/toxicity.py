@@ -25,7 +25,7 @@ RIDGE = 3e-3  # pull of the weights to 0
 MOD, HELD = 4, 2
 THRESHOLD = 0.3
 
-SCORED = "doc_id bigint, held_out boolean, score double, predicted int, worst_start bigint, worst_end bigint, worst_score double, n_offending bigint"
+SCORED = "doc_id bigint, held_out boolean, score double, predicted int, worst_start bigint, worst_end bigint, worst_score double, n_offending bigint, offending array<struct<start:bigint,end:bigint,score:double>>"
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
@@ -97,6 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, most=TRAIN_DOCS, steps=200) -> tuple
 def score(docs: DataFrame, model) -> DataFrame:
     """One row per document of whole texts, with its most offensive sentence as a code point span.
 
+    ``offending`` has the spans of all sentences from the threshold on, in the order of the text.
+
     The score leaves out the leak, so a text without words, empty or null scores 0 and has a null
     span. Repeated ids are scored per row; a null id is not held out.
     """
@@ -134,15 +136,19 @@ def _score_part(part, vocabulary, weight, filter_):
     doc_score = np.clip(1 - np.exp(total), 0, 1)
     bad = np.bincount(of, p >= THRESHOLD, n).astype(np.int64) if many else np.zeros(n, np.int64)
     begin, end, top = [None] * n, [None] * n, [None] * n
+    spans = [[] for _ in range(n)]
     order = np.lexsort((np.arange(many), -p, of))
     if many:
         points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+        for i in np.flatnonzero(p >= THRESHOLD):
+            base = points[w.offsets[of[i]]]
+            spans[of[i]].append({"start": int(points[w.start[first[i]]] - base), "end": int(points[w.end[last[i]]] - base), "score": float(p[i])})
         head = order[np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))]
         for i in head:
             d = of[i]
             base = points[w.offsets[d]]
             begin[d], end[d], top[d] = int(points[w.start[first[i]]] - base), int(points[w.end[last[i]]] - base), float(p[i])
     return pa.RecordBatch.from_arrays(
-        [column(part, "doc_id"), column(part, "held_out"), pa.array(doc_score), pa.array((doc_score >= THRESHOLD).astype(np.int32)), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(top, pa.float64()), pa.array(bad)],
-        ["doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending"],
+        [column(part, "doc_id"), column(part, "held_out"), pa.array(doc_score), pa.array((doc_score >= THRESHOLD).astype(np.int32)), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(top, pa.float64()), pa.array(bad), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
+        ["doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending", "offending"],
     )

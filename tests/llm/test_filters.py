@@ -50,6 +50,17 @@ def test_offending_sentence(spark):
             assert rows[r.doc_id][1][r.worst_start : r.worst_end] == "You vile thing" and r.n_offending == 1
 
 
+def test_every_offending_sentence_has_its_span(spark):
+    rows = [(i, f"Calm words here. {'You vile thing' if i % 2 else 'You nice thing'}. More words", i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    texts = {1: "😀 é. So vile! Calm words. A vile one", 2: "Calm words", 3: None}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), model).collect()}
+    assert [texts[1][x.start : x.end] for x in got[1].offending] == ["So vile", "A vile one"]
+    assert max(x.score for x in got[1].offending) == got[1].worst_score and all(r.n_offending == len(r.offending) for r in got.values())
+    assert got[2].offending == got[3].offending == []
+
+
 def test_quality(spark, docs, labels, odd):
     model = quality.fit(docs, labels)
     rows = _held_accuracy(quality.score(docs, model), labels, "quality")
