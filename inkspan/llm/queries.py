@@ -149,6 +149,27 @@ def op1(spark, sf):
     return multi_index.links(table(spark, sf, "embeddings"))
 
 
+OP11_SQL = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+  cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 13) as bigint) as draw from documents),
+ s as (select source, cast(sum(size) as bigint) as n, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by source),
+ o as (select *, sum(n) over () as total, coalesce(sum(3 * n) over b, 0) as stopped, sum(w) over () - coalesce(sum(w) over b, 0) as free, row_number() over (order by n * 6 // w, source nulls last) as i
+  from s window b as (order by n * 6 // w, source nulls last rows between unbounded preceding and 1 preceding)),
+ c as (select arg_min(total - stopped, i) as rest, arg_min(free, i) as free from o where 3 * n * free >= (total - stopped) * w),
+ r as (select source, n, case when 3 * n * free < rest * w then 3.0::double * n else least(w::double * (rest::double / free::double), 3.0::double * n) end as target from s, c),
+ t as (select *, case when n > 0 then target / n::double else 0 end as rate from r)
+select doc_id, size, n as source_size, target, cast(size * (floor(rate) + case when draw < (rate - floor(rate)) * 4503599627370496.0::double then 1 else 0 end) as bigint) as taken
+from d join t on d.source is not distinct from t.source
+"""
+
+
+@query("op11_mixing", OP11_SQL)
+def op11(spark, sf):
+    from inkspan.llm import mixing
+
+    return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline

@@ -34,7 +34,7 @@ def test_stages_on_empty_tables_and_extra_columns(spark, tmp_path):
             rows = spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", ["op3_decontamination", "op10_preference"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_twins(spark, name):
     import oracle_check as oc
 
