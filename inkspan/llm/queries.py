@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -170,6 +171,52 @@ def op11(spark, sf):
     return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _lloyd_sql(rounds=6):
+    """Parts, then codebooks and assignments round by round, one common table each."""
+    nearest = "arg_min(e, struct_pack(d := d, e := e)) as e, min(d) as d from (select k, p, e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from v join b{r} b using (p)) group by k, p"
+    sql = """
+with recursive t as (select row_number() over (order by vec_id nulls last, embedding) as k, vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ v as materialized (select k, p, x[p * (len(x) // 8) + 1 : (p + 1) * (len(x) // 8)] as x from t, (select unnest(range(8)) as p)),
+ b0 as materialized (select p, k - 1 as e, x from v where k <= 16)"""
+    for r in range(rounds + 1):
+        sql += f",\n a{r} as materialized (select k, p, {nearest.format(r=r)})"
+        if r < rounds:
+            sql += f""",
+ s{r} as (select p, e, j, sum(x) as n, count(*) as c from (select a.p, a.e, unnest(v.x) as x, unnest(range(len(v.x))) as j from a{r} a join v using (k, p)) group by 1, 2, 3),
+ b{r + 1} as materialized (select b.p, b.e, coalesce(any_value(m.x), any_value(b.x)) as x from b{r} b left join (select p, e, list(cast(floor(n / c) as bigint) order by j) as x from s{r} group by 1, 2) m on b.p = m.p and b.e = m.e group by 1, 2)"""
+    return sql + f""",
+ c as (select k, string_agg('0' || format('{{:x}}', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by 1),
+ h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from t join c using (k), h
+"""
+
+
+@query("op12_vector_codes", _lloyd_sql())
+def op12(spark, sf):
+    from inkspan.llm import vector_codes
+
+    return vector_codes.encode(table(spark, sf, "embeddings"))
+
+
+def with_periods(words, doc_id):
+    """A tenth of the documents, by their id, end in words that repeat with a period that the id gives."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf):
+    from inkspan.llm import periodic_runs
+
+    return periodic_runs.report(table(spark, sf, "documents"), with_periods)
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
