@@ -12,11 +12,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.arrays import let, letters, sums_before
+from inkspan.llm.arrays import let, letters, most_before, sums_before
 
 _MAIL = "A-Za-z0-9._%+-"
 KEEP = 0.6  # score from which a span of the method is kept; base spans always stay
 BEFORE, AFTER = 40, 20  # code points around a match in which its words may stand
+CHUNK = 64  # code points of the pieces that contexts are cut from; not less than BEFORE
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,14 @@ def _found(text: Column, kind: Kind) -> tuple[Column, Column]:
     return F.when(there, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))).otherwise(none), F.when(there, F.split(text, kind.pattern, -1)).otherwise(none)
 
 
-def _spans(text: Column, kind: Kind, found: Column, between: Column) -> Column:
+def _stretch(chunks: Column, at: Column, n: Column) -> Column:
+    """``n`` (up to a chunk's length) code points from place ``at`` on, at the cost of two chunks."""
+    k = (at / CHUNK).cast("int")
+    both = F.concat(F.get(chunks, k), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+    return F.when(n > 0, F.coalesce(F.substring(both, at % CHUNK + 1, n), F.lit(""))).otherwise("")
+
+
+def _spans(chunks: Column, kind: Kind, found: Column, between: Column) -> Column:
     """array<struct<kind, start, end, score>> of the confirmed matches."""
     pairs = F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b")))
     gaps = F.transform(pairs, lambda p: F.length(p["b"]) + F.coalesce(F.length(p["m"]), F.lit(0)))
@@ -97,9 +105,10 @@ def _spans(text: Column, kind: Kind, found: Column, between: Column) -> Column:
 
     def scored(x):
         lo = F.greatest(x["at"] - BEFORE, F.lit(0))
-        near = F.lower(F.substring(text, lo + 1, x["at"] - lo + F.length(x["m"]) + AFTER))
+        end = x["at"] + F.length(x["m"])
+        near = F.lower(F.concat(_stretch(chunks, lo, x["at"] - lo), x["m"], _stretch(chunks, end, F.lit(AFTER))))
         score = F.lit(kind.prior + kind.checked) + F.when(near.rlike(rf"\b(?:{kind.words})\b"), kind.context).otherwise(0.0)
-        return F.struct(F.lit(kind.name).alias("kind"), x["at"].alias("start"), (x["at"] + F.length(x["m"])).alias("end"), score.alias("score"))
+        return F.struct(F.lit(kind.name).alias("kind"), x["at"].alias("start"), end.alias("end"), score.alias("score"))
 
     spans = F.transform(ok, scored)
     return spans if kind.base else F.filter(spans, lambda s: s["score"] >= KEEP)
@@ -111,7 +120,10 @@ def find(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     for k in KINDS:
         found, between = _found(F.col("_text"), k)
         df = df.withColumns({f"_f_{k.name}": found, f"_b_{k.name}": between})
-    return df.select(*keep, "_text", *[_spans(F.col("_text"), k, F.col(f"_f_{k.name}"), F.col(f"_b_{k.name}")).alias(f"_{k.name}") for k in KINDS])
+    some = sum((F.size(f"_f_{k.name}") for k in KINDS), F.lit(0)) > 0
+    chunks = F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_chunks", chunks)
+    return df.select(*keep, "_text", *[_spans(F.col("_chunks"), k, F.col(f"_f_{k.name}"), F.col(f"_b_{k.name}")).alias(f"_{k.name}") for k in KINDS])
 
 
 def _written(kinds) -> Column:
@@ -141,19 +153,24 @@ def redact(docs: DataFrame) -> DataFrame:
     df = find(docs.select(F.struct(*quoted).alias("_row"), F.col("text")), ("_row",))
     spans = F.array_sort(F.transform(F.concat(*[F.col(f"_{k.name}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def merge(done, s):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+    def merged(all_):
+        """Spans as they begin where none before reaches over, each to where the ones it meets end."""
+        ends = F.transform(all_, lambda s: s["end"])
+        reach = F.zip_with(all_, most_before(ends), lambda s, r: F.struct(s["start"].alias("start"), r.alias("before"), s["kind"].alias("kind")))
+        heads = F.filter(reach, lambda s: s["before"] <= s["start"])
+        return let(heads, lambda h: F.transform(h, lambda s, i: F.struct(s["start"].alias("start"), F.coalesce(F.get(h, i + 1)["before"], F.array_max(ends)).alias("end"), s["kind"].alias("kind"))))
 
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    df = df.withColumn("_all", spans).withColumn("_all", F.aggregate("_all", empty, lambda done, s: F.when(F.size(done) == 0, F.array(s)).otherwise(merge(done, s))))
+    df = df.withColumn("_all", let(spans, merged))
     wide = F.encode("_text", "UTF-32")  # four bytes a code point: cutting a piece costs its length only
-    cut = lambda a, b: F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(F.col("_wide"), a * 4 + 1, (b - a) * 4)), "UTF-32")
-    end_before = lambda i: F.when(i > 0, F.get(F.col("_all"), i - 1)["end"]).otherwise(0)
-    pieces = F.transform("_all", lambda s, i: F.concat(cut(end_before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    text = F.when(F.size("_all") == 0, F.col("_text")).otherwise(F.concat(F.array_join(pieces, ""), cut(F.element_at("_all", -1)["end"], F.length("_text"))))
-    df = df.withColumn("_wide", F.when(F.size("_all") > 0, wide)).withColumn("_new", text)
+
+    def pieces(w):
+        cut = lambda a, b: F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(w, a * 4 + 1, (b - a) * 4)), "UTF-32")
+        end_before = lambda i: F.when(i > 0, F.get(F.col("_all"), i - 1)["end"]).otherwise(0)
+        parts = F.transform("_all", lambda s, i: F.concat(cut(end_before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), cut(F.element_at("_all", -1)["end"], F.length("_text")))
+
+    text = F.when(F.size("_all") == 0, F.col("_text")).otherwise(let(wide, pieces))
+    df = df.withColumn("_new", text)
     was = F.col("_row")
     new = {"text": F.when(was["text"].isNotNull(), F.col("_new"))}
     if "n_chars" in docs.columns:
