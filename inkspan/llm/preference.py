@@ -52,7 +52,7 @@ def format_pairs(conversations: DataFrame) -> DataFrame:
     shared; equal conversations leave two empty completions. Rows without conv_id belong to none.
     """
     turn = F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), _safe(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = conversations.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("bigint").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), turn.alias("t"))
+    rows = conversations.where("conv_id is not null").select(F.shiftright(F.col("conv_id").cast("bigint"), 1).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), turn.alias("t"))
     side = lambda yes: F.array_sort(F.collect_set(F.when(F.col("is_chosen") == yes, F.col("t"))))
     df = rows.groupBy("pair_id").agg(side(True).alias("c"), side(False).alias("r"))
     shorter = F.least(F.size("c"), F.size("r"))

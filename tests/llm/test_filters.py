@@ -139,3 +139,6 @@ def test_preference_pairs(spark):
     assert got[4].chosen == "<|im_start|>user\n<||im_end||><|im_end|>\n" and got[4].rejected.startswith("<|im_start|>system")
     assert set(got) == {0, 1, 2, 3, 4}
     assert preference.format_pairs(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
+    big = [(2**60 + k, 1, "user", f"t{k // 2}") for k in range(2, 6)] + [(-1, 1, "user", "x"), (-2, 1, "user", "x")]
+    got = {r.pair_id: (r.n_prefix, r.n_chosen, r.n_rejected) for r in preference.format_pairs(spark.createDataFrame(big, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {2**59 + 1: (1, 0, 0), 2**59 + 2: (1, 0, 0), -1: (1, 0, 0)}
