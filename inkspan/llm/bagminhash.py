@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.graph import components
-from inkspan.llm.words import U, column, mix, slices, small_batches, text_buffer, words
+from inkspan.llm.words import U, column, mix, slices, text_buffer, words
 from inkspan.session import cut_lineage, small_side
 
 WORDS = 5
@@ -125,7 +125,6 @@ def _said(text="text"):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), _said().alias("said"), F.col("text").cast("string")).mapInArrow(_signed, SIGNATURE)
 
 
@@ -288,12 +287,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = cut_lineage(_grouped(docs).where("doc_id is not null").withColumnRenamed("doc_id", "_id"))
     ids = found.groupBy("_id").agg(F.count("*").alias("many"), F.max("kept").alias("any"))
-    out = docs.join(ids.where("not any").select("_id"), docs["doc_id"] == F.col("_id"), "left_anti")
+    same = F.col("_docs.doc_id") == F.col("_found._id")
+    out = docs.alias("_docs").join(ids.where("not any").select("_id").alias("_found"), same, "left_anti")
     twice = cut_lineage(ids.where("any and many > 1").select("_id"))
     if twice.isEmpty():
         return out
-    again = out.join(twice, out["doc_id"] == twice["_id"], "left_semi")
-    again = again.select(F.struct(*[again[c] for c in docs.columns]).alias("_row"), again["doc_id"].cast("bigint").alias("_id"), _said().alias("said"))
+    again = out.alias("_docs").join(twice.alias("_found"), same, "left_semi")
+    again = again.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), _said().alias("said"))
     kept = found.where("kept").join(twice, "_id").select("_id", "said", "k1", "k2", F.when(F.col("n") == 0, F.col("said")).alias("_bare")).distinct()
     again = again.join(kept, ["_id", "said"]).groupBy("_id", "k1", "k2", "_bare").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*")
-    return out.join(twice, out["doc_id"] == twice["_id"], "left_anti").unionByName(again)
+    return out.alias("_docs").join(twice.alias("_found"), same, "left_anti").unionByName(again)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.words import column, small_batches
+from inkspan.llm.words import column
 
 PIECE_LEAF = 256  # bytes of an unsplit run encoded at once
 TEXT_LEAF = 1 << 16  # characters of a document encoded in one task
@@ -134,7 +134,7 @@ def _tokens(codec, doc_ids, all_ids):
 
 
 def _encoded(docs, path, schema, finish, text_leaf, piece_leaf):
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(load_vocabulary(path))
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -148,8 +148,10 @@ def _encoded(docs, path, schema, finish, text_leaf, piece_leaf):
     def leaves(batches):
         codec = Codec(sent.value, piece_leaf)
         for batch in batches:
-            ids = [codec.encode(t.as_py()) for t in column(batch, "piece")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "row"), column(batch, "at"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "at", "ids"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                ids = [codec.encode(t.as_py()) for t in column(part, "piece")]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), column(part, "row"), column(part, "at"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row", "at", "ids"])
 
     def joined(table):
         codec = Codec(sent.value, piece_leaf)
@@ -171,14 +173,16 @@ def encode(docs: DataFrame, path, text_leaf=TEXT_LEAF, piece_leaf=PIECE_LEAF) ->
 
 def decode(encoded: DataFrame, path) -> DataFrame:
     """(doc_id, text) from ids; special tokens are written out, broken UTF-8 becomes U+FFFD, null ids an empty text."""
-    spark = small_batches(encoded.sparkSession)
+    spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches):
         codec = Codec(sent.value)
         for batch in batches:
-            texts = [codec.decode(x.as_py() or []) for x in column(batch, "ids")]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                texts = [codec.decode(x.as_py() or []) for x in column(part, "ids")]
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id bigint, text string")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.sample import remainder, thin_each
-from inkspan.llm.words import _FOLD, U, column, mix, slices, small_batches, text_buffer
+from inkspan.llm.words import _FOLD, U, column, mix, slices, text_buffer
 
 LANG_DOCS = 1500  # documents of each language in the training sample, about
 TRAIN_CHARS = 20_000  # longer documents are not learned from
@@ -75,7 +75,6 @@ class Filter:
 
 def fit(docs: DataFrame, most=LANG_DOCS) -> Filter:
     """The filter of about ``most`` learning rows of each language, all of them where there are fewer; null languages are not learned."""
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & (remainder(MOD) != HELD))
     rows = thin_each(rows.where(F.length("text") <= TRAIN_CHARS), most, "lang", "doc_id", "text").select("lang", "text")
     found = rows.mapInArrow(_counted, "lang string, gram bigint, n bigint, docs bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -126,7 +125,7 @@ def predict(filter_: Filter, column_):
 
 
 def _pass_over(docs, filter_, schema, emit):
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(filter_)
 
     def run(batches):

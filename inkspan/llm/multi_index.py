@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.graph import components
 from inkspan.llm.sample import thin
-from inkspan.llm.words import column, small_batches
+from inkspan.llm.words import column
 from inkspan.session import cut_lineage
 
 THRESHOLD = 0.9
@@ -131,7 +131,8 @@ def _nodes(vectors: DataFrame, grid_sent, rounds=2) -> DataFrame:
     def place(batches):
         for batch in batches:
             x = _matrix(column(batch, "u"))
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "u"), pa.array(grid_sent.value.home(x).astype(np.int32))], ["vec_id", "u", "cell"])
+            cell = np.concatenate([grid_sent.value.home(x[at : at + 1024]) for at in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "u"), pa.array(cell.astype(np.int32))], ["vec_id", "u", "cell"])
 
     def gather(batches):
         for batch in batches:
@@ -317,7 +318,6 @@ def links(embeddings: DataFrame) -> DataFrame:
     lengths, link with nothing. Of a repeated id the smallest vector counts; a null id is a row that
     links with nothing. An empty table gives no rows.
     """
-    small_batches(embeddings.sparkSession, 2048)
     rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     rows = cut_lineage(rows)
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)

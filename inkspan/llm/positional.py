@@ -3,28 +3,33 @@
 The index is partitioned by document: every shard holds the posting lists (word positions) of its
 own documents, so postings never move. Test items become windows of ten words; a shard looks up a
 window's rarest term first, turns its postings into candidate starts by subtracting the term's
-offset, and intersects them with the next rarer terms. Windows travel in blocks of bounded size.
+offset, and intersects them with the next rarer terms. Windows travel in blocks of bounded size, at
+most so many blocks in a pass; a benchmark beyond that takes several passes over the shards, which
+carry what was found so far.
 
 * ``build_index``  documents -> shards, a table that may be written and searched again
 * ``search``       shards, items -> one row per document
-* ``annotate``     both in one pass beside all columns of the documents
+* ``drop_contaminated``  both in one pass, keeping the columns of the documents
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkspan.llm.words import U, column, slices, small_batches, word_hashes, words
+from inkspan.llm.words import U, column, slices, word_hashes, words
+from inkspan.session import cut_lineage
 
 WINDOW = 10
 SLOP = 2  # a proximity match lets every word of a window stand this many words off its place
 GAP = 2 * WINDOW + 2 * SLOP  # empty places between documents: no window reaches over them
 BLOCK_BYTES = 4 << 20  # of item texts in one block of windows
+PASS_BLOCKS = 8  # blocks broadcast at once
 
 SHARD = "doc_ids array<bigint>, n_words array<int>, terms array<bigint>, offsets array<int>, positions array<int>"
 FOUND = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, hit_spans array<struct<start:int,end:int>>"
@@ -95,10 +100,14 @@ class Shard:
         return np.where(there, np.diff(self.offsets)[at] if len(self.terms) else 0, 0), at
 
     def starts(self, windows, slop=0):
-        """(window, start) of every place where a window's words stand, each within ``slop`` of its place."""
+        """(window, start, anchor) of every place where a window's words stand, each within ``slop`` of its place.
+
+        The anchor is a posting of the window's rarest term; a start may lie before its document.
+        """
         count, at = self._counts(windows)
+        none = np.zeros(0, np.int64)
         if not len(windows.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none, none, none
         c = np.where(windows.terms >= 0, count[windows.terms], np.iinfo(np.int64).max)
         live = np.flatnonzero(c.min(1) > 0)
         order = np.argsort(c[live], 1, kind="stable")
@@ -111,7 +120,13 @@ class Shard:
         n = count[first]
         win = np.repeat(np.arange(len(live)), n)
         inside = np.arange(len(win)) - np.repeat(np.cumsum(n) - n, n)
-        start = self.positions[self.offsets[at[first]][win] + inside] - order[win, 0]
+        anchor = self.positions[self.offsets[at[first]][win] + inside]
+        if slop:  # the anchor, too, may stand off its place
+            shift = np.tile(np.arange(-slop, slop + 1), len(win))
+            win, anchor = np.repeat(win, 2 * slop + 1), np.repeat(anchor, 2 * slop + 1)
+        else:
+            shift = 0
+        start = anchor - order[win, 0] + shift
         for rank in range(1, WINDOW):
             off = order[win, rank]
             term = windows.terms[live[win], off]
@@ -120,31 +135,36 @@ class Shard:
             for d in range(-slop, slop + 1):
                 q = place + d
                 ok |= (q >= 0) & (dense[np.maximum(q, 0)] == term)
-            win, start = win[ok], start[ok]
-        return live[win], start
+            win, start, anchor = win[ok], start[ok], anchor[ok]
+        return live[win], start, anchor
 
-    def search(self, all_windows, slop=SLOP):
-        """Columns of FOUND for the shard's documents."""
-        d = len(self.n_words)
+    def look(self, all_windows, slop, hit, items, near):
+        """Adds what windows meet to ``hit`` (per place) and to the sets of items per document."""
         change = np.zeros(self.begin[-1] + GAP + 1, np.int32)
-        items, near = [set() for _ in range(d)], [set() for _ in range(d)]
         for windows in all_windows:
             for found, width in ((items, 0), (near, slop)):
-                win, start = self.starts(windows, width)
-                doc = np.searchsorted(self.begin, start, "right") - 1
+                win, start, anchor = self.starts(windows, width)
+                doc = np.searchsorted(self.begin, anchor, "right") - 1
                 if not width:
                     np.add.at(change, start, 1)
                     np.add.at(change, start + windows.length[win], -1)
                 if len(win):
                     for x, k in np.unique(np.stack([doc, win]), axis=1).T:
-                        found[max(x, 0)].add(windows.owner[k])
-        hit = np.cumsum(change) > 0
+                        found[x].add(windows.owner[k])
+        hit |= np.cumsum(change)[: len(hit)] > 0
+
+    def blank(self):
+        d = len(self.n_words)
+        return np.zeros(self.begin[-1], bool), [set() for _ in range(d)], [set() for _ in range(d)]
+
+    def columns(self, hit, items, near):
+        """Columns of FOUND for the shard's documents."""
         total = np.concatenate([[0], np.cumsum(hit)])
         begin = self.begin[:-1]
         n_hit = total[begin + self.n_words] - total[begin]
-        spans = [None] * d
-        for x in range(d):
-            spans[x] = []
+        spans = []
+        for x in range(len(self.n_words)):
+            spans.append([])
             if n_hit[x]:
                 m = np.diff(np.concatenate([[0], hit[begin[x] : begin[x] + self.n_words[x]].astype(np.int8), [0]]))
                 spans[x] = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(m == 1), np.flatnonzero(m == -1), strict=True)]
@@ -158,9 +178,22 @@ class Shard:
             "hit_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         }
 
-
-def _broadcast(spark, items):
-    return [spark.sparkContext.broadcast(b) for b in blocks(items)]
+    def search(self, all_windows, slop=SLOP):
+        found = self.blank()
+        self.look(all_windows, slop, *found)
+        return self.columns(*found)
+
+
+def _passes(spark, items):
+    """Lists of broadcast blocks, each as many as one pass takes; the last pass's are let go before the next is made."""
+    held = []
+    for b in blocks(items):
+        held.append(spark.sparkContext.broadcast(b))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def _vocabulary(sent):
@@ -168,12 +201,15 @@ def _vocabulary(sent):
 
 
 def build_index(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """Shards of posting lists over whole texts: of all words, or of the words that ``items`` hold.
+    """Shards of posting lists over whole texts: of all words, or of the words that ``items`` hold, where one pass takes them.
 
     Null and empty texts have no words and stay in the index; a repeated doc_id is indexed per row.
     """
-    spark = small_batches(docs.sparkSession)
-    sent = None if items is None else _broadcast(spark, items)
+    passes = [] if items is None else list(islice(_passes(docs.sparkSession, items), 2))
+    if len(passes) > 1:
+        for b in passes[0] + passes[1]:
+            b.destroy()
+    sent = passes[0] if len(passes) == 1 else None
 
     def index(batches):
         known = None if sent is None else _vocabulary(sent)
@@ -189,45 +225,86 @@ def build_index(docs: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(index, SHARD)
 
 
+STATE = "hit binary, items array<array<string>>, near array<array<string>>"
+
+
+def _shards(batches):
+    """Shards of index rows, and what passes before have found in them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            get = lambda name: column(row, name)[0].values  # noqa: B023, E731
+            num = lambda name: get(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            s = Shard(get("doc_ids"), num("n_words").astype(np.int64), num("terms").astype(np.int64).view(U), num("offsets").astype(np.int64), num("positions").astype(np.int64))
+            found = s.blank()
+            if "hit" in row.schema.names:
+                hit = np.unpackbits(np.frombuffer(column(row, "hit")[0].as_py(), np.uint8))[: len(found[0])].astype(bool)
+                found = (hit, *[[set(x) for x in column(row, c)[0].as_py()] for c in ("items", "near")])
+            yield row, s, found
+
+
 def search(index: DataFrame, items: DataFrame, slop=SLOP) -> DataFrame:
     """One row per indexed document: words, words inside any exact window, items met, proximity matches.
 
     An item without words meets nothing; items with a null id hit words but are not counted or listed.
     ``n_near`` counts items with a window whose words all stand within ``slop`` of their places, but
-    with no exact window. Repeated items count once. No items: nothing is contaminated.
+    with no exact window; ``hit_spans`` has the stretches of hit words. Repeated items count once. No
+    items: nothing is contaminated. A benchmark of more than PASS_BLOCKS blocks takes several passes.
     """
-    spark = small_batches(index.sparkSession, 4)
-    sent = _broadcast(spark, items)
 
-    def look(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda name: column(batch, name)[i].values  # noqa: B023, E731
-                num = lambda name: get(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                s = Shard(get("doc_ids"), num("n_words").astype(np.int64), num("terms").astype(np.int64).view(U), num("offsets").astype(np.int64), num("positions").astype(np.int64))
-                cols = s.search((b.value for b in sent), slop)
+    def kept(sent):
+        def run(batches):
+            for row, s, found in _shards(batches):
+                s.look((b.value for b in sent), slop, *found)
+                lists = [pa.array([[list(x) for x in f]], pa.list_(pa.list_(pa.string()))) for f in found[1:]]
+                names = ["doc_ids", "n_words", "terms", "offsets", "positions"]
+                yield pa.RecordBatch.from_arrays([*[column(row, c) for c in names], pa.array([np.packbits(found[0]).tobytes()], pa.binary()), *lists], [*names, "hit", "items", "near"])
+
+        return run
+
+    def finish(sent):
+        def run(batches):
+            for _, s, found in _shards(batches):
+                s.look((b.value for b in sent), slop, *found)
+                cols = s.columns(*found)
                 yield pa.RecordBatch.from_arrays([s.doc_ids, *cols.values()], ["doc_id", *cols])
 
-    return index.mapInArrow(look, FOUND)
+        return run
 
-
-def annotate(docs: DataFrame, items: DataFrame, keep=lambda found: None, slop=SLOP) -> DataFrame:
-    """Rows of ``docs`` with all their columns for which ``keep(found)`` is true; no shuffle."""
-    spark = small_batches(docs.sparkSession)
-    sent = _broadcast(spark, items)
-
-    def run(batches):
-        known = _vocabulary(sent)
-        for batch in batches:
-            for part in slices(batch):
-                cols = Shard.of(part, known).search((b.value for b in sent), slop)
-                yield part.filter(keep(cols))
-
-    return docs.mapInArrow(run, docs.schema)
+    last = []
+    for sent in _passes(index.sparkSession, items):
+        if last:
+            index = cut_lineage(index.mapInArrow(kept(last), f"{SHARD}, {STATE}"))
+            for b in last:
+                b.destroy()
+        last = sent
+    return index.mapInArrow(finish(last), FOUND)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any exact window of a test item."""
-    import pyarrow.compute as pc
+    """The documents, with all their columns, without any exact window of a test item; nothing is shuffled.
+
+    A benchmark of several passes drops documents pass by pass.
+    """
 
-    return annotate(docs, items, lambda found: pc.invert(found["contaminated"]))
+    def run_with(sent):
+        def run(batches):
+            known = _vocabulary(sent)
+            for batch in batches:
+                for part in slices(batch):
+                    s = Shard.of(part, known)
+                    found = s.blank()
+                    s.look((b.value for b in sent), 0, *found)
+                    n_hit = np.add.reduceat(np.append(found[0], False), s.begin[:-1]) if part.num_rows else np.zeros(0)
+                    yield part.filter(pa.array(n_hit == 0))
+
+        return run
+
+    last = []
+    for sent in _passes(docs.sparkSession, items):
+        if last:
+            docs = cut_lineage(docs.mapInArrow(run_with(last), docs.schema))
+            for b in last:
+                b.destroy()
+        last = sent
+    return docs.mapInArrow(run_with(last), docs.schema) if last else docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.sql import functions as F
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -41,10 +43,19 @@ with d as (select row_number() over () as rid, doc_id, {_WORDS.format('text')} a
  spots as (select rid, m, w, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from win) where len(w) >= m),
  dw as (select rid, m, i, list_slice(w, i, i + m - 1) as k from spots),
  h as (select rid, i, m, item from dw join win using (m, k)),
- p as (select rid, count(distinct x) as n_hit from (select rid, unnest(range(i, i + m)) as x from h) group by 1),
- s as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rid, item from h) group by 1)
-select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join p using (rid) left join s using (rid)
+ x as (select distinct rid, unnest(range(i, i + m)) as x from h),
+ y as (select rid, min(x) - 1 as a, max(x) as b from (select rid, x, x - row_number() over (partition by rid order by x) as g from x) group by rid, g),
+ p as (select rid, cast(sum(b - a) as bigint) as n_hit, string_agg(a || ':' || b, ',' order by a) as hit_spans from y group by 1),
+ s as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct rid, item from h) group by 1),
+ term as materialized (select k, off, k[off] as t from (select k, unnest(range(1, m + 1)) as off from (select distinct m, k from win))),
+ post as materialized (select rid, t, i from (select rid, unnest(w) as t, unnest(range(1, len(w) + 1)) as i from d) semi join term using (t)),
+ df as (select t, count(*) as n from post group by 1),
+ rank as materialized (select term.*, row_number() over (partition by k order by n nulls first, off) as r from term left join df using (t)),
+ c0 as materialized (select distinct rid, k, i - off + unnest(range(-2, 3)) as st from rank join post using (t) where r = 1),
+""" + "".join(f" c{r - 1} as materialized (select * from c{r - 2} semi join (select distinct rid, k, i - off + unnest(range(-2, 3)) as st from rank join post using (t) join (select distinct rid, k from c{r - 2}) using (rid, k) where r = {r}) using (rid, k, st)" + (f" union all select * from c{r - 2} where len(k) < {r})" if r > 1 else ")") + ",\n" for r in range(2, 11)) + f"""
+ near as (select rid, count(*) as n_near from (select distinct rid, item from c9 join win using (k) where item is not null except select rid, item from h) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0) as n_near, coalesce(hit_spans, '') as hit_spans
+from d left join p using (rid) left join s using (rid) left join near using (rid)
 """
 
 
@@ -54,7 +65,8 @@ def op3(spark, sf):
 
     items = table(spark, sf, "benchmark")
     found = positional.search(positional.build_index(table(spark, sf, "documents"), items), items)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    spans = F.array_join(F.transform("hit_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", spans.alias("hit_spans"))
 
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -116,7 +128,7 @@ _SPAN = "(began + length('<|im_start|>' || role) + 1)::varchar || ':' || (began
 
 OP10_SQL = f"""
 with t as (select distinct conv_id, turn, coalesce(role, '') as role, replace(replace(coalesce(text, ''), '<|im_start|>', '<||im_start||>'), '<|im_end|>', '<||im_end||>') as body from conversations where conv_id is not null),
- n as (select conv_id, cast(floor(conv_id / 2) as bigint) as pair_id, conv_id % 2 = 0 as is_chosen, role, body, row_number() over (partition by conv_id order by turn nulls first, role, body) as i from t),
+ n as (select conv_id, cast((conv_id - (conv_id % 2 + 2) % 2) // 2 as bigint) as pair_id, conv_id % 2 = 0 as is_chosen, role, body, row_number() over (partition by conv_id order by turn nulls first, role, body) as i from t),
  pair as (select c.pair_id, c.i, c.role = r.role and c.body = r.body as same from n c join n r on c.pair_id = r.pair_id and c.i = r.i and c.is_chosen and not r.is_chosen),
  pre as (select pair_id, coalesce(min(i) filter (not same) - 1, max(i)) as n_prefix from pair group by 1),
  m as (select n.*, coalesce(n_prefix, 0) as n_prefix from n left join pre using (pair_id)),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.llm.sample import labelled_texts, remainder
-from inkspan.llm.words import U, column, slices, small_batches, words
+from inkspan.llm.words import U, column, slices, words
 
 TRAIN_DOCS = 8000  # documents in the training sample, about
 TRAIN_CHARS = 20_000  # longer documents are not learned from
@@ -56,7 +56,6 @@ def _bags(batches):
 
 def fit(docs: DataFrame, labels: DataFrame, most=TRAIN_DOCS, steps=200) -> tuple[np.ndarray, np.ndarray, float]:
     """(sorted word hashes, their weights, leak) from a bounded sample of labelled documents."""
-    small_batches(docs.sparkSession)
     bags = labelled_texts(docs, labels, "toxic", MOD, HELD, most, TRAIN_CHARS).mapInArrow(_bags, "y int, words array<bigint>, sentence array<int>").toArrow()
     y = bags.column("y").to_numpy().astype(float)
     if not len(y):
@@ -102,7 +101,7 @@ def score(docs: DataFrame, model) -> DataFrame:
     The score leaves out the leak, so a text without words, empty or null scores 0 and has a null
     span. Repeated ids are scored per row; a null id is not held out.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -133,16 +133,5 @@ def word_hashes(texts) -> list[np.ndarray]:
     return [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
 
 
-def text_reader(rows=256):
-    """Session setting for passes over whole texts: few rows in an Arrow batch, so that long texts fit in memory."""
-    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
-
-
-def small_batches(spark, rows=256):
-    for k, v in text_reader(rows).items():
-        spark.conf.set(k, v)
-    return spark
-
-
 def column(batch, name):
     return batch.column(batch.schema.get_field_index(name))

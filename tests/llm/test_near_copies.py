@@ -76,6 +76,13 @@ def test_keep_one_with_repeats_nulls_and_extra_columns(spark):
     assert bagminhash.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "A b c d e f", 4, 5, 6), (3, "x", 7, 8, 9), (3, "x", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _id int, kept int, _row int")
+    out = bagminhash.keep_one(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
 def _kept(spark, rows):
     out = bagminhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, k1 string")).collect()
     return sorted((r.doc_id, r.text, r.k1) for r in out)

@@ -55,6 +55,43 @@ def test_proximity(spark):
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = {r.doc_id: (r.n_items, r.n_near) for r in positional.search(positional.build_index(d, b), b).collect()}
     assert got == {1: (1, 0), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
+    item = "alpha beta gamma delta"
+    docs = [(1, "beta gamma alpha delta alpha beta beta gamma"), (2, "delta"), (3, "beta gamma alpha delta"), (4, "gamma alpha delta")]
+    b = spark.createDataFrame([(9, item)], "item_id bigint, text string")
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    assert {r.doc_id: r.n_near for r in positional.search(positional.build_index(d), b).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_proximity_and_spans_against_brute_force(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: r.choice("abcdefgh")
+    items = [(i, " ".join(word() for _ in range(r.choice([0, 1, 3, 5, 6, 11, 12])))) for i in range(25)]
+    docs = [(i, " ".join(word() for _ in range(r.choice([0, 2, 7, 30])))) for i in range(60)]
+    for i in range(0, 60, 4):  # shuffled a little
+        w = items[i % 25][1].split()
+        docs.append((100 + i, " ".join(x for _, x in sorted((k + r.uniform(-1.6, 1.6), x) for k, x in enumerate(w)))))
+    want = {}
+    for i, text in docs:
+        w, exact, near, hit = text.split(), set(), set(), set()
+        for item, t in items:
+            x = t.split()
+            m = min(10, len(x))
+            for k in [x[j : j + m] for j in range(len(x) - m + 1)] if m else []:
+                for p in range(-12, len(w) + 2):
+                    if p >= 0 and w[p : p + m] == k:
+                        exact.add(item)
+                        hit |= set(range(p, p + m))
+                    if all(any(0 <= q < len(w) and w[q] == v for q in range(p + j - 2, p + j + 3)) for j, v in enumerate(k)):
+                        near.add(item)
+        edges = [j for j in range(len(w) + 1) if (j in hit) != (j - 1 in hit)]
+        want[i] = (len(exact), len(near - exact), list(zip(edges[::2], edges[1::2], strict=True)))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda index: {x.doc_id: (x.n_items, x.n_near, [tuple(s) for s in x.hit_spans]) for x in positional.search(index, b).collect()}
+    assert found(positional.build_index(d, b)) == want and any(x[1] for x in want.values())
+    monkeypatch.setattr(positional.blocks, "__defaults__", (60,))
+    monkeypatch.setattr(positional, "PASS_BLOCKS", 2)
+    assert found(positional.build_index(d, b)) == want
+    assert {x.doc_id for x in positional.drop_contaminated(d, b).collect()} == {i for i, x in want.items() if not x[0]}
 
 
 def test_blocks_of_items_agree_with_one_block(spark):
@@ -71,6 +108,19 @@ def test_blocks_of_items_agree_with_one_block(spark):
 PARTS = ["a@b.c", "x", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "+", " ", "-", "(12)", "3", "@", "a.b", "_", "😀", "é", "DE89370400440532013000", "card ", "378282246310005", "iban: ", "123-45-6789", "ssn ", "+1 (555) 010-9999", "\n"]
 
 
+def test_long_dense_texts_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (4000, 4000, 32000):
+        df = spark.createDataFrame([(1, "x@y.zz ab " * n)], "doc_id bigint, text string")
+        t = time.time()
+        assert pii.report(df).first().n_email == n
+        assert pii.redact(df).first().text == "<EMAIL> ab " * n
+        took.append(time.time() - t)
+    assert took[2] < 24 * took[1]
+
+
 def test_personal_data_against_brute_force(spark):
     r = random.Random(1)
     texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 14))) for _ in range(1500)] + ["", None, "7" * 20000, "a" * 20000 + "@", "1.1" * 3000, "x@y.z " * 500]
