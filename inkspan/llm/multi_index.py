@@ -10,6 +10,9 @@ angle of it) become one node with a count and a radius, so a large group of near
 pairs. Two nodes are linked as wholes, or not at all, where their angle and radii decide it; where
 they don't, the members are compared in blocks.
 
+Vectors travel to the cells they visit as 16-bit codes whose error is known; a pair that the error
+leaves undecided is compared by its vectors in double precision, like the members of nodes.
+
 The codebooks and the number of visits are fitted to a bounded sample; every vector is indexed.
 """
 
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from inkspan.llm.graph import components
 from inkspan.llm.sample import thin
+from inkspan.llm.totals import attach
 from inkspan.llm.words import column
 from inkspan.session import cut_lineage
 
@@ -31,7 +35,8 @@ THRESHOLD = 0.9
 ANGLE = math.acos(THRESHOLD)
 CORE = math.cos(ANGLE / 2) + 1e-9  # cosine to a node's centre from which any two members are linked
 SURE = 1e-7  # radians by which an angle must clear the threshold to decide for whole nodes
-SAMPLE = 16_384  # vectors that codebooks and visits are fitted to, about
+SAMPLE = 16_384  # vectors that codebooks are fitted to, about
+FITTED, STRATA = 4096, 8  # of these, evenly over the ids, the number of visits is fitted to: to the worst of so many strata
 PER_CELL = 64  # vectors a cell should hold
 MOST_WORDS = 2048  # codewords of a half, at most; fuller cells are then cut in blocks
 RECALL = 0.97  # of pairs at exactly the threshold, found from one of their ends
@@ -39,16 +44,17 @@ BLOCK = 4096  # rows of one side of a block
 
 
 def _unit(batches):
+    """Rows with their unit vector, null where it is null, empty, zero or not finite."""
     for batch in batches:
-        lists = column(batch, "embedding")
-        ids, dims, units = [], [], []
-        for vec_id, e in zip(column(batch, "vec_id").to_pylist(), lists, strict=True):
-            v = e.values.to_numpy(zero_copy_only=False).astype(float)
-            v = v / np.abs(v).max()
-            ids.append(vec_id)
-            dims.append(len(v))
-            units.append(v / np.linalg.norm(v))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(units, pa.list_(pa.float64()))], ["vec_id", "d", "u"])
+        units = []
+        for e in column(batch, "embedding"):
+            v = e.values.to_numpy(zero_copy_only=False).astype(float) if e.is_valid else np.zeros(0)
+            ok = len(v) > 0 and np.isfinite(v).all() and v.any()
+            if ok:
+                v = v / np.abs(v).max()
+            units.append(v / np.linalg.norm(v) if ok else None)
+        dims = pa.array([None if u is None else len(u) for u in units], pa.int32())
+        yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "vec_id"), dims, pa.array(units, pa.list_(pa.float64()))], ["rid", "vec_id", "d", "u"])
 
 
 def _matrix(list_array):
@@ -57,6 +63,23 @@ def _matrix(list_array):
     return list_array.flatten().to_numpy().reshape(len(list_array), -1) if len(list_array) else np.zeros((0, 0))
 
 
+def _padded(list_array, width):
+    """The vectors as a matrix, filled up with zeros, which change no cosine."""
+    if isinstance(list_array, pa.ChunkedArray):
+        list_array = list_array.combine_chunks()
+    lengths = np.diff(list_array.offsets.to_numpy())
+    out = np.zeros((len(list_array), width))
+    out[np.arange(width)[None, :] < lengths[:, None]] = list_array.flatten().to_numpy()
+    return out
+
+
+def _coded(x):
+    """16-bit codes of vectors, their scales, and how far they are off at most."""
+    scale = np.maximum(np.abs(x).max(1, initial=0), 1e-300) / 32767
+    q = np.rint(x / scale[:, None]).astype(np.int16)
+    return [r.tobytes() for r in q], scale, np.linalg.norm(x - q * scale[:, None], axis=1) + 1e-14
+
+
 def _distances(x, words):
     return (x**2).sum(1)[:, None] - 2 * x @ words.T + (words**2).sum(1)[None, :]
 
@@ -79,7 +102,7 @@ class Grid:
         k = int(np.clip(math.ceil(math.sqrt(n / PER_CELL)), 1, min(MOST_WORDS, max(1, len(sample) // 4))))
         self.words = [_codebook(sample[:, : self.cut], k), _codebook(sample[:, self.cut :], k)]
         self.k, self.visits = k, 1
-        self.visits = self._needed(sample[:2000])
+        self.visits = self._needed(sample[np.linspace(0, len(sample) - 1, min(FITTED, len(sample))).astype(int)])
 
     def parts(self, x):
         return _distances(x[:, : self.cut], self.words[0]), _distances(x[:, self.cut :], self.words[1])
@@ -101,8 +124,10 @@ class Grid:
             a, b = self.parts(x[i : i + 256])
             h = home[i : i + 256]
             own = a[np.arange(len(h)), h // self.k] + b[np.arange(len(h)), h % self.k]
-            ranks.append((a[:, :, None] + b[:, None, :] < own[:, None, None]).sum((1, 2)) + 1)
-        return int(np.quantile(np.concatenate(ranks), RECALL, method="higher"))
+            a.sort(1)
+            b.sort(1)
+            ranks += [1 + sum(np.searchsorted(b[j], own[j] - a[j])) for j in range(len(h))]
+        return max(int(np.quantile(r, RECALL, method="higher")) for r in np.array_split(np.array(ranks), min(STRATA, max(1, len(ranks) // 64))))
 
     def visited(self, x):
         """(vector, cell) of each vector's first cells in multi-sequence order.
@@ -125,32 +150,36 @@ class Grid:
         return cells
 
 
-def _nodes(vectors: DataFrame, grid_sent, rounds=2) -> DataFrame:
-    """(vec_id, u, cell, node_id, near): each vector's node and its cosine to the node's centre."""
+MEMBER = "rid bigint, vec_id bigint, d int, u array<double>, cell int"
+
+
+def _nodes(vectors: DataFrame, grid_sent, width, rounds=2) -> DataFrame:
+    """MEMBER rows with node_id (the rid of the node's centre) and near (the cosine to it)."""
+    own = ["rid", "vec_id", "d", "u", "cell"]
 
     def place(batches):
         for batch in batches:
-            x = _matrix(column(batch, "u"))
+            x = _padded(column(batch, "u"), width)
             cell = np.concatenate([grid_sent.value.home(x[at : at + 1024]) for at in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "u"), pa.array(cell.astype(np.int32))], ["vec_id", "u", "cell"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in own[:3]], pa.array(list(x), pa.list_(pa.float64())), pa.array(cell.astype(np.int32))], own)
 
     def gather(batches):
         for batch in batches:
             near = (_matrix(column(batch, "u")) * _matrix(column(batch, "centre_u"))).sum(1)
-            inside = (near >= CORE) | (column(batch, "vec_id").to_numpy() == column(batch, "centre").to_numpy())
+            inside = (near >= CORE) | (column(batch, "rid").to_numpy() == column(batch, "centre").to_numpy())
             node = pa.array(column(batch, "centre").to_numpy(), mask=~inside)
-            yield pa.RecordBatch.from_arrays([column(batch, "vec_id"), column(batch, "u"), column(batch, "cell"), node, pa.array(np.minimum(near, 1.0))], ["vec_id", "u", "cell", "node_id", "near"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in own], node, pa.array(np.minimum(near, 1.0))], [*own, "node_id", "near"])
 
-    rest, out = cut_lineage(vectors.mapInArrow(place, "vec_id bigint, u array<double>, cell int")), []
+    rest, out = cut_lineage(vectors.mapInArrow(place, MEMBER)), []
     for _ in range(rounds):
-        centre = rest.groupBy("cell").agg(F.min(F.struct("vec_id", "u")).alias("c")).select("cell", F.col("c.vec_id").alias("centre"), F.col("c.u").alias("centre_u")).hint("rebalance")
-        tried = cut_lineage(rest.join(centre, "cell").select("vec_id", "u", "cell", "centre", "centre_u").mapInArrow(gather, "vec_id bigint, u array<double>, cell int, node_id bigint, near double"))
+        centre = rest.groupBy("d", "cell").agg(F.min(F.struct("rid", "u")).alias("c")).select("d", "cell", F.col("c.rid").alias("centre"), F.col("c.u").alias("centre_u")).hint("rebalance")
+        tried = cut_lineage(rest.join(centre, ["d", "cell"]).select(*own, "centre", "centre_u").mapInArrow(gather, f"{MEMBER}, node_id bigint, near double"))
         out.append(tried.where("node_id is not null"))
-        rest = tried.where("node_id is null").select("vec_id", "u", "cell")
+        rest = tried.where("node_id is null").select(*own)
     done = out[0]
     for x in out[1:]:
         done = done.unionByName(x)
-    return done.unionByName(rest.select("vec_id", "u", "cell", F.col("vec_id").alias("node_id"), F.lit(1.0).alias("near")))
+    return done.unionByName(rest.select(*own, F.col("rid").alias("node_id"), F.lit(1.0).alias("near")))
 
 
 def _roots(n, a, b):
@@ -176,7 +205,8 @@ def _meet(table):
     table = table.combine_chunks()
     get = lambda name: table.column(name).to_numpy()
     is_home, node, n, r, home = get("is_home"), get("node_id"), get("n"), get("radius"), get("home")
-    u, cells = _matrix(table.column("u")), table.column("cells").to_pylist()
+    codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int16).reshape(len(node), -1)
+    u, off, cells = codes * get("scale")[:, None], get("off"), table.column("cells").to_pylist()
     homes = np.flatnonzero(is_home)
     by_cell = {}
     for h in homes:
@@ -192,15 +222,15 @@ def _meet(table):
         if c not in visitors:
             continue
         hs, vs = np.array(hs), np.array(visitors[c])
-        dot = np.clip(u[vs] @ u[hs].T, -1, 1)
+        dot = u[vs] @ u[hs].T
         wide = r[vs][:, None] + r[hs][None, :]
-        near = dot >= THRESHOLD
-        some = near | (wide > 0)
+        slack = off[vs][:, None] + off[hs][None, :] + off[vs][:, None] * off[hs][None, :] + 1e-12
+        some = (dot + slack >= THRESHOLD) | (wide > 0)
         i, j = np.nonzero(some & (node[vs][:, None] != node[hs][None, :]))
-        d, w = dot[i, j], wide[i, j]
-        ang = np.arccos(d)
-        whole = np.where(w > 0, ang + w <= ANGLE - SURE, d >= THRESHOLD)
-        unsure = (w > 0) & ~whole & (ang - w <= ANGLE + SURE)
+        d, w, m = dot[i, j], wide[i, j], slack[i, j]
+        far, close = np.arccos(np.clip(d - m, -1, 1)), np.arccos(np.clip(d + m, -1, 1))
+        whole = np.where(w > 0, far + w <= ANGLE - SURE, d - m >= THRESHOLD)
+        unsure = ~whole & np.where(w > 0, close - w <= ANGLE + SURE, d + m >= THRESHOLD)
         back = np.fromiter((home[v] in reach[h] for v, h in zip(vs[i], hs[j], strict=True)), bool, len(i))  # does h visit v, too?
         v, h = vs[i], hs[j]
         np.add.at(links, v[whole], n[h[whole]])
@@ -222,27 +252,31 @@ def _compare(table):
     """Members of two nodes, block by block: links per member, and whether the nodes are linked at all."""
     table = table.combine_chunks()
     left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-    u, ids = _matrix(table.column("u")), table.column("vec_id").to_numpy()
+    u, ids = _matrix(table.column("u")), table.column("rid").to_numpy()
     near = u[left] @ u[~left].T >= THRESHOLD
     links = np.zeros(len(ids), np.int64)
     links[left], links[~left] = near.sum(1), near.sum(0)
     some = links > 0
     a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
     m = int(some.sum())
-    return pa.table({"vec_id": pa.array(ids[some]), "links": pa.array(links[some]), "a": pa.array([a] * m, pa.int64()), "b": pa.array([b] * m, pa.int64())})
+    return pa.table({"rid": pa.array(ids[some]), "links": pa.array(links[some]), "a": pa.array([a] * m, pa.int64()), "b": pa.array([b] * m, pa.int64())})
 
 
-def _linked(vectors: DataFrame, n: int) -> DataFrame:
-    """(vec_id, n_links, component_id) of unit vectors of one length."""
+def _linked(vectors: DataFrame) -> DataFrame:
+    """(rid, vec_id, n_links, component: the smallest rid reachable) of unit vectors (rid, vec_id, d, u).
+
+    Vectors of different lengths share the grid, filled up with zeros, but never a cell.
+    """
     spark = vectors.sparkSession
-    sample = _matrix(thin(vectors, SAMPLE, "vec_id").orderBy("vec_id").select("u").toArrow().column("u"))
+    n, width = vectors.agg(F.count("*"), F.max("d")).first()
+    sample = _padded(thin(vectors, SAMPLE, "rid").orderBy("vec_id", "rid").select("u").toArrow().column("u"), width)
     if not len(sample):
-        sample = _matrix(vectors.orderBy("vec_id").select("u").limit(1).toArrow().column("u"))
+        sample = _padded(vectors.orderBy("rid").select("u").limit(1).toArrow().column("u"), width)
     sent = spark.sparkContext.broadcast(Grid(sample, n))
-    members = cut_lineage(_nodes(vectors, sent))
+    members = cut_lineage(_nodes(vectors, sent, width))
     stats = members.groupBy("node_id").agg(F.count("*").alias("n"), F.min("near").alias("near"))
     radius = F.when(F.col("n") > 1, F.acos(F.least(F.col("near"), F.lit(1.0))) + 1e-12).otherwise(0.0)
-    nodes = members.where("vec_id = node_id").select("node_id", "u", F.col("cell").alias("home")).join(stats, "node_id").select("node_id", "u", "home", "n", radius.alias("radius"))
+    nodes = members.where("rid = node_id").select("node_id", "d", "u", F.col("cell").alias("home")).join(stats, "node_id").select("node_id", "d", "u", "home", "n", radius.alias("radius"))
     nodes = cut_lineage(nodes)
     k = sent.value.k
     homes = {r[0]: r[1] for r in nodes.groupBy((F.col("home") / k).cast("int")).count().collect()}  # one row a codeword
@@ -255,8 +289,8 @@ def _linked(vectors: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 yield from _strips(batch.slice(at, 512), sent.value, cuts_h, cuts_v)
 
-    strips = nodes.mapInArrow(visit, "strip int, part_h int, part_v int, is_home boolean, node_id bigint, u array<double>, home int, n bigint, radius double, cells array<int>")
-    found = cut_lineage(strips.groupBy("strip", "part_h", "part_v").applyInArrow(_meet, FOUND))
+    strips = nodes.mapInArrow(visit, "strip int, part_h int, part_v int, is_home boolean, node_id bigint, d int, code binary, scale double, off double, home int, n bigint, radius double, cells array<int>")
+    found = cut_lineage(strips.groupBy("d", "strip", "part_h", "part_v").applyInArrow(_meet, FOUND))
     sure, unsure = found.where("not open"), found.where("open").select("a", "b").distinct()
     per_node = sure.groupBy(F.col("a").alias("node_id")).agg(F.sum("links").alias("links"))
     edges = sure.select("a", "b")
@@ -265,21 +299,21 @@ def _linked(vectors: DataFrame, n: int) -> DataFrame:
         parts = lambda side: F.greatest(F.ceil(F.col(f"n_{side}") / BLOCK), F.lit(1)).cast("int")
         sizes = lambda side: nodes.select(F.col("node_id").alias(side), F.col("n").alias(f"n_{side}"))
         pairs = cut_lineage(unsure.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", parts("a").alias("pa"), parts("b").alias("pb")))
-        own = lambda p: F.pmod(F.xxhash64("vec_id"), F.col(p)).cast("int")
+        own = lambda p: F.pmod(F.xxhash64("rid"), F.col(p)).cast("int")
         every = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
-        of = lambda side: pairs.join(members.select(F.col("node_id").alias(side), "vec_id", "u"), side)
-        left = of("a").select("a", "b", own("pa").alias("i"), every("pb").alias("j"), F.lit(True).alias("left"), "vec_id", "u")
-        right = of("b").select("a", "b", every("pa").alias("i"), own("pb").alias("j"), F.lit(False).alias("left"), "vec_id", "u")
-        compared = cut_lineage(left.unionByName(right).groupBy("a", "b", "i", "j").applyInArrow(_compare, "vec_id bigint, links bigint, a bigint, b bigint"))
-        per_vec = compared.groupBy("vec_id").agg(F.sum("links").alias("more"))
+        of = lambda side: pairs.join(members.select(F.col("node_id").alias(side), "rid", "u"), side)
+        left = of("a").select("a", "b", own("pa").alias("i"), every("pb").alias("j"), F.lit(True).alias("left"), "rid", "u")
+        right = of("b").select("a", "b", every("pa").alias("i"), own("pb").alias("j"), F.lit(False).alias("left"), "rid", "u")
+        compared = cut_lineage(left.unionByName(right).groupBy("a", "b", "i", "j").applyInArrow(_compare, "rid bigint, links bigint, a bigint, b bigint"))
+        per_vec = compared.groupBy("rid").agg(F.sum("links").alias("more"))
         edges = edges.unionByName(compared.select("a", "b").distinct())
     comp = components(edges)
     about = stats.select("node_id", "n").join(per_node, "node_id", "left").join(comp.select(F.col("node").alias("node_id"), "component"), "node_id", "left")
-    about = about.select("node_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node_id").alias("component_id")).hint("rebalance")
-    out = members.select("vec_id", "node_id").join(about, "node_id")
+    about = about.select("node_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node_id").alias("component")).hint("rebalance")
+    out = members.select("rid", "vec_id", "node_id").join(about, "node_id")
     if per_vec is not None:
-        out = out.join(per_vec, "vec_id", "left").withColumn("links", F.col("links") + F.coalesce("more", F.lit(0)))
-    return out.select("vec_id", F.col("links").cast("bigint").alias("n_links"), "component_id")
+        out = out.join(per_vec, "rid", "left").withColumn("links", F.col("links") + F.coalesce("more", F.lit(0)))
+    return out.select("rid", "vec_id", F.col("links").cast("bigint").alias("n_links"), "component")
 
 
 def _strips(batch, grid, cuts_h, cuts_v):
@@ -303,31 +337,32 @@ def _strips(batch, grid, cuts_h, cuts_v):
             g = int(s[cut[0]])
             for ph in range(cuts_h[g]):
                 add(g, ph, int(ids[i]) % cuts_v[g], False, i, c[cut])
-    row = pa.array(out["row"], pa.int64())
-    keep = [column(batch, name).take(row) for name in ("node_id", "u", "home", "n", "radius")]
+    row = np.array(out["row"], np.int64)
+    codes, scale, off = _coded(x)
+    whole = {"code": pa.array(codes, pa.binary()), "scale": pa.array(scale), "off": pa.array(off)}
     first = [pa.array(out[name], t) for name, t in (("strip", pa.int32()), ("part_h", pa.int32()), ("part_v", pa.int32()), ("is_home", pa.bool_()))]
+    names = ["node_id", "d", "code", "scale", "off", "home", "n", "radius"]
     for at in range(0, len(row), 4096):  # batches of bounded size
         cut = lambda a: a.slice(at, 4096)  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([*map(cut, first), *map(cut, keep), cut(pa.array(out["cells"], pa.list_(pa.int32())))], ["strip", "part_h", "part_v", "is_home", "node_id", "u", "home", "n", "radius", "cells"])
+        keep = [(whole[name] if name in whole else column(batch, name)).take(pa.array(row[at : at + 4096])) for name in names]
+        yield pa.RecordBatch.from_arrays([*map(cut, first), *keep, pa.array(out["cells"][at : at + 4096], pa.list_(pa.int32()))], ["strip", "part_h", "part_v", "is_home", *names, "cells"])
 
 
 def links(embeddings: DataFrame) -> DataFrame:
-    """One row per vec_id: n_links, component_id (smallest id reachable), kept (its own component's id).
+    """One row per row: vec_id, n_links, component_id (smallest vec_id reachable), kept (vec_id = component_id).
 
-    Vectors that are null, empty, zero or hold null or non-finite numbers, and vectors of different
-    lengths, link with nothing. Of a repeated id the smallest vector counts; a null id is a row that
-    links with nothing. An empty table gives no rows.
+    Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing, nor do
+    vectors of different lengths with each other. Every row is a vector of its own, whatever its id:
+    rows of a repeated id link with each other as their vectors say, and all that bear the smallest id
+    are kept. A null id counts as none: a component without any other has a null component_id, and
+    its rows are kept. An empty table gives no rows.
     """
-    rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = cut_lineage(rows)
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("embedding", lambda x: x != 0)
-    units = cut_lineage(rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite).mapInArrow(_unit, "vec_id bigint, d int, u array<double>"))
-    parts = [_linked(units.where(F.col("d") == r["d"]).select("vec_id", "u"), r["count"]) for r in sorted(units.groupBy("d").count().collect())]
-    out = rows.select("vec_id")
-    if not parts:
-        return out.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    out = out.join(found, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
+    rows = embeddings.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = cut_lineage(rows.mapInArrow(_unit, "rid bigint, vec_id bigint, d int, u array<double>"))
+    alone = rows.where("u is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    units, out = rows.where("u is not null"), alone
+    if not units.isEmpty():
+        found = cut_lineage(_linked(units))
+        least = found.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+        out = attach(found, least, "component").select(*alone.columns).unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -143,9 +143,33 @@ def test_embedding_links_against_brute_force(spark, noise):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def _recall(spark, x):
+    """Share of the links of each half of the ids that is found, and of false ones."""
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in multi_index.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(unit[i : i + 500] @ unit.T >= 0.9).sum(1) - 1 for i in range(0, len(x), 500)])
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all()
+    return [found[part].sum() / want[part].sum() for part in (slice(0, len(x) // 3), slice(len(x) // 3, None))]
+
+
+def test_recall_where_ids_follow_sources(spark):
+    """Tight vectors under the lowest ids, pairs barely linked under the others."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((4000, 64)))
+    r = rng.standard_normal(a.shape)
+    r = unit(r - (r * a).sum(1, keepdims=True) * a)
+    pairs = np.stack([a, 0.905 * a + np.sqrt(1 - 0.905**2) * r], 1).reshape(-1, 64)
+    tight = unit(rng.standard_normal((200, 64)))[np.arange(4000) % 200] + 0.02 * rng.standard_normal((4000, 64))
+    assert min(_recall(spark, np.concatenate([tight, pairs]))) >= 0.95
+
+
 def test_embedding_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, nan]), (6, [1.0, inf]), (7, [1.0, None]), (8, []), (9, [1.0]), (10, [3.0]), (11, [0.0, 1.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (12, [1.0, 0.0, 0.0])]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multi_index.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
-    assert got == {1: (1, 1, True), 2: (1, 1, False), 9: (1, 9, True), 10: (1, 9, False), None: (0, None, True), **{i: (0, i, True) for i in (3, 4, 5, 6, 7, 8, 11, 12)}}
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, nan]), (6, [1.0, inf]), (7, [1.0, None]), (8, []), (9, [1.0]), (10, [3.0]), (11, [0.0, 1.0]), (2, [2.0, 0.0]), (2, [0.0, 3.0]), (None, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (None, None), (None, [-1.0, 0.0])]
+    got = sorted(map(tuple, multi_index.links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()), key=str)
+    want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (2, 1, 2, True), (11, 1, 2, False), (None, 3, 1, False), (None, 0, None, True), (None, 0, None, True), (9, 1, 9, True), (10, 1, 9, False), *[(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 12)]]
+    assert got == sorted(want, key=str)
     assert multi_index.links(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
