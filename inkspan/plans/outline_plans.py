@@ -249,6 +249,6 @@ def kern_table(spark, sf):
     gm = active_map(spark, sf)
     ids = ol.glyph_order(gm).join(gm.select("lib_id", "key", "id"), ["lib_id", "key"]).where(F.col("id").isNotNull())
     ids = ids.groupBy("lib_id", "id").agg(F.min("gid").alias("gid"))
-    _, k = kerned(spark, sf)
+    k = kerned(spark, sf)[1].select("lft", "rgt", "kern").distinct()
     k = k.join(ids.select("lib_id", F.col("id").alias("lft")), "lft")
     return ol.kern_table(k, ids)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkspan.operators import library as lib
 from inkspan.operators import outlines as ol
 from inkspan.operators import text as tx
+from inkspan.operators import typeset as ts
 from inkspan.plans.inputs import ctes, load, load_outlines
 from inkspan.plans.library_plans import SQL_FINAL, _SIZES
 from inkspan.plans.registry import query, table
@@ -94,9 +95,16 @@ def kern_inputs(spark, sf):
     return ol.side_profiles(o.join(f, "id"))
 
 
+def corpus(spark, sf):
+    """Texts, ligatures and glyph maps."""
+    return load(spark, sf, "docs"), lib.ligatures(load(spark, sf, "slots")), cut_lineage(maps(spark, sf))
+
+
 def kerned(spark, sf):
-    p = placed(spark, sf)
-    return p, ol.kern_pairs(kern_inputs(spark, sf), tx.adjacent_pairs(p))
+    """The corpus and the kerns of the pairs that meet in it."""
+    c = corpus(spark, sf)
+    met = cut_lineage(ts.pairs_met(*c))
+    return c, met.join(ol.kern_pairs(kern_inputs(spark, sf), met.select("lft", "rgt").distinct()), ["lft", "rgt"])
 
 
 @query("tokenize", ctes("docs", "slots") + f", {_TOK} select doc_id, line, count(key) as tokens, count(*) filter (length(key) > 1) as ligatures, min(key) as k0, max(key) as k1 from tok group by 1, 2")
@@ -122,27 +130,27 @@ def variant_slots(spark, sf):
 
 @query("kern_pairs", _FULL + " select lft, rgt, kern from kern")
 def kern_pairs(spark, sf):
-    return kerned(spark, sf)[1]
+    return kerned(spark, sf)[1].select("lft", "rgt", "kern").distinct()
 
 
 @query("line_widths", _FULL + " select doc_id, line, tokens, missing, units, round(width, 4) as width from lnw")
 def line_widths(spark, sf):
-    p, k = kerned(spark, sf)
-    return tx.line_widths(p, k).withColumn("width", F.round("width", 4))
+    c, k = kerned(spark, sf)
+    return ts.line_widths(*c, k).withColumn("width", F.round("width", 4))
 
 
 @query("specimen_size", _FULL + """ select *, round((lines - 1) * (112 * 1.05::double) + 112 * 1.05::double, 4) as height, cast(greatest(4, ceil(round(w0 + 78, 6))) as bigint) as page_w,
  cast(greatest(4, ceil(round((lines - 1) * (112 * 1.05::double) + 112 * 1.05::double + 78, 6))) as bigint) as page_h from (select doc_id, max(line) + 1 as lines, round(max(width), 4) as width, max(width) as w0, cast(sum(tokens) as bigint) as tokens, cast(sum(missing) as bigint) as missing from lnw group by doc_id) q""".replace("select *,", "select doc_id, lines, width, tokens, missing,"))
 def specimen_size(spark, sf):
-    p, k = kerned(spark, sf)
-    return tx.specimen_size(tx.line_widths(p, k)).withColumn("width", F.round("width", 4)).withColumn("height", F.round("height", 4))
+    c, k = kerned(spark, sf)
+    return tx.specimen_size(ts.line_widths(*c, k)).withColumn("width", F.round("width", 4)).withColumn("height", F.round("height", 4))
 
 
 @query("align_shift", _FULL + """, pg as (select doc_id, cast(greatest(4, ceil(round(max(width) + 78, 6))) as bigint) as page_w from lnw group by 1)
  select doc_id, line, round((page_w - width) / 2.0, 4) as mid, round(page_w - 39 - width, 4) as far from lnw join pg using (doc_id)""")
 def align_shift(spark, sf):
-    p, k = kerned(spark, sf)
-    lines = tx.line_widths(p, k)
+    c, k = kerned(spark, sf)
+    lines = cut_lineage(ts.line_widths(*c, k))
     pages = tx.specimen_size(lines)
     mid = tx.align_shift(lines, pages, "center").select("doc_id", "line", "width", "page_w", F.round("shift", 4).alias("mid"))
     return mid.select("doc_id", "line", "mid", F.round(F.col("page_w") - 39.0 - F.col("width"), 4).alias("far"))
@@ -152,8 +160,8 @@ def align_shift(spark, sf):
   - (case when known then advance else 380 end) as units_before, row_number() over w as rn from mv window w as (partition by doc_id, line order by pos)) q where key is not null)
  select doc_id, line, count(*) as glyphs, round(max(x), 3) as last_x, round(min(x), 3) as first_x, count(id) as drawn, round(sum(floor(x * 1000 + 0.5::double)) / 1000, 2) as sum_x from xs group by 1, 2""")
 def layout(spark, sf):
-    p, k = kerned(spark, sf)
-    laid = tx.layout(p, k)
+    c, k = kerned(spark, sf)
+    laid = ts.layout(*c, k)
     return laid.groupBy("doc_id", "line").agg(
         F.count(F.lit(1)).alias("glyphs"), F.round(F.max("x"), 3).alias("last_x"), F.round(F.min("x"), 3).alias("first_x"), F.count("id").alias("drawn"),
         F.round(F.sum(F.floor(F.col("x") * 1000 + 0.5)) / 1000, 2).alias("sum_x"),
