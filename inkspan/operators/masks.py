@@ -154,8 +154,11 @@ def fill_holes(ink: DataFrame, max_frac: float, max_area=None, max_thick=None) -
     return ink.select(PHOTO, "w", "h", "x", "y").unionByName(add.select(PHOTO, "w", "h", "x", "y"))
 
 
-def component_stats(ink: DataFrame) -> DataFrame:
-    """Per component: area, box, fill, frame edges touched, stroke width, length, elongation, size."""
+def component_stats(ink: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Per component: area, box, fill, frame edges touched, stroke width, length, elongation, size.
+
+    ``raw`` is the mask before its gaps were closed; with it ``density`` says how much of a component was ink then.
+    """
     c = components(ink)
     d = distance(ink)
     t = lambda cond: F.max(cond.cast("int"))
@@ -164,6 +167,9 @@ def component_stats(ink: DataFrame) -> DataFrame:
         (F.avg("d") * 4).alias("stroke"),
         (t(F.col("x") == 0) + t(F.col("y") == 0) + t(F.col("x") == F.col("w") - 1) + t(F.col("y") == F.col("h") - 1)).alias("touch"),
     )
+    if raw is not None:
+        own = c.join(raw.select(*PIX).distinct(), PIX, "left_semi").groupBy(PHOTO, "comp").agg(F.count(F.lit(1)).alias("own"))
+        s = s.join(own, [PHOTO, "comp"], "left").withColumn("density", F.coalesce("own", F.lit(0)) / F.col("area")).drop("own")
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     return s.withColumn("fill", F.col("area") / (bw * bh)).withColumn("length", F.col("area") / F.col("stroke")).withColumn(
         "elong", F.col("length") / F.col("stroke")
@@ -231,12 +237,14 @@ def distance(ink: DataFrame, border_ink=False) -> DataFrame:
     return rows.withColumn("_s", F.floor(F.col("x") / STRIP)).groupBy(PHOTO, "_s").applyInArrow(strip, f"{PHOTO} {kind}, x int, y int, d double")
 
 
-def thin_radius(ink: DataFrame, pct=0.2) -> DataFrame:
-    """Low percentile of the distance along its ridge; 0 without a ridge."""
+def thin_radius(ink: DataFrame, pct=0.2, region: DataFrame | None = None) -> DataFrame:
+    """Low percentile of the distance along its ridge, of the pixels in ``region`` if given; 0 without a ridge."""
     d = cut_lineage(distance(ink))
     steps = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     around = d.select(PHOTO, "d", F.inline(steps)).groupBy(*PIX).agg(F.max("d").alias("m"))
     ridge = d.join(around, PIX, "left").where((F.col("d") >= 1.5) & (F.col("d") >= F.coalesce("m", F.lit(0.0))))
+    if region is not None:
+        ridge = ridge.join(region.select(*PIX).distinct(), PIX, "left_semi")
     w = Window.partitionBy(PHOTO).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = ridge.groupBy(PHOTO, "d").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))
     n = r.groupBy(PHOTO).agg(F.max("upto").alias("cnt"))

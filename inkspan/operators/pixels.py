@@ -122,33 +122,47 @@ def surface_tolerance(pixels: DataFrame, background: DataFrame) -> DataFrame:
     return ranked.join(n, PHOTO).groupBy(PHOTO).agg(F.greatest(F.lit(25.0), _pick(F.floor(F.col("cnt") * 0.9)) * 1.3).alias("tolerance"))
 
 
-def dominant_along_axis(pixels: DataFrame, sample, wall) -> DataFrame:
-    """Dominant colour of what lies along the wall -> sample axis in plain RGB; 60 pixels at least."""
+def _toned(pixels: DataFrame, sample, wall) -> tuple[DataFrame, list[Column], list[Column]]:
+    """Pixels with a sample and a wall colour: one of each for all photos, or a table ``sample`` of (photo_id, pr, pg, pb, wr, wg, wb)."""
+    if isinstance(sample, DataFrame):
+        joined = pixels.join(sample.select(PHOTO, *[F.col(f"{a}{c}").cast("double").alias(f"{a}{c}") for a in "pw" for c in "rgb"]), PHOTO)
+        return joined, *([F.col(f"{a}{c}") for c in "rgb"] for a in "pw")
+    return pixels, *([F.lit(float(v)) for v in tone] for tone in (sample, wall))
+
+
+def dominant_along_axis(pixels: DataFrame, sample, wall=None) -> DataFrame:
+    """Dominant colour of what lies along the wall -> sample axis in plain RGB; 60 pixels at least.
+
+    ``sample`` and ``wall`` are one colour for all photos, or ``sample`` a table of each photo's own.
+    """
+    toned, sample, wall = _toned(pixels, sample, wall)
     ax = [s - w for s, w in zip(sample, wall)]
-    len2 = float(sum(a * a for a in ax))
-    v = [F.col(c) - float(w) for c, w in zip("rgb", wall)]
-    u = (v[0] * ax[0] + v[1] * ax[1] + v[2] * ax[2]) / max(len2, 1e-9)
+    len2 = ax[0] * ax[0] + ax[1] * ax[1] + ax[2] * ax[2]
+    v = [F.col(c) - w for c, w in zip("rgb", wall)]
+    u = (v[0] * ax[0] + v[1] * ax[1] + v[2] * ax[2]) / F.greatest(len2, F.lit(1e-9))
     off = [vi - u * a for vi, a in zip(v, ax)]
     res = F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
-    keep = pixels.where(F.lit(len2 >= 400) & (u >= 0.3) & (u <= 1.6) & (res <= max(30.0, len2**0.5 * 0.25)))
+    keep = toned.where((len2 >= 400) & (u >= 0.3) & (u <= 1.6) & (res <= F.greatest(F.lit(30.0), F.sqrt(len2) * 0.25))).select(PHOTO, *"rgb")
     enough = keep.groupBy(PHOTO).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= 60)
     return dominant_color(keep).join(enough.select(PHOTO), PHOTO, "left_semi")
 
 
-def body_tone(pixels: DataFrame, seed, wall) -> DataFrame:
-    """(photo_id, r, g, b): the paint reference moved halfway to the median tone of its body."""
-    u, off2, len2 = axis_position(F.col("r"), F.col("g"), F.col("b"), seed, wall)
+def body_tone(pixels: DataFrame, seed, wall=None) -> DataFrame:
+    """(photo_id, r, g, b): the paint reference moved halfway to the median tone of its body.
+
+    ``seed`` and ``wall`` are one colour for all photos, or ``seed`` a table of each photo's own.
+    """
+    toned, paint, back = _toned(pixels, seed, wall)
+    u, off2, len2 = axis_position(F.col("r"), F.col("g"), F.col("b"), paint, back)
     u1 = F.least(u, F.lit(1.0))
-    own = pixels.where((u1 >= 0.45) & (F.sqrt(off2) <= F.greatest(F.lit(30.0), F.sqrt(len2) * 0.25)))
+    own = toned.where((u1 >= 0.45) & (F.sqrt(off2) <= F.greatest(F.lit(30.0), F.sqrt(len2) * 0.25)))
     ranked = _ranked(own.select(PHOTO, F.round(u1, 9).alias("v")))
     n = ranked.groupBy(PHOTO).agg(F.max("upto").alias("cnt"))
     med = ranked.join(n, PHOTO).groupBy(PHOTO, "cnt").agg(_pick(F.floor(F.col("cnt") / 2)).alias("med"))
-    move = (F.col("cnt") >= 200) & (F.col("med") <= 0.85) & (color_dist(*seed, *wall) >= 60)
-    k = F.when(move, (F.lit(1.0) + F.col("med")) / 2.0).otherwise(F.lit(1.0))
-    all_photos = pixels.select(PHOTO).distinct()
-    return all_photos.join(med, PHOTO, "left").select(
-        PHOTO, *[(F.lit(float(w)) + F.lit(float(s - w)) * F.coalesce(k, F.lit(1.0))).alias(c) for c, s, w in zip("rgb", seed, wall)]
-    )
+    photos, paint, back = _toned(pixels.select(PHOTO).distinct(), seed, wall)
+    move = (F.col("cnt") >= 200) & (F.col("med") <= 0.85) & (color_dist(*paint, *back) >= 60)
+    k = F.coalesce(F.when(move, (F.lit(1.0) + F.col("med")) / 2.0), F.lit(1.0))
+    return photos.join(med, PHOTO, "left").select(PHOTO, *[(w + (s - w) * k).alias(c) for c, s, w in zip("rgb", paint, back)])
 
 
 def color_groups(labelled: DataFrame) -> DataFrame:

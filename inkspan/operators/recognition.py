@@ -84,7 +84,10 @@ def _distance(cells, key, n, level):
 
 
 def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame:
-    """(id, tpl, score): weight-agnostic match, harmonic mean of precision and recall of ink."""
+    """(id, tpl, score): weight-agnostic match, harmonic mean of precision and recall of ink.
+
+    A probe without ink matches nothing: it has one row, of score 0, without a template.
+    """
     sigma2 = 2 * 1.6 * 1.6
     near = lambda d: F.exp(-(F.col(d) * F.col(d)) / sigma2)
     t_d = small_side(_distance(templates, "tpl", n, 0.3))
@@ -92,10 +95,8 @@ def chamfer_scores(probes: DataFrame, templates: DataFrame, n: int) -> DataFrame
     prec = probes.where(F.col("v") > 0.2).select("id", "cell").join(t_d, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("p"))
     rec = _distance(probes, "id", n, 0.2).join(t_ink, "cell").groupBy("id", "tpl").agg(F.avg(near("d")).alias("r"))
     j = prec.join(rec, ["id", "tpl"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
-    # probes without ink score 0 against every template
-    blank = probes.select("id").distinct().join(prec.select("id").distinct(), "id", "left_anti").withColumn("_all", F.lit(1))
-    every = t_ink.select("tpl").distinct().groupBy(F.lit(1).alias("_all")).agg(F.collect_set("tpl").alias("tpls"))
-    blank = blank.join(every, "_all").select("id", F.explode("tpls").alias("tpl"), F.lit(0.0).alias("p"), F.lit(0.0).alias("r"))
+    tpl = j.schema["tpl"].dataType
+    blank = probes.select("id").distinct().join(prec.select("id").distinct(), "id", "left_anti").select("id", F.lit(None).cast(tpl).alias("tpl"), F.lit(0.0).alias("p"), F.lit(0.0).alias("r"))
     j = j.select("id", "tpl", "p", "r").unionByName(blank)
     return j.select("id", "tpl", F.when(F.col("p") + F.col("r") > 0, F.col("p") * F.col("r") * 2 / (F.col("p") + F.col("r"))).otherwise(0.0).alias("score"))
 

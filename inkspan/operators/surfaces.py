@@ -203,17 +203,20 @@ def keep_best_boxes(boxes: DataFrame, keys=("photo_id",), overlap=0.5, cap=None)
     return spread(boxes.select(*keys, "seq", *cols), *keys).sortWithinPartitions(*keys, "seq").mapInPandas(fold, schema)
 
 
-def skew_angle(field: DataFrame, blur=3, least=60, strong=110.0) -> DataFrame:
+def skew_angle(field: DataFrame, blur=3, least=60, strong=110.0, zone: DataFrame | None = None) -> DataFrame:
     """(photo_id, angle): tilt of stems and bars in degrees, 0 where none clearly dominates.
 
     field(photo_id, w, h, x, y, v) in luma. Edge strength by orientation goes into one-degree bins,
     stems and bars apart; a cluster of seven bins round the mode counts when it holds 35 % of all
-    strength. Both within 3 degrees are blended, else the stems decide. Photos reduce to at most 102
+    strength. Both within 3 degrees are blended, else the stems decide. With ``zone`` (photo_id, x, y)
+    only edges there count. Photos reduce to at most 102
     rows before anything is compared.
     """
     from inkspan.operators.pixels import box_blur, sobel
 
     g = sobel(box_blur(field, blur))
+    if zone is not None:
+        g = g.join(zone.select(PHOTO, "x", "y").distinct(), [PHOTO, "x", "y"], "left_semi")
     strength = F.abs("gx") + F.abs("gy")
     turn = F.pmod(F.degrees(F.atan2("gy", "gx")), F.lit(90.0))
     e = g.withColumn("mag", strength).where(F.col("mag") >= strong).withColumn("ang", F.when(turn > 45, turn - 90).otherwise(turn))

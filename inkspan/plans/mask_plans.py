@@ -68,6 +68,11 @@ def component_stats(spark, sf):
     return s.select("photo_id", "comp", "area", "x0", "y0", "x1", "y1", F.round("stroke", 5).alias("stroke"), "touch", F.round("fill", 5).alias("fill"), F.round("elong", 4).alias("elong"), "size")
 
 
+@query("component_density", f"""with recursive {_GP}, ink as materialized (select photo_id, x, y from gp where raw > -.05::double), {_comp('ink', 'cc')} select photo_id, comp, count(*) as area, round(count(*) filter (raw > .05::double) / count(*), 6) as density from cc join gp using (photo_id, x, y) group by 1, 2""")
+def component_density(spark, sf):
+    return mk.component_stats(ink(spark, sf, -0.05), ink(spark, sf, 0.05)).select("photo_id", "comp", "area", F.round("density", 6).alias("density"))
+
+
 @query("mask_measures", f"""with {_INK}, b as (select i.photo_id, count(*) as perimeter from ink i where (select count(*) from ink n where n.photo_id = i.photo_id and abs(n.x - i.x) + abs(n.y - i.y) = 1) < 4 group by 1)
  select photo_id, count(*) as area, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, max(perimeter) as perimeter, round(2 * count(*) / max(perimeter), 6) as stroke_width from ink join b using (photo_id) group by 1""")
 def mask_measures(spark, sf):
@@ -80,6 +85,12 @@ def thin_radius(spark, sf):
     return mk.thin_radius(ink(spark, sf), 0.2).withColumn("radius", F.round("radius", 6))
 
 
+@query("thin_radius_in_region", f"""with {_INK}, {_DIST}, rd as (select a.photo_id, a.x, a.y, max(a.d) as d from dst a left join dst b on b.photo_id = a.photo_id and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1 where a.d >= 1.5 and a.x < 5 group by 1, 2, 3 having max(a.d) >= max(b.d)),
+ l as (select photo_id, list(d order by d) as l, count(*) as n from rd group by 1) select i.photo_id, round(coalesce(l[cast(floor(n * .2::double) as bigint) + 1], 0), 6) as radius from (select distinct photo_id from ink) i left join l using (photo_id)""")
+def thin_radius_in_region(spark, sf):
+    return mk.thin_radius(ink(spark, sf), 0.2, ink(spark, sf).where("x < 5")).withColumn("radius", F.round("radius", 6))
+
+
 _D1 = "(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y) <= {r})"
 
 

@@ -152,6 +152,36 @@ def body_tone(spark, sf):
     return _round_rgb(px.body_tone(page_pixels(spark, sf), PAINT, WALL))
 
 
+_OWN = """tn as (select photo_id, (120 + photo_id % 90)::double as pr, (30 + photo_id % 60)::double as pg, (60 + photo_id % 50)::double as pb, (40 + photo_id % 40)::double as wr, (60 + photo_id % 30)::double as wg, (170 + photo_id % 60)::double as wb from (select distinct photo_id from px))"""
+
+
+def own_tones(p):
+    base = {"pr": (120, 90), "pg": (30, 60), "pb": (60, 50), "wr": (40, 40), "wg": (60, 30), "wb": (170, 60)}
+    return p.select("photo_id").distinct().select("photo_id", *[(F.col("photo_id") % n + b).alias(c) for c, (b, n) in base.items()])
+
+
+_AXIS = "(pr - wr) * (pr - wr) + (pg - wg) * (pg - wg) + (pb - wb) * (pb - wb)"
+
+
+@query("dominant_along_own_axis", f"""with {_PX}, {_OWN}, pu as (select *, ((r - wr) * (pr - wr) + (g - wg) * (pg - wg) + (b - wb) * (pb - wb)) / greatest({_AXIS}, 1e-9) as u, {_AXIS} as l2 from px join tn using (photo_id)),
+ kp as (select photo_id, r, g, b from pu where l2 >= 400 and u >= .3::double and u <= 1.6::double and sqrt(power(r - wr - u * (pr - wr), 2) + power(g - wg - u * (pg - wg), 2) + power(b - wb - u * (pb - wb), 2)) <= greatest(30, sqrt(l2) * .25::double)),
+ en as (select photo_id from kp group by 1 having count(*) >= 60), {_dom('kp', 'dm')} select {_RGB} from dm semi join en using (photo_id)""")
+def dominant_along_own_axis(spark, sf):
+    p = page_pixels(spark, sf)
+    return _round_rgb(px.dominant_along_axis(p, own_tones(p)))
+
+
+@query("body_tone_of_each", f"""with {_PX}, {_OWN}, k as (select *, sqrt(2 + (pr + wr) / 2 / 256) as kr, 2.0::double as kg, sqrt(2 + (255 - (pr + wr) / 2) / 256) as kb from tn),
+ av as (select photo_id, (pr - wr) * kr as ar, (pg - wg) * kg as ag, (pb - wb) * kb as ab, (r - wr) * kr as vr, (g - wg) * kg as vg, (b - wb) * kb as vb from px join k using (photo_id)),
+ au as (select *, (vr * ar + vg * ag + vb * ab) / (ar * ar + ag * ag + ab * ab) as u, ar * ar + ag * ag + ab * ab as len2 from av),
+ us as (select photo_id, list(round(least(u, 1), 9) order by u) as l, count(*) as n from au where least(u, 1) >= .45::double and sqrt((vr - u * ar) * (vr - u * ar) + (vg - u * ag) * (vg - u * ag) + (vb - u * ab) * (vb - u * ab)) <= greatest(30, .25::double * sqrt(len2)) group by 1),
+ md as (select photo_id, n, l[n // 2 + 1] as med from us), mv as (select tn.*, case when n >= 200 and med <= .85::double and {_d('pr', 'pg', 'pb', 'wr', 'wg', 'wb')} >= 60 then (1 + med) / 2 else 1.0 end::double as k from tn left join md using (photo_id))
+ select photo_id, round(wr + (pr - wr) * k, 5) as r, round(wg + (pg - wg) * k, 5) as g, round(wb + (pb - wb) * k, 5) as b from mv""")
+def body_tone_of_each(spark, sf):
+    p = page_pixels(spark, sf)
+    return _round_rgb(px.body_tone(p, own_tones(p)))
+
+
 _LB = f"lb as (select *, (r // 64) * 4 + g // 64 as label from px)"
 
 

@@ -37,6 +37,24 @@ def library_settings(spark, sf):
     return folds.library_settings(c).select("lib_id", "font_name")
 
 
+@query("processed_photos", """select user_id::varchar as lib_id, 'ph' || event_id % 23 as photo_id, min(event_id) as first_seq from events where event_type = 'view' and event_id % 5 <> 0 group by 1, 2""")
+def processed_photos(spark, sf):
+    e = table(spark, sf, "events")
+    photo = F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("ph"), (F.col("event_id") % 23).cast("string")))
+    c = e.select(F.col("user_id").cast("string").alias("lib_id"), F.lit(0).alias("ts"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "view", "mark_processed").otherwise("set_active").alias("op"), photo.alias("payload"))
+    return folds.processed_photos(c).select("lib_id", "photo_id", F.col("first.seq").alias("first_seq"))
+
+
+@query("patched_settings", """with p as (select user_id::varchar as lib_id, case when event_type = 'click' then 'tester' else 'design' end as target, 'c' || event_id % 5 as name, case when event_id % 7 <> 0 then 'v' || event_id end as value, ts, event_id from events where event_type in ('click', 'view'))
+ select lib_id, target, name, value from p qualify row_number() over (partition by lib_id, target, name order by ts desc, event_id desc) = 1 and (target <> 'design' or value is not null)""")
+def patched_settings(spark, sf):
+    e = table(spark, sf, "events")
+    value = F.when(F.col("event_id") % 7 == 0, "null").otherwise(F.concat(F.lit('"v'), F.col("event_id").cast("string"), F.lit('"')))
+    op = F.when(F.col("event_type") == "click", "update_tester").when(F.col("event_type") == "view", "update_design").otherwise("set_active")
+    c = e.select(F.col("user_id").cast("string").alias("lib_id"), "ts", F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit('{"c'), (F.col("event_id") % 5).cast("string"), F.lit('": '), value, F.lit("}")).alias("payload"))
+    return folds.patched_settings(c)
+
+
 @query("bursts", """with g as (select user_id, ts, case when ts - lag(ts) over w <= interval 6 hours then 0 else 1 end as b from events window w as (partition by user_id order by ts)), r as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as s from g)
  select user_id, min(ts) as first, max(ts) + interval 6 hours as fires, count(*) as changes from r group by user_id, s""")
 def bursts(spark, sf):

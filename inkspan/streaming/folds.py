@@ -109,6 +109,24 @@ def library_settings(commands: DataFrame, default_name="Untitled") -> DataFrame:
     return g.select("lib_id", F.when(F.col("font_name") == "", default_name).otherwise(F.col("font_name")).alias("font_name"), (F.col("mirror") == "true").alias("mirror_case"))
 
 
+def processed_photos(commands: DataFrame) -> DataFrame:
+    """(lib_id, photo_id, first): photos marked processed, each once, with the (ts, seq) that marked it first; blanks don't count."""
+    marks = commands.where((F.col("op") == "mark_processed") & (F.coalesce("payload", F.lit("")) != ""))
+    return marks.groupBy("lib_id", F.col("payload").alias("photo_id")).agg(F.min(F.struct("ts", "seq")).alias("first"))
+
+
+def patched_settings(commands: DataFrame) -> DataFrame:
+    """(lib_id, target, name, value): what JSON patches leave of the tester and design settings.
+
+    Commands update_tester and update_design carry an object; the last value of each name stands, as
+    text. A design name patched to null goes; a tester name keeps its null. A setting is one value a
+    task before anything moves, however many patches a library has.
+    """
+    patch = commands.where(F.col("op").isin("update_tester", "update_design")).select("lib_id", F.substring("op", 8, 20).alias("target"), F.struct("ts", "seq").alias("at"), F.explode(F.from_json("payload", "map<string,string>")).alias("name", "value"))
+    last = patch.groupBy("lib_id", "target", "name").agg(F.max_by(F.struct("value"), "at").alias("v"))
+    return last.select("lib_id", "target", "name", "v.value").where("target <> 'design' or value is not null")
+
+
 def stream_library_state(commands: DataFrame) -> DataFrame:
     """The same fold as a stream, state kept per (lib_id, key).
 
