@@ -226,3 +226,20 @@ def train_classifier(spark, sf):
     held = F.xxhash64("vec_id") % 5 == 0
     model = rc.train_classifier(e.where(~held), 20)
     return model.transform(e.where(held)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("top1"))
+
+
+@query("locate")
+def locate(spark, sf):
+    """Page rasters searched for one of 25 drawn characters; no SQL: box by box it would score millions of grids."""
+    from inkspan.operators.locate import locate as search
+    from inkspan.plans.pixel_plans import page_pixels
+
+    k, cell = F.col("n_nationkey"), F.explode(F.sequence(F.lit(0), F.lit(575))).alias("cell")
+    drawn = table(spark, sf, "nation").select("n_nationkey", cell)
+    ink = (F.floor(((F.col("cell") % 24) * (k + 3) + F.floor(F.col("cell") / 24) * (k + 5)) / 7) % 3 == 0).cast("double")
+    t = drawn.groupBy(F.col("n_nationkey").cast("int").alias("tpl")).agg(F.sort_array(F.collect_list(F.struct("cell", ink.alias("v")))).alias("s"))
+    t = t.select("tpl", F.chr((F.col("tpl") + 65).cast("bigint")).alias("ch"), (F.lit(0.5) + F.col("tpl") / 25).alias("aspect"), F.transform("s", lambda e: e["v"]).alias("grid"))
+    p = page_pixels(spark, sf)
+    wanted = p.select("photo_id").distinct().select("photo_id", F.chr((F.col("photo_id") % 25 + 65).cast("bigint")).alias("ch"))
+    out = search(p.where("r < 90").select("photo_id", "w", "h", "x", "y"), wanted, t)
+    return out.withColumn("score", F.round("score", 6))

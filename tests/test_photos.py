@@ -140,3 +140,60 @@ def test_set_corpora_equal_placed_tokens(spark, monkeypatch):
     assert sorted(map(tuple, typeset.line_widths(docs, ligs, maps, kerned).select(*cols).collect())) == sorted(map(tuple, want.collect()))
     spot = lambda r: (r.doc_id, r.line, r.pos, r.key, r.id, r.known, round(r.x, 6), round(r.y, 6))
     assert sorted(map(spot, typeset.layout(docs, ligs, maps, kerned).collect()), key=str) == sorted(map(spot, text.layout(placed, kern).collect()), key=str)
+
+
+def _draw(w, h, boxes_):
+    import numpy as np
+
+    mask = np.zeros((h, w), bool)
+    for x, y, bw, bh in boxes_:
+        mask[y : y + bh, x : x + bw] = True
+    return mask
+
+
+def test_located_box_is_the_best_of_all(spark):
+    import numpy as np
+
+    from inkspan.operators import locate as lc
+
+    rng = np.random.default_rng(2)
+    grid = np.zeros((24, 24))
+    grid[:, 8:12] = grid[2:6, 3:20] = 1  # a cross
+    t = lc.Template(grid.ravel(), 0.8)
+    for k in range(4):
+        mask = rng.random((45, 60)) < 0.03
+        mask |= _draw(60, 45, [(20 + k, 5, 4, 35), (10 + k, 8, 24, 5)])
+        ys, xs = np.nonzero(mask)
+        sums = np.zeros((46, 61), np.int64)
+        sums[1:, 1:] = mask.cumsum(0).cumsum(1)
+        every = []
+        for x, y, w, h in lc.boxes((xs.min(), ys.min(), xs.max(), ys.max()), 0.8):
+            if mask[y : y + h, x : x + w].mean() < 0.04:
+                continue
+            p = lc.probes(sums, np.array([(x, y, w, h)]))[0]
+            pts, tps = [np.stack([c % 24, c // 24], 1) for c in (np.flatnonzero(p), t.cells)]
+            d = np.abs(pts[:, None] - tps[None]).astype(float)
+            near = np.exp(-((d.max(2) + d.min(2) * 0.41421) ** 2) / (2 * 1.6 * 1.6)) if len(pts) else np.zeros((1, len(tps)))
+            a, b = near.max(1).mean(), near.max(0).mean()
+            every.append((2 * a * b / (a + b) if a + b else 0.0, (x, y, w, h)))
+        scored = []
+        got = lc.best_box(mask, [t], scored)
+        assert got[5] == pytest.approx(max(s for s, _ in every), abs=1e-9)
+        assert any(abs(s - got[5]) < 1e-9 and b == got[1:5] for s, b in every) and len(scored) < len(every)
+    ink = spark.createDataFrame([(1, 60, 45, int(x), int(y)) for y, x in np.argwhere(mask)], "photo_id long, w int, h int, x int, y int")
+    table = spark.createDataFrame([(3, "T", 0.8, grid.ravel().tolist())], "tpl int, ch string, aspect double, grid array<double>")
+    wanted = spark.createDataFrame([(1, "t"), (1, "q"), (2, "t")], "photo_id long, ch string")
+    rows = lc.locate(ink, wanted, table).collect()
+    assert [(r.ch, r.tpl, r.x, r.y, r.w, r.h) for r in rows] == [("t", 3, *got[1:5])] and rows[0].score == pytest.approx(got[5])
+    large = np.kron(mask, np.ones((10, 10), bool))
+    assert lc.best_box(large, [t])[1:5] == pytest.approx([10 * v for v in got[1:5]], abs=25)
+    assert lc.best_box(np.zeros((9, 9), bool), [t]) is None
+
+
+def test_kept_boxes_with_a_cap(spark):
+    from inkspan.operators import surfaces
+
+    rows = [(1, k, 20.0 * k, 0.0, 10.0, 10.0, s) for k, s in enumerate([0.2, 0.9, 0.5, 0.1, 0.7])]
+    df = spark.createDataFrame(rows, "photo_id long, seq int, x double, y double, w double, h double, score double")
+    kept = lambda **o: sorted(r.score for r in surfaces.keep_best_boxes(df, **o).collect())
+    assert kept() == [0.1, 0.2, 0.5, 0.7, 0.9] and kept(cap=2) == [0.7, 0.9]
