@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -327,29 +329,58 @@ def reconstruct(marker: DataFrame, limit: DataFrame, iters: int) -> DataFrame:
     return cur
 
 
+def _twice_boxed(a, r, axis):
+    """Two box sums of radius r along an axis of an array, zero beyond it."""
+    for _ in range(2):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (r + 1, r)
+        c = np.pad(a, pad).cumsum(axis)
+        lo, hi = [slice(None)] * 2, [slice(None)] * 2
+        lo[axis], hi[axis] = slice(0, -2 * r - 1), slice(2 * r + 1, None)
+        a = c[tuple(hi)] - c[tuple(lo)]
+    return a
+
+
 def smooth_mask(ink: DataFrame, level: float) -> DataFrame:
     """Level 0..10: two box blurs of radius max(1, round(level / 10 * 0.4 * stroke width)), kept at half.
 
-    All photos of a call share the widest radius step by step: photos are handled per radius.
+    Blurs are separable sums of whole numbers: strips of rows are summed along x, strips of columns of
+    what that gives along y, each photo with its own radius. A task holds a strip of one photo.
     """
-    from inkspan.operators.pixels import box_blur
-
     if level <= 0:
         return ink
     r = F.greatest(F.lit(1), F.floor(F.lit(level / 10.0 * 0.4) * F.col("stroke_width") + 0.5)).cast("int")
-    radii = cut_lineage(mask_measures(ink).select(PHOTO, r.alias("r")))
-    pad = ink.join(radii, PHOTO)
-    out = None
-    for k in [row["r"] for row in radii.select("r").distinct().orderBy("r").collect()]:  # a handful of radii
-        part = pad.where(F.col("r") == k)
-        m = 2 * k
-        grid = _frame(part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1 + 2 * m))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1 + 2 * m)))
-        ones = part.select(PHOTO, (F.col("x") + m).alias("x"), (F.col("y") + m).alias("y"), F.lit(1.0).alias("v"))
-        field = grid.join(ones, PIX, "left").select(PHOTO, (F.col("w") + 2 * m).alias("w"), (F.col("h") + 2 * m).alias("h"), "x", "y", F.coalesce("v", F.lit(0.0)).alias("v"))
-        got = box_blur(box_blur(field, k), k).where(F.col("v") >= 0.5 - 1e-9).select(
-            PHOTO, (F.col("w") - 2 * m).alias("w"), (F.col("h") - 2 * m).alias("h"), (F.col("x") - m).alias("x"), (F.col("y") - m).alias("y")).where(_inside())
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else ink
+    radii = mask_measures(ink).select(PHOTO, r.alias("r"))
+    kind = ink.schema[PHOTO].dataType.simpleString()
+    rows = ink.select(PHOTO, "w", "h", "x", "y").join(radii, PHOTO).select(PHOTO, *[F.col(c).cast("int").alias(c) for c in ("w", "h", "r", "x", "y")], F.lit(1).cast("bigint").alias("v"))
+
+    def along(axis):
+        def strip(table):
+            table = table.combine_chunks()
+            w, h, r = (table.column(c)[0].as_py() for c in ("w", "h", "r"))
+            x, y, v = (table.column(c).to_numpy() for c in ("x", "y", "v"))
+            across = y if axis else x
+            first, size = int(across.min()), int(np.ptp(across)) + 1
+            field = np.zeros((size, w) if axis else (h, size), np.int64)
+            field[(y - first, x) if axis else (y, x - first)] = v
+            pad = [(0, 0), (0, 0)]
+            pad[axis] = (2 * r, 2 * r)  # sums that start beyond the frame count
+            field = _twice_boxed(np.pad(field, pad), r, axis)
+            cut = [slice(None)] * 2
+            cut[axis] = slice(2 * r, -2 * r)
+            field = field[tuple(cut)]
+            ny, nx = np.nonzero(field if axis else 2 * field >= (2 * r + 1) ** 4)
+            n = len(nx)
+            own = lambda c: pa.array(np.full(n, table.column(c)[0].as_py()), pa.int32())
+            key = table.column(PHOTO).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+            at = (nx, ny + first) if axis else (nx + first, ny)
+            return pa.table({PHOTO: key, "w": own("w"), "h": own("h"), "r": own("r"), "x": pa.array(at[0], pa.int32()), "y": pa.array(at[1], pa.int32()), "v": pa.array(field[ny, nx])})
+
+        return strip
+
+    schema = f"{PHOTO} {kind}, w int, h int, r int, x int, y int, v bigint"
+    wide = rows.groupBy(PHOTO, F.floor(F.col("y") / STRIP)).applyInArrow(along(1), schema)
+    return wide.groupBy(PHOTO, F.floor(F.col("x") / STRIP)).applyInArrow(along(0), schema).select(PHOTO, "w", "h", "x", "y")
 
 
 def polygon_runs(edges: DataFrame, w: int, h: int) -> DataFrame:

@@ -144,7 +144,9 @@ def mask_iou(spark, sf):
     return mk.mask_iou(g.where((F.col("raw") > 0.05) | ((F.col("x") == 7) & (F.col("raw") < -0.1))), truth)
 
 
-@query("smooth_mask")
+@query("smooth_mask", f"""with {_INK}, b as (select i.photo_id, count(*) as per from ink i where (select count(*) from ink n where n.photo_id = i.photo_id and abs(n.x - i.x) + abs(n.y - i.y) = 1) < 4 group by 1),
+ rd as (select photo_id, cast(greatest(1, floor(.5::double * .4::double * (2 * count(*) / max(per)) + .5::double)) as bigint) as r from ink join b using (photo_id) group by 1)
+ select g.photo_id, g.x, g.y from gp g join rd using (photo_id) join ink i on i.photo_id = g.photo_id group by 1, 2, 3 having 2 * sum(greatest(0, 2 * r + 1 - abs(g.x - i.x)) * greatest(0, 2 * r + 1 - abs(g.y - i.y))) >= power(2 * any_value(r) + 1, 4)""")
 def smooth_mask(spark, sf):
     return mk.smooth_mask(ink(spark, sf), 5).select("photo_id", "x", "y")
 

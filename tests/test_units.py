@@ -234,6 +234,42 @@ def test_inbox_stream_offers_a_photo_once(spark, tmp_path):
 
 
 
+def test_mirror_sink_survives_a_failing_send(spark, tmp_path):
+    from inkspan.streaming import flows
+
+    schema = "lib_id string, key string, vidx int, id string, hash string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    server = {"mirror": [], "pushed": [], "sent": [], "away": True}
+
+    def send(batches):
+        rows = [r for r in batches.collect() if r.id]
+        if server["away"]:
+            raise RuntimeError("server away")
+        server["sent"].append(sorted((r.id, r.action, r.batch) for r in rows))
+        server["mirror"] += [(r.lib_id, f"f-{r.id}", r.name) for r in rows if r.action == "create"]
+
+    def record(rows):
+        server["pushed"] = [p for p in server["pushed"]] + [tuple(r) for r in rows.collect()]
+
+    def play():
+        mirror = lambda: spark.createDataFrame(server["mirror"], "lib_id string, file_id string, name string")
+        pushed = lambda: spark.createDataFrame(list({p[:2]: p for p in server["pushed"]}.values()), "lib_id string, id string, hash string")
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = flows.mirror_sink(stream, mirror, pushed, send, record, str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    put([("L", "a", 0, "v1", "h1"), ("L", "b", 0, "v2", "h1")])
+    with pytest.raises(Exception, match="server away"):
+        play()
+    assert server["sent"] == [] and server["pushed"] == []
+    server["away"] = False
+    play()  # the same batch is planned again
+    assert server["sent"] == [[("v1", "create", 1), ("v2", "create", 1)]] and len(server["pushed"]) == 2
+    put([("L", "a", 0, "v1", "h1"), ("L", "b", 0, "v2", "h2"), ("L", "c", 0, "v3", "h1")])
+    play()
+    assert server["sent"][1] == [("v2", "update", 1), ("v3", "create", 1)]
+
+
 def test_palette_finds_separate_colours(spark):
     from inkspan.operators import surfaces
 
