@@ -254,13 +254,24 @@ def bench_summary(scores: DataFrame) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, by: str, quotas: dict, id_col: str, whole=(), blocked=None, seed=0) -> DataFrame:
-    """Seeded quota per category; categories in ``whole`` are kept entire, blocked names left out."""
+    """Seeded quota per category, by the order of a hash; categories in ``whole`` are kept entire, blocked names left out.
+
+    A category is counted in 4096 bins of the hash first; what lies in bins before the one that
+    fills its quota is taken as it is, and only that bin is ranked, so no category meets in one task.
+    """
     src = df.where(~F.col(blocked[0]).rlike(blocked[1])) if blocked else df
-    quota = F.coalesce(*[F.when(F.col(by) == k, F.lit(v)) for k, v in quotas.items()], F.lit(0))
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col)
     all_of = src.where(F.col(by).isin(*whole)) if whole else src.limit(0)
-    picked = src.where(~F.col(by).isin(*whole)) if whole else src
-    return all_of.unionByName(picked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= quota).drop("_k"))
+    picked = src.where(F.col(by).isin(*[k for k in quotas if k not in whole]))
+    quota = F.coalesce(*[F.when(F.col(by) == k, F.lit(v)) for k, v in quotas.items()], F.lit(0))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    rows = picked.select(F.col(by).alias("_by"), h.alias("_h"), F.col(id_col).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), quota.alias("_q")).withColumn("_bin", F.substring("_h", 1, 3))
+    upto = Window.partitionBy("_by").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows a category
+    bins = rows.groupBy("_by", "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    j = rows.join(F.broadcast(bins), ["_by", "_bin"]).where(F.col("_before") < F.col("_q"))  # a category of ``quotas`` has 4096 rows
+    sure = j.where(F.col("_before") + F.col("_n") <= F.col("_q"))
+    rank = F.row_number().over(Window.partitionBy("_by", "_bin").orderBy("_h", "_id"))
+    last = j.where(F.col("_before") + F.col("_n") > F.col("_q")).withColumn("_k", rank).where(F.col("_before") + F.col("_k") <= F.col("_q"))
+    return all_of.unionByName(sure.select("_row.*")).unionByName(last.select("_row.*"))
 
 
 def train_classifier(features: DataFrame, iterations=50):

@@ -212,7 +212,8 @@ def pick_disjoint(spark, sf):
     return rc.pick_disjoint(g)
 
 
-@query("stratified_sample")
+@query("stratified_sample", """with d as (select doc_id, lang, row_number() over (partition by lang order by md5('0:' || doc_id), doc_id) as k from documents where not regexp_matches(source, '^$'))
+ select doc_id, lang from d where lang = 'de' or (lang = 'en' and k <= 40) or (lang = 'fr' and k <= 20)""")
 def stratified_sample(spark, sf):
     d = table(spark, sf, "documents")
     return rc.stratified_sample(d, "lang", {"en": 40, "fr": 20}, "doc_id", whole=("de",), blocked=("source", "^$")).select("doc_id", "lang")

@@ -78,6 +78,17 @@ def library_documents(spark, sf):
     return v2.select("lib_id", "key", "vidx", "id", "advance", "photo_id", "nudge_dy").join(s2, ["lib_id", "key"])
 
 
+_MAT = ["1 + l_quantity / 50", "(l_partkey % 7) / 10", "l_suppkey % 11", "(l_partkey % 5) / 20", "1 + (l_suppkey % 9) / 30", "l_partkey % 13", "(l_partkey % 3) / 1000", "(l_suppkey % 4) / 900", "1"]
+_INV = ["e * i - f * h", "c * h - b * i", "b * f - c * e", "f * g - d * i", "a * i - c * g", "c * d - a * f", "d * h - e * g", "b * g - a * h"]
+
+
+@query("inv3", "with m as (select l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"cast({e} as double) as {c}" for e, c in zip(_MAT, "abcdefghi", strict=True)) + " from lineitem), n as (select *, a * e - b * d as last, a * (e * i - f * h) + b * (f * g - d * i) + c * (d * h - e * g) as det from m) select l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"case when abs(det) > 1e-12 and abs(last) > 1e-12 then cast(floor(({e}) / last * 1000000 + .5::double) as bigint) end as v{k}" for k, e in enumerate(_INV)) + " from n")
+def inv3(spark, sf):
+    m = [F.expr(f"cast({e} as double)") for e in _MAT]
+    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", geo.inv3(m).alias("v"))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", *[F.floor(F.get("v", F.lit(k)) * 1000000 + 0.5).alias(f"v{k}") for k in range(8)])
+
+
 @query("apply_h", "select l_orderkey, l_linenumber, l_partkey, round((2 * l_quantity + .1 * l_partkey + 5) / (.001 * l_quantity + .0001 * l_partkey + 1), 5) as u, round((.2 * l_quantity + 1.5 * l_partkey - 3) / (.001 * l_quantity + .0001 * l_partkey + 1), 5) as v from lineitem")
 def apply_h(spark, sf):
     u, v = geo.apply_h((2.0, 0.1, 5.0, 0.2, 1.5, -3.0, 0.001, 0.0001), F.col("l_quantity"), F.col("l_partkey"))
