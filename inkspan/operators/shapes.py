@@ -95,7 +95,7 @@ def merge_paints(colours: DataFrame, borders: DataFrame) -> DataFrame:
     rows = rows.withColumn("sur", F.expr("filter(gs, g -> g.surface)"))
     rows = rows.withColumns({"main": F.expr("-array_max(transform(sur, s -> named_struct('v', s.ring + s.share, 'l', -s.label))).l"), "ids": F.expr("transform(sur, s -> s.label)")})
     met = "-array_max(transform(filter(bs, t -> t.a = g.label and array_contains(ids, t.b)), t -> named_struct('n', t.n, 'l', -t.b))).l"
-    other = "filter(ids, s -> s <> g.label)[0]"
+    other = "get(filter(ids, s -> s <> g.label), 0)"
     on = f"coalesce({met}, if(main <> g.label, main, coalesce({other}, main)))"
     cand = "named_struct('by', -{share}, 'part', {part}, 'label', g.label, 'share', {share}, 'r', g.r, 'g', g.g, 'b', g.b, 'hue', g.hue, 'on', {on})"
     own = cand.format(share="g.share", part="0", on=on)

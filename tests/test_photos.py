@@ -96,6 +96,14 @@ def test_shades_of_a_paint_merge_and_halos_do_not(spark):
     assert got == [(1, [1.0, 2.0], 0), (3, [3.0], 0), (4, [4.0], 0)]
 
 
+def test_shapes_of_the_only_surface_lie_on_itself(spark):
+    df = spark.createDataFrame([(1, 0, 200.0, 200.0, 200.0, 0.9, 1.0, True, 0.1), (1, 1, 20.0, 20.0, 20.0, 0.1, 0.0, False, 0.0)],
+        "photo_id long, label int, r double, g double, b double, share double, ring_share double, surface boolean, parts double")
+    borders = spark.createDataFrame([(1, 0, 1, 9)], "photo_id long, a int, b int, n long")
+    got = {(r.paint, r.on) for r in shapes.merge_paints(df, borders).collect()}
+    assert got == {(0, 0), (1, 0)}
+
+
 def _mask(spark, w, h, inside):
     return spark.createDataFrame([(1, w, h, x, y) for y in range(h) for x in range(w) if inside(x, y)], "photo_id long, w int, h int, x int, y int")
 
