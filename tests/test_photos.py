@@ -224,6 +224,25 @@ def test_pixels_look_their_points_up(spark):
     assert {(r.point, r["count"]) for r in j.groupBy("point").count().collect()} == {(1, 12 * 12), (2, 13 * 13)}
 
 
+def test_few_boxes_are_scored_in_full():
+    import numpy as np
+
+    from inkspan.operators import locate as lc
+
+    cell = np.arange(576)
+    t = lc.Template((((cell % 24) * 6 + (cell // 24) * 8) // 7 % 3 == 0).astype(float), 0.9)
+    mask, scored = np.random.default_rng(4).random((40, 64)) < 0.3, []
+    ys, xs = np.nonzero(mask)
+    every = lc.boxes((xs.min(), ys.min(), xs.max(), ys.max()), 0.9)
+    got = lc.best_box(mask, [t], scored)
+    sums = np.zeros((41, 65), np.int64)
+    sums[1:, 1:] = mask.cumsum(0).cumsum(1)
+    p = lc.probes(sums, every)
+    scores = [t.score(q, s) for q, s in zip(p, t.bounds(p)[0])]
+    assert got[5] == pytest.approx(max(scores), abs=1e-12) and (t.bounds(p)[1] >= np.array(scores) - 1e-12).all()
+    assert len(scored) < len(every) / 4
+
+
 def test_kept_boxes_with_a_cap(spark):
     from inkspan.operators import surfaces
 
