@@ -224,6 +224,28 @@ def test_pixels_look_their_points_up(spark):
     assert {(r.point, r["count"]) for r in j.groupBy("point").count().collect()} == {(1, 12 * 12), (2, 13 * 13)}
 
 
+def test_kept_templates_are_found_by_shared_parts():
+    import numpy as np
+
+    from inkspan.operators.surfaces import _Kept
+
+    rng, kept, plain, met = np.random.default_rng(5), _Kept(0.08), [], 0
+    for k in range(500):
+        m = rng.random(64) < rng.choice([0.0, 0.03, 0.3, 0.5, 0.9]) if k % 2 == 0 or not plain else np.isin(np.arange(64), plain[rng.integers(len(plain))])
+        m[rng.integers(0, 64, k % 5)] ^= True
+        cells = np.flatnonzero(m)
+        either = [len(np.union1d(cells, p)) for p in plain]
+        same = [len(np.intersect1d(cells, p)) for p in plain]
+        want = any(e and e - s < 0.08 * e for e, s in zip(either, same))
+        assert kept.near(cells) == want
+        met += want
+        if not want:
+            kept.add(cells)
+            plain.append(cells)
+    assert met > 50 and len(plain) > 100
+    assert max(len(v) for key, v in kept.parts.items() if key[2]) < len(plain)
+
+
 def test_few_boxes_are_scored_in_full():
     import numpy as np
 
