@@ -473,7 +473,8 @@ def validate_uploads(df: DataFrame, default_name="photo.jpg", default_mime="imag
     """uploads(name, mime, size, photo_id, thumb) -> cleaned columns and a reject reason."""
     given = F.when(F.coalesce("mime", F.lit("")) == "", F.lit(default_mime)).otherwise(F.col("mime"))
     mime = F.split_part(given, F.lit(";"), F.lit(1))
-    clean = F.substring(F.regexp_replace(F.coalesce("name", F.lit("")), r"[/\\]", "_"), 1, 120)
+    # cut first: a character is replaced by one character, and names may be long
+    clean = F.regexp_replace(F.substring(F.coalesce("name", F.lit("")), 1, 120), r"[/\\]", "_")
     width = F.coalesce(F.col("thumb"), F.lit(1800))
     return (
         df.withColumn("clean_mime", mime)

@@ -224,6 +224,15 @@ def test_pixels_look_their_points_up(spark):
     assert {(r.point, r["count"]) for r in j.groupBy("point").count().collect()} == {(1, 12 * 12), (2, 13 * 13)}
 
 
+def test_long_upload_names_are_cut_before_they_are_cleaned(spark):
+    from inkspan.operators.library import validate_uploads
+
+    df = spark.createDataFrame([("a/b\\" + "x" * 5000, "image/png", 5, "abcdefghijk", 64)], "name string, mime string, size long, photo_id string, thumb int")
+    out = validate_uploads(df)
+    assert out.first().clean_name == "a_b_" + "x" * 116
+    assert "regexp_replace(substring(" in _plan(out) and "substring(regexp_replace(" not in _plan(out)
+
+
 def test_kept_templates_are_found_by_shared_parts():
     import numpy as np
 
