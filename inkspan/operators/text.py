@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkspan.functions.numbers import half_up
-from inkspan.session import small_side, spread
+from inkspan.session import beside, share_of, small_side, spread
 
 # Specimen defaults (em fractions of the size).
 DEFAULTS = {"size": 112.0, "tracking": 0.02, "leading": 1.05, "ascent": 0.76, "gap": 0.38, "tall": 1.05, "pad": 0.35}
@@ -31,6 +31,7 @@ def tokenize(docs: DataFrame, ligs: DataFrame, keep=()) -> DataFrame:
     """(doc_id, lib_id, line, pos, key): lines split at newlines, longest ligature first.
 
     An empty line keeps one row with NULL key. ``keep`` names further document columns to carry.
+    Texts are dealt over tasks by their length, so a task's tokens do not grow with the input.
     """
     plain = F.lit("(?s)(.)")
     patterns = token_pattern(ligs)
@@ -38,7 +39,7 @@ def tokenize(docs: DataFrame, ligs: DataFrame, keep=()) -> DataFrame:
         "doc_id", "lib_id", *keep, "text", F.coalesce("pattern", plain).alias("pattern")
     )
     return (
-        spread(keyed, "doc_id")
+        spread(keyed, "doc_id", rows=share_of(docs, F.length("text")))
         .select("doc_id", "lib_id", *keep, "pattern", F.posexplode_outer(F.split("text", "\n")).alias("line", "line_text"))
         .select(
             "doc_id", "lib_id", *keep, "line",
@@ -110,10 +111,18 @@ def char_index(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("chr", F.sum(n).over(w) - n + F.col("line"))
 
 
-def apply_kerns(placed: DataFrame, kerns: DataFrame) -> DataFrame:
-    """Adds manual (em): kerns(doc_id, chr, em); several moves of one spot add at 3 decimals."""
-    total = kerns.groupBy("doc_id", "chr").agg(half_up(F.sum(half_up(F.col("em") * 1000.0)) / 1000.0, 3).alias("manual"))
-    return char_index(placed).join(total.where(F.col("manual") != 0), ["doc_id", "chr"], "left")
+def apply_kerns(placed: DataFrame, kerns: DataFrame, moved=False) -> DataFrame:
+    """Adds manual (em): kerns(doc_id, chr, em); several moves of one spot add at 3 decimals.
+
+    A text's moves lie in one row and each token looks its place up, so tokens stay where they are.
+    ``moved`` leaves only tokens with a move.
+    """
+    total = kerns.groupBy("doc_id", "chr").agg(half_up(F.sum(half_up(F.col("em") * 1000.0)) / 1000.0, 3).alias("manual")).where(F.col("manual") != 0)
+    held = total.where(F.col("chr").isNotNull()).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("chr").cast("bigint").alias("chr"), "manual"))).alias("_moves"))
+    j = char_index(placed).join(beside(held), "doc_id", "inner" if moved else "left")
+    rest = [c for c in j.columns if c not in ("doc_id", "chr", "_moves")]
+    out = j.select("doc_id", "chr", *rest, F.try_element_at("_moves", F.col("chr").cast("bigint")).alias("manual"))
+    return out.where(F.col("manual").isNotNull()) if moved else out
 
 
 def _add_kern(placed: DataFrame, kern: DataFrame | None) -> DataFrame:

@@ -176,5 +176,6 @@ _MK = "mk as (select doc_id, chr, round(sum(m) / 1000.0, 3)::double as manual fr
 def apply_kerns(spark, sf):
     e = table(spark, sf, "events")
     kerns = e.select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 200).alias("chr"), (F.floor((F.col("value") - 20) + 0.5) / 1000.0).alias("em"))
-    out = tx.apply_kerns(tokens(spark, sf), kerns).where(F.col("manual").isNotNull())
+    docs = load(spark, sf, "docs").join(kerns.select("doc_id").distinct(), "doc_id", "left_semi")  # other texts have no move
+    out = tx.apply_kerns(tx.tokenize(docs, lib.ligatures(load(spark, sf, "slots"))), kerns, moved=True)
     return out.select("doc_id", "line", "pos", "key", F.col("chr").cast("bigint").alias("chr"), "manual")

@@ -333,3 +333,22 @@ def test_outlines_are_dealt_by_what_they_expand_to(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan(ol.contour_depth(small, ol.outline_edges(small, 6)))
     assert "ShuffledHashJoin" in plan(ol.overshoot(small))
+
+
+def test_tokens_look_their_moves_up(spark):
+    """Tokens were shuffled by place for a join with a few moves; tasks did not grow with the texts."""
+    import re
+
+    from inkspan.operators import text as tx
+
+    docs = spark.createDataFrame([(1, "L", "abc\nd"), (2, "L", "xyz"), (3, "L", None)], "doc_id long, lib_id string, text string")
+    kerns = spark.createDataFrame([(1, 2, 0.004), (1, 2, 0.003), (1, 4, 0.01), (1, 0, 0.005), (1, 0, -0.005), (9, 1, 1.0), (2, 77, 1.0)], "doc_id long, chr int, em double")
+    t = tx.tokenize(docs, spark.createDataFrame([], "lib_id string, key string"))
+    every, moved = tx.apply_kerns(t, kerns), tx.apply_kerns(t, kerns, moved=True)
+    assert {(r.doc_id, r.key, r.manual) for r in moved.collect()} == {(1, "c", 0.007), (1, "d", 0.01)}
+    assert every.count() == 8 and {(r.doc_id, r.key, r.manual) for r in every.where("manual is not null").collect()} == {(1, "c", 0.007), (1, "d", 0.01)}
+    for df in (every, moved):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and not re.search(r"Join \[doc_id#\d+L, chr#", plan)
+    long = spark.range(12).selectExpr("id as doc_id", "'L' as lib_id", "repeat('ab', 500000) as text")
+    assert tx.tokenize(long, spark.createDataFrame([], "lib_id string, key string")).rdd.getNumPartitions() == 6
