@@ -29,13 +29,24 @@ def thin_each(rows: DataFrame, most: int, group: str, *keys) -> DataFrame:
     return rows.join(share, group).where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < (F.col("_share") * (1 << 30)).cast("bigint")).drop("_share")
 
 
+def _labels(labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
+    """(doc_id, y) of labels outside the held-out remainder; a repeated id counts once, with its largest label."""
+    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    return ids.where(remainder(mod) != held).groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
+    """(doc_id, y, text) of all labelled documents outside the held-out remainder, whole."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.join(small_side(_labels(labels, label, mod, held)), "doc_id").select("doc_id", "y", "text")
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, most: int, chars: int) -> DataFrame:
     """(y, text) of at most about ``most`` labelled documents outside the held-out remainder.
 
     Documents of more than ``chars`` characters are not learned from, so the sample's size is bounded.
     A repeated id counts once, with its largest label.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    ids = thin(ids.where(remainder(mod) != held).groupBy("doc_id").agg(F.max("y").alias("y")), most, "doc_id")
+    ids = thin(_labels(labels, label, mod, held), most, "doc_id")
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
     return docs.join(F.broadcast(ids), "doc_id").select("y", "text")  # bounded: ``most`` rows of two numbers

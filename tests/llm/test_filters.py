@@ -71,6 +71,24 @@ def test_quality(spark, docs, labels, odd):
     assert quality.score(odd.limit(0), model).count() == 0
 
 
+def test_quality_learns_from_every_labelled_document(spark):
+    """Texts of over 20 000 characters and all but some 8 000 documents were not learned from."""
+    rows = [(i, ("plain words of a text. " if i % 2 else "BUY!! $$$ 99% <<<>>> ") * 1000, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    got = quality.score(df, model).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got) and quality.fit(df.repartition(7), df)[3] == model[3]
+
+
+def test_threshold_is_the_exact_quantile(spark):
+    import numpy as np
+
+    s = np.concatenate([np.random.default_rng(3).normal(size=20000), np.full(5000, 0.25), [1e6, -1e6]])
+    df = spark.createDataFrame([(float(v),) for v in s], "s double")
+    for rank in (0, 1, 7000, 15000, 25001):
+        assert quality._at_rank(df, rank, s.min(), s.max()) == np.sort(s)[rank]
+
+
 def test_language(spark, docs, odd):
     model = langid.fit(docs)
     rows = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
