@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkspan.operators.text import DEFAULTS
-from inkspan.session import small_side
+from inkspan.session import EXPANDED, share_of, small_side, spread
 
 GROUP_BYTES = 2 << 20  # of text in a group, about; a longer text is a group of its own
+TASK_GROUPS = 64  # groups of a task, on average, where a corpus has more than the session's partitions hold
 SIDE = "lib_id", "kind", "map_no", "n_maps", "key", "id", "advance", "lft", "kern"
 
 
@@ -105,6 +106,7 @@ class Setting:
 def _met(docs, ligs, maps, kerns, cycle, emit, schema):
     sizes = docs.groupBy("lib_id").agg(F.ceil(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 16) / GROUP_BYTES).cast("int").alias("n_parts"))
     sizes = small_side(sizes)
+    rows = share_of(sizes, "n_parts") * EXPANDED // TASK_GROUPS
     of = lambda df: df.join(sizes.withColumnRenamed("lib_id", "_l"), F.col("lib_id").eqNullSafe(F.col("_l"))).drop("_l")
     dealt = of(docs.select("doc_id", "lib_id", "text")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("n_parts")).cast("int")).drop("n_parts")
     side = of(_side(ligs, maps, kerns)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_parts")
@@ -121,7 +123,8 @@ def _met(docs, ligs, maps, kerns, cycle, emit, schema):
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     schema_types, names = list(arrow), arrow.names
-    return dealt.groupBy("lib_id", "part").cogroup(side.groupBy("lib_id", "part")).applyInArrow(run, schema)
+    dealt, side = (spread(df, "lib_id", "part", rows=rows).groupBy("lib_id", "part") for df in (dealt, side))
+    return dealt.cogroup(side).applyInArrow(run, schema)
 
 
 def _taken(column, index):

@@ -91,7 +91,7 @@ def placed(spark, sf):
 def kern_inputs(spark, sf):
     """Profiles of every library drawing, with its finalised advance and bearing."""
     f = lib.finalize_variant(load(spark, sf, "variants")).select("id", F.col("fadvance").alias("advance"), F.col("flsb").alias("lsb"))
-    o = load_outlines(spark, sf, "outlines", ("id",))
+    o = load_outlines(spark, sf, "outlines", ("id", "lib_id"))
     return ol.side_profiles(o.join(f, "id"))
 
 
@@ -104,7 +104,7 @@ def kerned(spark, sf):
     """The corpus and the kerns of the pairs that meet in it."""
     c = corpus(spark, sf)
     met = cut_lineage(ts.pairs_met(*c))
-    return c, met.join(ol.kern_pairs(kern_inputs(spark, sf), met.select("lft", "rgt").distinct()), ["lft", "rgt"])
+    return c, ol.kern_pairs(kern_inputs(spark, sf), met)
 
 
 @query("tokenize", ctes("docs", "slots") + f", {_TOK} select doc_id, line, count(key) as tokens, count(*) filter (length(key) > 1) as ligatures, min(key) as k0, max(key) as k1 from tok group by 1, 2")

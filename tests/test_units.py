@@ -65,6 +65,23 @@ def test_kerning_tucks_a_under_v(spark):
     assert k["H", "H"] == 0 and k["H", "x"] == 0 and k["A", "V"] < -20 and k["V", "A"] < -20
 
 
+def test_kerns_meet_their_librarys_profiles_and_tasks_grow(spark, monkeypatch):
+    from inkspan import session
+
+    g = _rings(spark, [("A", "A", [[(0, 0), (400, 0), (200, 700)]]), ("V", "V", [[(0, 700), (200, 0), (400, 700)]])]).withColumn("lib_id", F.lit("L0"))
+    h = _rings(spark, [("A", "A", [box(0, 0, 400, 700)]), ("V", "V", [box(0, 0, 400, 700)])]).withColumn("lib_id", F.lit("L1"))
+    p = outlines.side_profiles(g.unionByName(h).withColumn("id", F.concat("lib_id", "id")).withColumn("advance", F.lit(500)).withColumn("lsb", F.lit(50.0)))
+    p = p.withColumn("id", F.substring("id", 3, 1))
+    pairs = spark.createDataFrame([(lib, a, b) for lib in ("L0", "L1", "none", None) for a in "AVx" for b in "AV"], "lib_id string, lft string, rgt string")
+    monkeypatch.setattr(outlines, "KERN_LEFTS", 1)  # several groups a library
+    monkeypatch.setattr(session, "EXPANDED", 8)
+    kerns = outlines.kern_pairs(p, pairs)
+    k = {(r.lib_id, r.lft, r.rgt): r.kern for r in kerns.collect()}
+    assert len(k) == 24 and k["L0", "A", "V"] < -20 and k["L0", "V", "A"] < -20
+    assert all(v == 0 for (lib, lft, _), v in k.items() if lib != "L0" or lft == "x")
+    assert kerns.rdd.getNumPartitions() == 4 * 24 // 8
+
+
 def test_weight_target(spark):
     v = spark.createDataFrame([("L", "I", 0, "fat", 0.9), ("L", "I", 1, "thin", 0.1), ("L", "I", 2, "mid", 0.45), ("L", "L", 0, "only", 0.3)], "lib_id string, key string, vidx int, id string, weight double")
     s = spark.createDataFrame([("L", "I", 0), ("L", "L", 0)], "lib_id string, key string, active int")
