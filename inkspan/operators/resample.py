@@ -17,6 +17,7 @@ from inkspan.functions.numbers import half_up
 
 PHOTO = "photo_id"
 TILE = 64
+AT_ONCE = 1 << 18  # pixels read and written at once in a task, about
 
 # Largest enlargement and longer side of a crop, colours where a crop or a warp leaves the photo.
 ENLARGE, MAX_EDGE, CROP_FILL, WARP_FILL = 3, 320, 138, 128
@@ -26,12 +27,14 @@ def pixel_tiles(pixels: DataFrame, tile=TILE) -> DataFrame:
     """(photo_id, tx, ty, data): tiles of packed colours in row order, NULL where a pixel is missing."""
     at = (F.col("y") % tile) * tile + F.col("x") % tile
     packed = F.col("r") * 65536 + F.col("g") * 256 + F.col("b")
+    # place and colour are one number, so a tile is sorted as plain numbers
     t = pixels.groupBy(PHOTO, F.floor(F.col("x") / tile).cast("int").alias("tx"), F.floor(F.col("y") / tile).cast("int").alias("ty")).agg(
-        F.sort_array(F.collect_list(F.struct(at.cast("int").alias("i"), packed.cast("int").alias("c")))).alias("s")
+        F.sort_array(F.collect_list(F.shiftleft(at.cast("bigint"), 24) + packed)).alias("s")
     )
-    whole = F.transform("s", lambda p: p["c"])
+    colour = lambda p: p.bitwiseAND(F.lit(0xFFFFFF)).cast("int")
+    whole = F.transform("s", colour)
     # a tile at the frame's edge, or with missing pixels, is laid out place by place
-    laid = F.expr(f"element_at(transform(array(map_from_entries(transform(s, p -> struct(p.i, p.c)))), m -> transform(sequence(0, {tile * tile - 1}), i -> m[i])), 1)")
+    laid = F.expr(f"element_at(transform(array(map_from_entries(transform(s, p -> struct(cast(shiftright(p, 24) as int), cast(p & 16777215 as int))))), m -> transform(sequence(0, {tile * tile - 1}), i -> m[i])), 1)")
     return t.select(PHOTO, "tx", "ty", F.when(F.size("s") == tile * tile, whole).otherwise(laid).alias("data"))
 
 
@@ -88,38 +91,64 @@ def gather(jobs: DataFrame, tiles: DataFrame, keys, fill=(0, 0, 0), tile=TILE) -
 
 
 def _filled(batches, fill, tile):
-    """Output pixels of each output tile, blended from the block that its source tiles make."""
+    """Output pixels of output tiles, many tiles at once, blended from the source tiles that each of them reads."""
     packed = fill[0] << 16 | fill[1] << 8 | fill[2]
     for batch in batches:
-        for i in range(batch.num_rows):
-            get = lambda name: batch.column(batch.schema.get_field_index(name))[i]  # noqa: B023, E731
-            xa, xb, ya, yb, w, h, tx0, tx1, ty0, ty1 = (get(c).as_py() for c in ("xa", "xb", "ya", "yb", "w", "h", "tx0", "tx1", "ty0", "ty1"))
-            o, m = get("o").as_py(), get("m").values.to_numpy()
-            y, x = (g.ravel() for g in np.mgrid[ya : yb + 1, xa : xb + 1])
-            u, v = x + o, y + o
-            with np.errstate(divide="ignore", invalid="ignore"):
-                z = m[6] * u + m[7] * v + m[8]
-                sx, sy = (m[0] * u + m[1] * v + m[2]) / z - o, (m[3] * u + m[4] * v + m[5]) / z - o
-                ok = (sx >= 0) & (sy >= 0) & (sx <= w - 1) & (sy <= h - 1) & (z != 0) & get("meets").as_py()
-            tones = np.empty((3, len(x)), np.int32)
-            tones[:] = np.array(fill, np.int32)[:, None]
-            at = np.flatnonzero(ok)
-            if len(at):
-                left, top = tx0 * tile, ty0 * tile
-                block = np.full(((ty1 - ty0 + 1) * tile, (tx1 - tx0 + 1) * tile), packed, np.int32)  # tiles without pixels stay so
-                for t in get("ts"):
-                    r, c = t["ty"].as_py() * tile - top, t["tx"].as_py() * tile - left
-                    block[r : r + tile, c : c + tile] = pa.compute.fill_null(t["data"].values, packed).to_numpy().reshape(tile, tile)
-                sx, sy = sx[at], sy[at]
-                x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-                tx, ty = sx - x0, sy - y0
-                x1, y1 = np.minimum(w - 1, x0 + 1), np.minimum(h - 1, y0 + 1)
-                a, b, c, d = (block[q - top, p - left] for q, p in ((y0, x0), (y0, x1), (y1, x0), (y1, x1)))
-                for k, shift in enumerate((16, 8, 0)):
-                    a_, b_, c_, d_ = ((n >> shift & 255).astype(float) for n in (a, b, c, d))
-                    tones[k, at] = np.rint((a_ * (1 - tx) + b_ * tx) * (1 - ty) + (c_ * (1 - tx) + d_ * tx) * ty)
-            key = batch.column(0).take(pa.array(np.full(len(x), i)))
-            yield pa.RecordBatch.from_arrays([key, pa.array(x, pa.int32()), pa.array(y, pa.int32()), *map(pa.array, tones), pa.array(ok)], ["k", "x", "y", "r", "g", "b", "in_photo"])
+        get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+        whole = lambda name: pa.compute.fill_null(get(name), 0).to_numpy().astype(int)
+        side = {c: whole(c) for c in ("xa", "xb", "ya", "yb", "w", "h", "tx0", "tx1", "ty0", "ty1")}
+        meets = pa.compute.fill_null(get("meets"), False).to_numpy(zero_copy_only=False)
+        wide, high = side["xb"] - side["xa"] + 1, side["yb"] - side["ya"] + 1
+        across = side["tx1"] - side["tx0"] + 1
+        slots = np.where(meets, across * (side["ty1"] - side["ty0"] + 1), 0)  # source tiles that an output tile may read
+        held = np.cumsum(wide * high + slots * tile * tile)
+        begin = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            at = slice(begin, end)
+            part = {c: v[at] for c, v in side.items()}
+            part.update(wide=wide[at], across=across[at], slots=slots[at], meets=meets[at], size=(wide * high)[at])
+            m, o = get("m").slice(begin, end - begin).flatten().to_numpy().reshape(-1, 9).T, get("o").to_numpy()[at]
+            row, *columns = _blended(part, m, o, get("ts").slice(begin, end - begin), fill, packed, tile)
+            key = batch.column(0).take(pa.array(row + begin))
+            yield pa.RecordBatch.from_arrays([key, *columns], ["k", "x", "y", "r", "g", "b", "in_photo"])
+            begin = end
+
+
+def _blended(part, m, o, ts, fill, packed, tile):
+    """(row, x, y, r, g, b, in_photo) of some output tiles; ``m`` nine rows of numbers, ``ts`` the source tiles of each."""
+    size, n = part["size"], len(part["size"])
+    row = np.repeat(np.arange(n), size)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    of = lambda name: part[name][row]
+    x, y = of("xa") + k % of("wide"), of("ya") + k // of("wide")
+    w, h, o, m = of("w"), of("h"), o[row], m[:, row]
+    u, v = x + o, y + o
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = m[6] * u + m[7] * v + m[8]
+        sx, sy = (m[0] * u + m[1] * v + m[2]) / z - o, (m[3] * u + m[4] * v + m[5]) / z - o
+        ok = (sx >= 0) & (sy >= 0) & (sx <= w - 1) & (sy <= h - 1) & (z != 0) & of("meets")
+    tones = np.empty((3, len(x)), np.int32)
+    tones[:] = np.array(fill, np.int32)[:, None]
+    at = np.flatnonzero(ok)
+    if len(at):
+        first = np.cumsum(part["slots"]) - part["slots"]
+        owner = np.repeat(np.arange(n), pa.compute.fill_null(pa.compute.list_value_length(ts), 0).to_numpy())
+        ty, tx, data = ts.flatten().flatten()
+        data = np.vstack([pa.compute.fill_null(data.flatten(), packed).to_numpy().reshape(-1, tile * tile), np.full((1, tile * tile), packed, np.int32)])
+        source = np.full(part["slots"].sum(), len(data) - 1)  # tiles without pixels have the fill's colour
+        source[first[owner] + (ty.to_numpy() - part["ty0"][owner]) * part["across"][owner] + tx.to_numpy() - part["tx0"][owner]] = np.arange(len(owner))
+        sx, sy, row_ = sx[at], sy[at], row[at]
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        fx, fy = sx - x0, sy - y0
+        x1, y1 = np.minimum(w[at] - 1, x0 + 1), np.minimum(h[at] - 1, y0 + 1)
+        base, left, top, across = first[row_], part["tx0"][row_], part["ty0"][row_], part["across"][row_]
+        look = lambda q, p: data[source[base + (q // tile - top) * across + p // tile - left], q % tile * tile + p % tile]
+        a, b, c, d = look(y0, x0), look(y0, x1), look(y1, x0), look(y1, x1)
+        for i, shift in enumerate((16, 8, 0)):
+            a_, b_, c_, d_ = ((t >> shift & 255).astype(float) for t in (a, b, c, d))
+            tones[i, at] = np.rint((a_ * (1 - fx) + b_ * fx) * (1 - fy) + (c_ * (1 - fx) + d_ * fx) * fy)
+    return row, pa.array(x, pa.int32()), pa.array(y, pa.int32()), *map(pa.array, tones), pa.array(ok)
 
 
 def crop_jobs(quads: DataFrame, sizes: DataFrame, max_edge=MAX_EDGE) -> DataFrame:

@@ -323,3 +323,27 @@ def test_light_is_fitted_in_the_photos_row():
     found = light._fitted(np.stack([x, y], 1), tones, np.ones(144), np.array([180, 170, 160.0]))
     assert np.allclose(found[0].reshape(3, 6).T, co, atol=1e-3) and found[5] > 30
     assert light._fitted(np.stack([x, y], 1), np.full((144, 3), 90.0), np.ones(144), np.full(3, 90.0)) is None
+
+
+def test_output_tiles_are_filled_many_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from inkspan.operators import resample
+
+    tile = lambda ty, tx, c: {"ty": ty, "tx": tx, "data": [c << 16 if i != 3 else None for i in range(16)]}
+    place = {"w": 8, "h": 4, "ow": 4, "oh": 4, "m": [1.0, 0, 2.0, 0, 1.0, 0, 0, 0, 1.0], "o": 0.0, "xa": 0, "ya": 0, "xb": 3, "yb": 3, "tx0": 0, "tx1": 1, "ty0": 0, "ty1": 0}
+    rows = [{"k": {"id": i}, **place, "meets": i != 7, "ts": [tile(0, 1, 100 + i), tile(0, 0, i)][: 0 if i == 7 else 1 + i % 2]} for i in range(40)]
+    number = pa.int32()
+    tiles = pa.list_(pa.struct([("ty", number), ("tx", number), ("data", pa.list_(number))]))
+    kinds = {"k": pa.struct([("id", pa.int64())]), "m": pa.list_(pa.float64()), "o": pa.float64(), "meets": pa.bool_(), "ts": tiles}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, number)) for c in rows[0]])).slice(1)
+    out = list(resample._filled([batch], (9, 9, 9), 4))
+    assert len(out) == 1
+    got = {(r["k"]["id"], r["x"], r["y"]): (r["r"], r["in_photo"]) for r in pa.Table.from_batches(out).to_pylist()}
+    assert len(got) == 39 * 16 and all(v == (9, False) for (i, _, _), v in got.items() if i == 7)
+    for i in (1, 2, 38, 39):  # two columns of the left tile, which every other photo lacks, then two of the right one
+        left = i if i % 2 else 9
+        assert [got[i, x, 1][0] for x in range(4)] == [left, left, 100 + i, 100 + i] and got[i, 1, 0][0] == 9
+    monkeypatch.setattr(resample, "AT_ONCE", 1)
+    assert len(single := list(resample._filled([batch], (9, 9, 9), 4))) == 39
+    assert pa.Table.from_batches(single).equals(pa.Table.from_batches(out))
