@@ -347,3 +347,21 @@ def test_output_tiles_are_filled_many_at_once(monkeypatch):
     monkeypatch.setattr(resample, "AT_ONCE", 1)
     assert len(single := list(resample._filled([batch], (9, 9, 9), 4))) == 39
     assert pa.Table.from_batches(single).equals(pa.Table.from_batches(out))
+
+
+def test_vanishing_points_of_many_families_together():
+    import numpy as np
+
+    from inkspan.operators.vanishing import vanishing
+
+    def toward(px, py):  # segments from a column of places toward one point
+        a = np.array([[-300.0, y] for y in (-250, -120, 10, 140, 260)])
+        return np.hstack([a, a + (np.array([px, py]) - a) * 0.3])
+
+    same = np.tile([0.0, 0, 50, 0], (5, 1))  # one line only: no pair has a point
+    ends = np.stack([toward(2000, 40), same, toward(3000, -500)])
+    which, (vx, vy, vz, score, inliers, *_, accepted) = vanishing(ends, np.full(3, 800.0))
+    assert which.tolist() == [0, 2] and inliers.tolist() == [5, 5] and accepted.all()
+    assert np.allclose(vx / vz, [2000, 3000]) and np.allclose(vy / vz, [40, -500])
+    alone = vanishing(ends[2:], np.full(1, 800.0))[1]
+    assert np.allclose([c[0] for c in alone], [vx[1], vy[1], vz[1], score[1], 5, *[c[1] for c in _], True])
