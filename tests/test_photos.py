@@ -365,3 +365,13 @@ def test_vanishing_points_of_many_families_together():
     assert np.allclose(vx / vz, [2000, 3000]) and np.allclose(vy / vz, [40, -500])
     alone = vanishing(ends[2:], np.full(1, 800.0))[1]
     assert np.allclose([c[0] for c in alone], [vx[1], vy[1], vz[1], score[1], 5, *[c[1] for c in _], True])
+
+
+def test_palette_is_found_in_the_photos_row(spark):
+    from inkspan.operators import surfaces
+
+    rows = [(p, i % 3 * 50, 10, 20) for p in (1, 2) for i in range(30)] + [(3, None, None, None)]
+    out = surfaces.palette(spark.createDataFrame(rows, "photo_id long, r int, g int, b int"))
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {(r.photo_id, r.c1, r.c2, r.c3, r.n) for r in out.collect()}
+    assert got == {(p, 75.0 * k, 20.0, 32.0, 10) for p in (1, 2) for k in range(3)} | {(3, None, None, None, 1)}
