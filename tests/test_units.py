@@ -328,6 +328,22 @@ def test_hidden_patch_survives_when_solid(spark):
     assert n["paint"] == 180 and n["hidden"] >= 130 and n["hidden"] + n.get("family", 0) + n["wall"] == 1020
 
 
+def test_a_solid_hidden_patch_is_settled_where_none_are_kept(spark, tmp_path):
+    """The query kept solid patches, which its SQL settles; a photo without paint had family all over."""
+    import duckdb
+    import oracle_check as oc
+
+    from inkspan.plans import catalog
+
+    solid = [0.2 if k < 8 else 0.0 if k // 8 < 7 else -0.2 for k in range(64)]
+    rows = [(v, solid) for v in (5, 90, 200, 639, 1003)] + [(7, [0.0] * 63 + [-0.2])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    ok, said = oc.compare(spark, con, "pixel_classes", catalog.queries()["pixel_classes"], catalog.oracle_sql()["pixel_classes"], str(tmp_path))
+    assert ok, said
+
+
 def test_blank_probe_scores_nothing(spark):
     from inkspan.operators import recognition as rc
 
