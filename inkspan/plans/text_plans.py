@@ -61,6 +61,12 @@ _PROF = sql_flat("outlines", 6, "fl") + ", " + sql_edges("fl", "ed") + """,
  k2 as (select lft, rgt, floor(greatest(case when gap > facing then -0.7::double * (gap - facing) when gap < greatest(20.0::double, 0.3::double * facing) then greatest(20.0::double, 0.3::double * facing) - gap else 0.0::double end, -400.0::double) + 0.5::double) as k, gap from kk),
  kern as materialized (select lft, rgt, cast(case when gap is null or abs(k) < 8 then 0 else k end as bigint) as kern from k2)"""
 
+# every ordered pair of a library's drawings instead of the pairs that meet in the corpus
+_EVERY = _PROF.replace(
+    "prs as (select distinct prev_id as lft, id as rgt from plc where prev_id is not null and id is not null)",
+    "prs as (select distinct a.id as lft, b.id as rgt from variants a join variants b using (lib_id))",
+)
+
 _LINES = """mv as (select p.*, coalesce(k.kern, 0) as kern from plc p left join kern k on k.lft = p.prev_id and k.rgt = p.id),
  lw as (select doc_id, line, count(key) as tokens, cast(sum(case when key is not null and not known then 1 else 0 end) as bigint) as missing,
   cast(sum(case when key is null then 0 else kern + case when known then advance else 380 end end) as bigint) as units from mv group by 1, 2),
@@ -128,9 +134,9 @@ def variant_slots(spark, sf):
     return t.groupBy("doc_id", "key", "map_no").agg(F.count(F.lit(1)).alias("n"), F.max("occ").alias("last_occ"))
 
 
-@query("kern_pairs", _FULL + " select lft, rgt, kern from kern")
+@query("kern_pairs", ctes("variants", "outlines") + f", {_EVERY} select lft, rgt, kern from kern")
 def kern_pairs(spark, sf):
-    return kerned(spark, sf)[1].select("lft", "rgt", "kern").distinct()
+    return ol.all_kerns(kern_inputs(spark, sf), load(spark, sf, "variants")).select("lft", "rgt", "kern")
 
 
 @query("line_widths", _FULL + " select doc_id, line, tokens, missing, units, round(width, 4) as width from lnw")

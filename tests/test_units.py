@@ -82,6 +82,25 @@ def test_kerns_meet_their_librarys_profiles_and_tasks_grow(spark, monkeypatch):
     assert kerns.rdd.getNumPartitions() == 4 * 24 // 8
 
 
+def test_every_ordered_pair_of_a_library_is_kerned(spark, monkeypatch):
+    """The query had only the pairs that meet in the texts."""
+    from inkspan import session
+    from inkspan.plans.catalog import queries
+
+    g = _rings(spark, [("A", "A", [[(0, 0), (400, 0), (200, 700)]]), ("V", "V", [[(0, 700), (200, 0), (400, 700)]]), ("H", "H", [box(0, 0, 300, 700)])]).withColumn("lib_id", F.lit("L0"))
+    p = outlines.side_profiles(g.withColumn("advance", F.when(F.col("id") == "H", 400).otherwise(500)).withColumn("lsb", F.lit(50.0)))
+    drawings = spark.createDataFrame([("L0", k) for k in "AVHx"] + [("L1", "y"), (None, "z")], "lib_id string, id string")
+    pairs = drawings.alias("a").join(drawings.alias("b"), "lib_id").selectExpr("lib_id", "a.id as lft", "b.id as rgt")
+    sf = "/root/testdata/sf0.001"
+    assert queries()["kern_pairs"](spark, sf).count() == spark.read.parquet(f"{sf}/part.parquet").groupBy(F.expr("floor(p_partkey / 256)")).count().selectExpr("sum(count * count)").first()[0]
+    want = sorted(map(tuple, outlines.kern_pairs(p, pairs).collect()))
+    monkeypatch.setattr(outlines, "KERN_GROUP", 5)  # several groups a library
+    monkeypatch.setattr(session, "EXPANDED", 2)
+    kerns = outlines.all_kerns(p, drawings)
+    assert sorted(map(tuple, kerns.collect())) == want and len(want) == 17 and sum(r[3] < -20 for r in want) == 2
+    assert kerns.rdd.getNumPartitions() == 9
+
+
 def test_weight_target(spark):
     v = spark.createDataFrame([("L", "I", 0, "fat", 0.9), ("L", "I", 1, "thin", 0.1), ("L", "I", 2, "mid", 0.45), ("L", "L", 0, "only", 0.3)], "lib_id string, key string, vidx int, id string, weight double")
     s = spark.createDataFrame([("L", "I", 0), ("L", "L", 0)], "lib_id string, key string, active int")
