@@ -274,6 +274,33 @@ def test_few_boxes_are_scored_in_full():
     assert len(scored) < len(every) / 4
 
 
+def test_bounds_are_made_of_lines_of_bits():
+    """Bounds took several numbers a cell of each of a photo's thousands of boxes, 47 MB here, and most of the time."""
+    import tracemalloc
+
+    import numpy as np
+
+    from inkspan.operators import locate as lc
+
+    rng, cell = np.random.default_rng(6), np.arange(576)
+    p = rng.random((3000, 576)) < rng.random((3000, 1)) ** 2
+    t = lc.Template((((cell % 24) * 6 + (cell // 24) * 8) // 7 % 3 == 0).astype(float), 0.9)
+    tracemalloc.start()
+    precision, most = t.bounds(p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * p.nbytes
+    want = p @ t.near / np.maximum(p.sum(1), 1)
+    assert precision == pytest.approx(want, abs=1e-12)
+    scores = np.array([t.score(q, s) for q, s in zip(p[:200], want)])
+    assert (most[:200] >= scores - 1e-12).all()
+    found = np.array([(x, y, w, h) for w, h in ((20, 30), (9, 8)) for y in range(0, 30, 4) for x in range(0, 40, 5) if (x + y) % 3])
+    mask = rng.random((60, 64)) < 0.3
+    sums = np.zeros((61, 65), np.int64)
+    sums[1:, 1:] = mask.cumsum(0).cumsum(1)
+    assert (lc.probes(sums, found) == np.concatenate([lc.probes(sums, b[None]) for b in found])).all()
+
+
 def test_kept_boxes_with_a_cap(spark):
     from inkspan.operators import surfaces
 
