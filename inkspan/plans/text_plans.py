@@ -61,10 +61,12 @@ _PROF = sql_flat("outlines", 6, "fl") + ", " + sql_edges("fl", "ed") + """,
  k2 as (select lft, rgt, floor(greatest(case when gap > facing then -0.7::double * (gap - facing) when gap < greatest(20.0::double, 0.3::double * facing) then greatest(20.0::double, 0.3::double * facing) - gap else 0.0::double end, -400.0::double) + 0.5::double) as k, gap from kk),
  kern as materialized (select lft, rgt, cast(case when gap is null or abs(k) < 8 then 0 else k end as bigint) as kern from k2)"""
 
-# every ordered pair of a library's drawings instead of the pairs that meet in the corpus
+# every ordered pair of a library's drawings instead of the pairs that meet in the corpus; bands meet within the library, line by line
 _EVERY = _PROF.replace(
     "prs as (select distinct prev_id as lft, id as rgt from plc where prev_id is not null and id is not null)",
-    "prs as (select distinct a.id as lft, b.id as rgt from variants a join variants b using (lib_id))",
+    "prs as (select distinct a.id as lft, b.id as rgt from variants a join variants b using (lib_id)), lb as materialized (select distinct v.lib_id, b.* from band b join variants v using (id))",
+).replace("from prs p join band a on a.id = p.lft join band b on b.id = p.rgt and b.row = a.row group by 1, 2", "from lb a join lb b on b.lib_id = a.lib_id and b.row = a.row group by 1, 2").replace(
+    "gap as (select p.lft, p.rgt,", "gap as (select a.id as lft, b.id as rgt,"
 )
 
 _LINES = """mv as (select p.*, coalesce(k.kern, 0) as kern from plc p left join kern k on k.lft = p.prev_id and k.rgt = p.id),
